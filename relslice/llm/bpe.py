@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from relslice.llm.arrowmap import add_columns, column
+
 #: The pre-tokenizer pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -221,31 +223,20 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
     A null text is encoded as the empty text, which has no ids. Repeated rows are encoded alike. Columns named
     like ``ids`` are replaced; all other columns are kept. ``path`` must be readable on every executor.
     """
-    docs = docs.drop(ids)
-    schema = docs.schema.add(ids, "binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
         codec = BytePairCodec.load(path)
-        for batch in batches:
-            if batch.num_rows:
-                column = batch.column(batch.schema.get_field_index(text))
-                packed = [p for part in _slices([t or "" for t in column.to_pylist()]) for p in codec.encode_batch(part)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary())], [*batch.schema.names, ids])
+        texts = [t or "" for t in column(batch, text).to_pylist()]
+        return [pa.array([p for part in _slices(texts) for p in codec.encode_batch(part)], pa.binary())]
 
-    return docs.mapInArrow(run, schema)
+    return add_columns(docs, f"{ids} binary", make)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """``coded`` with the string column ``decoded``; null or empty ids give the empty text, special tokens are kept."""
-    coded = coded.drop(decoded)
-    schema = coded.schema.add(decoded, "string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
         codec = BytePairCodec.load(path)
-        for batch in batches:
-            if batch.num_rows:
-                column = batch.column(batch.schema.get_field_index(ids))
-                texts = [codec.decode(p or b"") for p in column.to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*batch.schema.names, decoded])
+        return [pa.array([codec.decode(p or b"") for p in column(batch, ids).to_pylist()], pa.binary()).cast(pa.string())]
 
-    return coded.mapInArrow(run, schema)
+    return add_columns(coded, f"{decoded} string", make)
