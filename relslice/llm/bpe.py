@@ -25,10 +25,10 @@ from relslice.llm.arrowmap import add_columns, column
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries that a task's word caches hold before they are emptied.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 #: Texts that go into the trie together.
-SLICE_CHARS = 8 << 20
+SLICE_CHARS = 3 << 20
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -56,8 +56,14 @@ class BytePairCodec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.id_of: dict[bytes, int] = {bytes(char[c] for c in s): i for s, i in model["vocab"].items() if s not in self.special}
         self.bytes_of: dict[int, bytes] = {i: b for b, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
+        self._merges: list | None = model["merges"]
+        self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+
+    def _prepare(self) -> None:
+        """What encoding needs beyond the vocabulary; decoding goes without."""
+        char, merges, self._merges = _byte_of_char(), self._merges, None
         self.left, self.right, self.rank, self.merge = {}, {}, {}, {}
-        for r, pair in enumerate(model["merges"]):
+        for r, pair in enumerate(merges):
             a, b = (bytes(char[c] for c in s) for s in (pair.split(" ") if isinstance(pair, str) else pair))
             a, b, joined = self.id_of[a], self.id_of[b], self.id_of[a + b]
             self.left[joined], self.right[joined], self.rank[joined] = a, b, r
@@ -68,7 +74,6 @@ class BytePairCodec:
         self.apart: dict[int, bool] = {}
         self.reached: dict[int, bool] = {}
         self.split = regex.compile(PATTERN).findall
-        self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.plain: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -167,6 +172,8 @@ class BytePairCodec:
         A space before a character that isn't white space always starts a word, so texts are cut there and each
         distinct segment is looked up; only segments that are new to this worker go through pattern and trie.
         """
+        if self._merges is not None:
+            self._prepare()
         cut, firsts, rests = [], set(), set()
         for text in texts:
             parts = []

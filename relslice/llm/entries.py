@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relslice.llm import bpe
+from relslice.llm import bpe, media, mixing, sharding
 
 #: The vocabulary of ``op2_bpe``; any byte-level BPE file of the tokenizers library will do.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,9 +28,83 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt into 24 shards under the law "rows"."""
+    dealt = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24, seed=17)
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return dealt.select(
+        "doc_id",
+        (F.octet_length(raw) + 8).cast("long").alias("size"),
+        F.crc32(raw).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of 150% of all words takes, with weights 5, 2, 1 by source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix(docs, lambda names: [(5, 2, 1)[i % 3] for i in range(len(names))], share=1.5, max_epochs=2, seed=0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('0:' || coalesce(doc_id::VARCHAR, '')) AS h, text
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k
+  FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(k % 3 + 1)::INT] AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
+o AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, k) AS fill,
+         (SELECT 1.5::DOUBLE * sum(source_size) FROM w)
+           - coalesce(sum(cap) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         (SELECT sum(weight) FROM w)
+           - coalesce(sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_weight
+  FROM w),
+f AS (SELECT fill, rest, rest_weight FROM o WHERE weight * rest / rest_weight <= cap ORDER BY fill LIMIT 1),
+t AS (
+  SELECT o.source, o.source_size,
+         (CASE WHEN o.fill < f.fill THEN o.cap ELSE o.weight * f.rest / f.rest_weight END)::DOUBLE AS target
+  FROM o, f),
+p AS (
+  SELECT d.*, t.source_size, t.target,
+         CASE WHEN t.source_size = 0 THEN 0 ELSE least(floor(t.target / t.source_size), 2) END::BIGINT AS whole,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size, d.text ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN upto - size / 2.0::DOUBLE < target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p
+"""
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as lossless motion-JPEG in AVI, read back, with digests and its shots."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = media.store(docs).withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).drop("text")
+    stored = stored.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    back = media.read(stored).drop("media")
+    cuts = F.transform("clips", lambda c: F.concat_ws(":", c["start_s"].cast("decimal(12,2)"), F.round(c["brightness"], 3)))
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, octet_length(payload) - 63, 64)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.concat(F.lit("shots="), F.size("clips"), F.lit(";"), F.array_join(cuts, ",")).alias("feature"),
+    )
+
+
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe}
+    return {"op2_bpe": op2_bpe, "op3_external_shuffle": op3_external_shuffle, "op4_mixing": op4_mixing, "op9_media": op9_media}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL}
