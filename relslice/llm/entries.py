@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relslice.llm import bpe, media, mixing, sharding
+from relslice.llm import bpe, langid, media, mixing, quality, sharding, toxicity, wordpiece
 
 #: The vocabulary of ``op2_bpe``; any byte-level BPE file of the tokenizers library will do.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability of toxicity; labels are learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), seed=1)
+    scored = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out("doc_id"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text for every document."""
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE).drop("text")
@@ -83,6 +91,39 @@ FROM p
 """
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy longest-match pieces of every document over a byte-level vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.token_counts(docs, BYTE_BPE).select("doc_id", "n_words", "n_tokens", "n_unknown")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, seed=6)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graded ratings from the labels: 0 poor, 1 good but toxic, 2 good."""
+    labels = table(spark, sf_dir, "labels")
+    return labels.select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("rating"))
+
+
+#: A document is selected if its probability of grade 1 or better is at least this.
+MIN_TAIL = 0.5
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade, tail probabilities and selection."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, ratings(spark, sf_dir), seed=7)
+    graded = quality.grade(docs, model)
+    tails = [F.coalesce(F.get("grade_tails", F.lit(j)), F.lit(0.0)).alias(f"p_grade_{j + 1}") for j in range(2)]
+    return graded.select("doc_id", "expected_grade", *tails, (F.coalesce(F.get("grade_tails", F.lit(0)), F.lit(1.0)) >= MIN_TAIL).alias("selected"))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as lossless motion-JPEG in AVI, read back, with digests and its shots."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,7 +144,16 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_bpe": op2_bpe, "op3_external_shuffle": op3_external_shuffle, "op4_mixing": op4_mixing, "op9_media": op9_media}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_bpe": op2_bpe,
+        "op3_external_shuffle": op3_external_shuffle,
+        "op4_mixing": op4_mixing,
+        "op5_token_counts": op5_token_counts,
+        "op6_language": op6_language,
+        "op7_quality": op7_quality,
+        "op9_media": op9_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

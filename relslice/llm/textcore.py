@@ -137,7 +137,7 @@ def window_hashes(b: np.ndarray, n: int) -> np.ndarray:
     g = wide[:m] * _STEP
     for j in range(1, n):
         g = (g ^ (g >> np.uint64(29))) * _M1 + wide[j : m + j]
-    return mix(g + np.uint64(n) * _M2)
+    return mix(g + np.uint64(n * int(_M2) % 2**64))
 
 
 def code_points(text: str) -> np.ndarray:
