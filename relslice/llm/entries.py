@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relslice.llm import bpe, langid, media, mixing, quality, sharding, toxicity, wordpiece
+from relslice.llm import ann, bpe, langid, media, mixing, quality, sharding, toxicity, wordpiece
 
 #: The vocabulary of ``op2_bpe``; any byte-level BPE file of the tokenizers library will do.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -143,6 +143,13 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows found for every embedding whose vec_id is divisible by 100."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    index = ann.build_index(rows, seed=10)
+    return ann.search(index, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -153,6 +160,7 @@ def queries() -> dict:
         "op6_language": op6_language,
         "op7_quality": op7_quality,
         "op9_media": op9_media,
+        "op10_neighbours": op10_neighbours,
     }
 
 
