@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relslice.llm import ann, bpe, langid, media, mixing, quality, sharding, toxicity, wordpiece
+from relslice.llm import ann, bpe, langid, media, minhash, mixing, quality, sharding, toxicity, wordpiece
 
 #: The vocabulary of ``op2_bpe``; any byte-level BPE file of the tokenizers library will do.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -124,6 +124,29 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "expected_grade", *tails, (F.coalesce(F.get("grade_tails", F.lit(0)), F.lit(1.0)) >= MIN_TAIL).alias("selected"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose two-word shingle sets are 80% alike."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) = 1 THEN words[1] ELSE words[i] || ' ' || words[i + 1] END AS shingle
+  FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 1, 1))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.both >= 80 * (x.n + y.n - c.both)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id, min(r.b) = w.doc_id AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.a = w.doc_id
+GROUP BY w.doc_id
+"""
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as lossless motion-JPEG in AVI, read back, with digests and its shots."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -159,10 +182,11 @@ def queries() -> dict:
         "op5_token_counts": op5_token_counts,
         "op6_language": op6_language,
         "op7_quality": op7_quality,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_media": op9_media,
         "op10_neighbours": op10_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL}
+    return {"op4_mixing": OP4_SQL, "op8_near_duplicates": OP8_SQL}
