@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -38,3 +39,14 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list[p
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A batch's column by name, without regard to case, as Spark resolves names."""
     return batch.column([n.lower() for n in batch.schema.names].index(name.lower()))
+
+
+def shielded(docs: DataFrame, used: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``run`` over ``docs`` with the columns of ``docs`` as they were, whatever columns ``run`` adds.
+
+    Columns other than ``used`` go through ``run`` under names of their own, so an operator's new columns never
+    replace them.
+    """
+    own = {c: c if c in used else f"__own_{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in own.items()])
+    return run(inner).select(*[F.col(name).alias(c) for c, name in own.items()])

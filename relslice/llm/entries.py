@@ -174,7 +174,10 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
+    import corpus_pipeline  # here, because the pipeline imports this module
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_toxicity": op1_toxicity,
         "op2_bpe": op2_bpe,
         "op3_external_shuffle": op3_external_shuffle,
