@@ -36,7 +36,7 @@ def temporal(text: Column, kind: T.DataType) -> Column:
         trimmed = F.regexp_replace(trimmed, r"(?<=\d\d:\d\d:\d\d(\.\d{1,6})?)(Z|[+-]\d\d(:?\d\d)?)$", "")
     value = F.when(shaped, trimmed.try_cast(kind))
     low = F.lower(text)
-    return F.when(low.isin("infinity", "+infinity"), F.lit(LAST).cast("timestamp_ntz").cast(kind)).when(low == "-infinity", F.lit(FIRST).cast("timestamp_ntz").cast(kind)).otherwise(value)
+    return F.when(low.isin("infinity", "+infinity"), F.lit(f"{LAST:%Y-%m-%d}").cast("timestamp_ntz").cast(kind)).when(low == "-infinity", F.lit("0001-01-01").cast("timestamp_ntz").cast(kind)).otherwise(value)
 
 
 def infinite(text: Column) -> Column:
