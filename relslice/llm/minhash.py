@@ -26,6 +26,9 @@ BINS, BANDS = 128, 32
 #: Texts on either side of a block comparison.
 BLOCK = 1024
 
+#: Parts that a large component is joined in.
+SALTS = 32
+
 _BITS = np.uint64(57)
 _EDGES = np.arange(BINS, dtype=np.uint64) << _BITS
 #: For each attempt, the bin that each empty bin looks at.
@@ -119,15 +122,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     links = materialize(links.unionByName(_rest(starred, star, full, percent)).distinct(), "links")
     roots = connected_components(links, "a", "b")
     firsts = signed.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("first_key"))
-    rooted = materialize(firsts.join(roots, firsts["set_id"] == roots["node"], "left").select("set_id", "first_key", F.coalesce("root", "set_id").alias("root")), "rooted")
-    # Only components of more than one set need their smallest key looked up.
-    least = rooted.join(roots.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("first_key").alias("least"))
-    named = rooted.join(least, "root", "left").select("set_id", F.coalesce("least", "first_key").alias("component_id"))
+    named = firsts.join(_named(roots, firsts), "set_id", "left").select("set_id", F.coalesce("least", "first_key").alias("component_id"))
     out = signed.select("key", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
+def _named(roots: DataFrame, firsts: DataFrame) -> DataFrame:
+    """set_id and least, the smallest key of its component, for all sets that have a link.
+
+    A component may hold much of the table, so the smallest keys go to its sets in SALTS parts.
+    """
+    linked = firsts.join(roots, firsts["set_id"] == roots["node"]).select("set_id", "first_key", "root")
+    linked = materialize(linked.withColumn("salt", F.pmod(F.xxhash64("set_id"), F.lit(SALTS)).cast("int")), "linked")
+    least = linked.groupBy("root").agg(F.min("first_key").alias("least"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return linked.join(least, ["root", "salt"]).select("set_id", "least")
+
+
 def _full_sets(rows: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """set_id and shingles of each text that shares a bucket, from the texts themselves."""
     wanted = members.select("first_key").distinct().hint("shuffle_hash")
