@@ -47,7 +47,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, token_ids (little-endian unsigned 32-bit), and whether decoding gives the text."""
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "lang", "text"), entries.BYTE_BPE), entries.BYTE_BPE)
+    coded = bpe.encode_and_decode(docs.select("doc_id", "source", "lang", "text"), entries.BYTE_BPE)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
     return coded.select("doc_id", "source", "lang", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
 

@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows that an operator works on at a time; what it builds beside them stays small.
+ROWS = 1024
+
+
 def field_types(ddl: str) -> list[T.StructField]:
     return T._parse_datatype_string(ddl).fields
 
 
 def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with the columns of ``ddl``, made by ``make`` for each non-empty batch; ``drop`` columns end here.
+    """``df`` with the columns of ``ddl``, made by ``make`` for ROWS rows at a time; ``drop`` columns end here.
 
-    Columns of ``df`` that clash with the new names are replaced. ``make`` gets the whole batch, ``drop`` columns
+    Columns of ``df`` that clash with the new names are replaced. ``make`` gets all columns, ``drop`` columns
     included. Column order: what is kept, then the new columns.
     """
     new = field_types(ddl)
@@ -28,8 +32,9 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list[p
     schema = T.StructType([*keep, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
                 kept = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n.lower() not in gone]
                 yield pa.RecordBatch.from_arrays([*kept, *make(batch)], [f.name for f in schema.fields])
 

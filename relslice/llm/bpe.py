@@ -25,7 +25,7 @@ from relslice.llm.arrowmap import add_columns, column
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries that a task's word caches hold before they are emptied.
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 60_000
 
 #: Texts that go into the trie together.
 SLICE_CHARS = 3 << 20
@@ -232,18 +232,34 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
     """
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        codec = BytePairCodec.load(path)
-        texts = [t or "" for t in column(batch, text).to_pylist()]
-        return [pa.array([p for part in _slices(texts) for p in codec.encode_batch(part)], pa.binary())]
+        return [pa.array(_packed(BytePairCodec.load(path), column(batch, text)), pa.binary())]
 
     return add_columns(docs, f"{ids} binary", make)
 
 
+def _packed(codec: BytePairCodec, texts: pa.Array) -> list[bytes]:
+    return [p for part in _slices([t or "" for t in texts.to_pylist()]) for p in codec.encode_batch(part)]
+
+
+def _unpacked(codec: BytePairCodec, packed: list[bytes | None]) -> pa.Array:
+    return pa.array([codec.decode(p or b"") for p in packed], pa.binary()).cast(pa.string())
+
+
 def decode(coded: DataFrame, path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """``coded`` with the string column ``decoded``; null or empty ids give the empty text, special tokens are kept."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        codec = BytePairCodec.load(path)
-        return [pa.array([codec.decode(p or b"") for p in column(batch, ids).to_pylist()], pa.binary()).cast(pa.string())]
+        return [_unpacked(BytePairCodec.load(path), column(batch, ids).to_pylist())]
 
     return add_columns(coded, f"{decoded} string", make)
+
+
+def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """:func:`encode`, then :func:`decode` of the ids, in one pass of one Python worker per task."""
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        codec = BytePairCodec.load(path)
+        packed = _packed(codec, column(batch, text))
+        return [pa.array(packed, pa.binary()), _unpacked(codec, packed)]
+
+    return add_columns(docs, f"{ids} binary, {decoded} string", make)

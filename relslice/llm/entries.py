@@ -26,9 +26,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text for every document."""
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE).drop("text")
-    back = bpe.decode(coded, BYTE_BPE)
-    return back.select(
+    coded = bpe.encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE)
+    return coded.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2(F.col("token_ids"), 256).alias("ids_sha256"),
