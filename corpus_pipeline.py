@@ -33,7 +33,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group whose five-word shingle sets are 80% alike."""
-    return minhash.deduplicate(docs, k=5, percent=80).select(*docs.columns)
+    return minhash.deduplicate(docs, k=5, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,13 +121,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     links = star.where("linked").select(F.col("centre").alias("a"), F.col("set_id").alias("b"))
     links = materialize(links.unionByName(_rest(starred, star, full, percent)).distinct(), "links")
     roots = connected_components(links, "a", "b")
-    firsts = signed.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("first_key"))
-    named = firsts.join(_named(roots, firsts), "set_id", "left").select("set_id", F.coalesce("least", "first_key").alias("component_id"))
-    out = signed.select("key", "n_shingles", "set_id").join(named, "set_id", "left")
+    firsts = signed.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("first_key"), F.count("*").alias("copies"))
+    named = firsts.join(_named(roots, firsts), "set_id", "left").select("set_id", F.coalesce("least", "first_key").alias("component_id"), "copies")
+    out = _join_by_set(signed.select("key", "n_shingles", "set_id"), materialize(named, "named"))
     component = F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
+def _join_by_set(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """``rows`` with the component of their set.
+
+    Sets of more than one thousandth of all rows, of which there are fewer than 1000, are broadcast, so that a set
+    with very many copies doesn't land in one task.
+    """
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    hot = named.where(F.col("copies") * 1000 > total).select("set_id", F.col("component_id").alias("hot_component"), F.lit(True).alias("hot"))
+    marked = rows.join(F.broadcast(hot), "set_id", "left")
+    cold = marked.where("hot is null").drop("hot_component", "hot").join(named.where(F.col("copies") * 1000 <= total).select("set_id", "component_id"), "set_id", "left")
+    return cold.unionByName(marked.where("hot").drop("hot").withColumnRenamed("hot_component", "component_id"))
+
+
 def _named(roots: DataFrame, firsts: DataFrame) -> DataFrame:
     """set_id and least, the smallest key of its component, for all sets that have a link.
 
