@@ -18,6 +18,7 @@ from relslice.operators.closure import orphans
 from relslice.operators.conflict import ConflictError, conflict_key, inbound_fks, merged
 from relslice.plans.graph import fk_levels, fk_order
 from relslice.plans.selection import exclude_for_restore
+from relslice.scratch import discard, materialize
 from relslice.sources import fs, manifest, ndjson
 from relslice.sources.warehouse import Warehouse, table_schema
 
@@ -87,9 +88,10 @@ def restore(
 
     def load(key: str) -> None:
         table = target.tables[key]
-        rows = _full(_incoming(spark, path, dumped.tables[key]), table)
-        old = target.frame(key)
-        target.stage(key, rows.drop(POSITION) if replace else merged(old, rows, table, on_conflict))
+        # Typed once; the conflict policies look at incoming rows several times.
+        rows = materialize(_full(_incoming(spark, path, dumped.tables[key]), table), "incoming")
+        target.stage(key, rows.drop(POSITION) if replace else merged(target.frame(key), rows, table, on_conflict))
+        discard(rows)
 
     report = Report()
     if workers == 1:

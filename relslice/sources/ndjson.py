@@ -37,8 +37,12 @@ def read(spark: SparkSession, path: str, table: TableDef, infinities: bool = Fal
 
 
 def rows_of(rows: DataFrame, table: TableDef) -> DataFrame:
-    """The table's columns alone; the first problem found stops the job with its message."""
-    bad = F.size("__problems") > 0
+    """The table's columns and place; any problem stops the job with its message.
+
+    The check is part of every column, not a filter: a filter would be moved below the parsing steps and repeat
+    them for each column it looks at.
+    """
+    sound = F.size("__problems") == 0
     message = F.concat(F.lit(f"{table.key}, row "), F.coalesce(F.col(POSITION).cast("string"), F.lit("?")), F.lit(": "), F.array_join("__problems", "; "))
-    checked = rows.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
-    return checked.drop("__problems")
+    names = [f for f in rows.schema.fields if f.name != "__problems"]
+    return rows.select(*[F.when(sound, F.col(f"`{f.name}`")).otherwise(F.raise_error(message).cast(f.dataType)).alias(f.name) for f in names])
