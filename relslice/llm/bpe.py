@@ -25,7 +25,7 @@ from relslice.llm.arrowmap import add_columns, column
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Entries that a task's word caches hold before they are emptied.
-CACHE_ENTRIES = 60_000
+CACHE_ENTRIES = 120_000
 
 #: Texts that go into the trie together.
 SLICE_CHARS = 3 << 20
