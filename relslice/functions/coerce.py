@@ -58,7 +58,7 @@ def typed(lines: DataFrame, table: TableDef, value: str = "value", infinities: b
     parts = [x for i, c in enumerate(table.columns) for x in (F.try_variant_get("__json", _path(c.name), "string").alias(f"__text_{i}"), F.schema_of_variant(F.try_variant_get("__json", _path(c.name), "variant")).alias(f"__type_{i}"))]
     lines = lines.select("__value", "__json", *parts, F.coalesce(F.schema_of_variant("__json").startswith("OBJECT<"), F.lit(False)).alias("__object"))
     object_ = F.col("__object")
-    out, problems = [], [F.when(~object_, F.lit("*: not a JSON object"))]
+    judged, out, problems = [], [], [F.when(~object_, F.lit("*: not a JSON object"))]
     for i, c in enumerate(table.columns):
         kind, name = spark_type(c.type), base_type(c.type)
         text, json_type = F.col(f"__text_{i}"), F.col(f"__type_{i}")
@@ -74,7 +74,8 @@ def typed(lines: DataFrame, table: TableDef, value: str = "value", infinities: b
             cast = temporal(text, kind)
             bad = there & ((json_type != "STRING") | cast.isNull())
             if infinities:
-                out.append(infinite(text).alias(f"{c.name}__inf"))
+                judged.append(infinite(text).alias(f"{c.name}__inf"))
+                out.append(F.col(f"{c.name}__inf"))
         elif isinstance(kind, T.BinaryType):
             cast = F.try_to_binary(text, F.lit("base64"))
             bad = there & ((json_type != "STRING") | cast.isNull())
@@ -84,14 +85,16 @@ def typed(lines: DataFrame, table: TableDef, value: str = "value", infinities: b
         else:  # numeric, real and double precision
             cast = text.try_cast(kind)
             bad = there & cast.isNull()
-        out.append(F.when(~bad, cast).alias(c.name))
-        problems.append(F.when(object_ & bad, F.lit(f"{c.name}: no {c.type}")))
+        judged += [cast.alias(f"__cast_{i}"), F.coalesce(bad, F.lit(False)).alias(f"__bad_{i}"), there.alias(f"__there_{i}")]
+        out.append(F.when(~F.col(f"__bad_{i}"), F.col(f"__cast_{i}")).alias(c.name))
+        problems.append(F.when(object_ & F.col(f"__bad_{i}"), F.lit(f"{c.name}: no {c.type}")))
         if not c.nullable and c.generated is None:
-            problems.append(F.when(object_ & ~there, F.lit(f"{c.name}: missing or null")))
+            problems.append(F.when(object_ & ~F.col(f"__there_{i}"), F.lit(f"{c.name}: missing or null")))
     known = F.array(*[F.lit(n) for n in [*(c.name for c in table.columns), POSITION]])
     unknown = F.array_except(F.coalesce(F.json_object_keys("__value"), F.array().cast("array<string>")), known)
     found = F.concat(F.array_compact(F.array(*problems)), F.transform(unknown, lambda k: F.concat(k, F.lit(": unknown key"))))
     place = F.try_variant_get("__json", _path(POSITION), "bigint").alias(POSITION)
+    lines = lines.select("__value", "__json", "__object", *judged)
     return lines.select(*out, place, found.alias("__problems"))
 
 
