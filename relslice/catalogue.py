@@ -81,7 +81,7 @@ for _name, _seeds, _where in (
     ("pred_in", [("o_orderpriority", "in", "1-URGENT", "5-LOW")], "o_orderpriority IN ('1-URGENT', '5-LOW')"),
     ("pred_is_null", [("o_orderdate", "is_null")], "o_orderdate IS NULL"),
     ("pred_gt", [("o_totalprice", "gt", 150000)], "o_totalprice > 150000"),
-    ("pred_gte", [("o_custkey", "gte", 100)], "o_custkey >= 100"),
+    ("pred_gte", [("o_orderdate", "gte", "1996-07-01T12:00:00")], "o_orderdate >= TIMESTAMP '1996-07-01 12:00:00'"),
     ("pred_lt", [("o_totalprice", "lt", 50000.5)], "o_totalprice < 50000.5"),
     ("pred_lte", [("o_orderdate", "lte", "1995-06-17")], "o_orderdate <= TIMESTAMP '1995-06-17'"),
     ("pred_ne", [("o_orderstatus", "ne", "O")], "o_orderstatus <> 'O'"),

@@ -94,6 +94,19 @@ def test_chunked_dump_resumes(spark, db):
         dump(db, path, chunk=["orders", "customer"], chunk_size=50)
 
 
+def test_chunks_of_a_table_without_a_key(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    lines = Database.of((describe(df, "lineitem"), df))
+    path = fresh_path(spark, "dump")
+    with pytest.raises(ValueError, match="no safe key"):
+        dump(lines, path, chunk=["lineitem"], require_safe_key=True)
+    done = dump(lines, path, chunk=["lineitem"], chunk_size=1000, redacted=True, transform=lambda _, d: d.withColumn("l_tax", F.col("l_tax") + 1))
+    assert done["tables"][0]["row_count"] == df.count()
+    target = Warehouse(spark, fresh_path(spark, "wh"), Database(lines.tables))
+    restore(spark, path, target)
+    assert same(df.withColumn("l_tax", F.col("l_tax") + 1), target.frame("public.lineitem"))
+
+
 def test_broken_dumps_are_refused(spark, db):
     path = fresh_path(spark, "dump")
     dump(db, path)
