@@ -13,9 +13,6 @@ from relslice.llm import bpe, entries, langid, minhash, mixing, quality
 from relslice.llm.arrowmap import shielded
 from relslice.scratch import materialize
 
-#: A document is rejected if no language scores at least this; clear text of a known language scores above 0.4.
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose probability of being better than poor is at least one half."""
@@ -27,8 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with text in one of the corpus's languages."""
     model = langid.fit(docs, seed=6)
-    known = (F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return shielded(docs, ["text"], lambda d: langid.identify(d, model).where(known))
+    return shielded(docs, ["text"], lambda d: langid.spoken(d, model).where("spoken"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,16 +4,20 @@ The blended-spectrum presence kernel of two texts is the number of character n-g
 have, over the geometric mean of the numbers that each has. Kernel ridge regression, one language against the
 rest, is fitted in the space that the Nystroem method spans by a few landmark texts. A batch of texts is scored
 by two matrix products: n-gram presence times landmark presence, and the kernel rows times the coefficients.
+
+Scores only compare languages with one another: those of any text add up to the same number. Whether a text is in
+one of them at all is told by the share of its trigrams, repeats counted, that the training texts of a language know.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relslice.llm.arrowmap import add_columns, column
@@ -26,6 +30,16 @@ BITS = 22
 #: Labelled texts that training draws at most, and landmarks among them.
 MAX_LABELLED, MAX_LANDMARKS = 3_000, 128
 
+#: A trigram is known to a language if at least this share of its training texts, and two of them, have it.
+KNOWN_IN = 0.01
+
+#: A text is foreign if a language knows less than this part of what it knows of its own texts' trigrams, less
+#: DEVIATIONS standard deviations of such a share. A character is in three trigrams, so a third of them count.
+MIN_KNOWN, DEVIATIONS = 0.65, 1.25
+
+#: Known trigrams from which a language's bound holds in full; below it falls with their number.
+FULL_KNOWN = 1000
+
 #: Texts scored by one matrix product.
 BATCH = 128
 
@@ -36,9 +50,11 @@ _ASCII_LETTER = np.zeros(128, bool)
 _ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-def ngrams(texts: pa.Array, orders: tuple[int, ...] = (1, 2, 3)) -> list[np.ndarray]:
-    """The distinct n-gram hashes of each whole text, lower-cased; ASCII characters but letters count as spaces, runs of these as one."""
-    out: list[np.ndarray] = []
+def occurrences(texts: pa.Array, orders: tuple[int, ...] = (1, 2, 3)) -> Iterator[list[np.ndarray]]:
+    """The n-gram hashes of each whole text in turn, by order, repeats included.
+
+    Texts are lower-cased; ASCII characters but letters count as spaces, runs of these as one.
+    """
     for _, b, offsets in runs(pc.utf8_lower(texts)):
         points = np.frombuffer(b.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).copy()
         begins = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])[offsets]
@@ -53,8 +69,12 @@ def ngrams(texts: pa.Array, orders: tuple[int, ...] = (1, 2, 3)) -> list[np.ndar
         points, begins = points[~again], kept[begins]
         grams = [(window_hashes(points, n) >> np.uint64(64 - BITS)).astype(np.int32) for n in orders]
         for a, e in zip(begins, begins[1:], strict=False):
-            out.append(distinct(np.concatenate([g[a : max(a, e - n + 1)] for n, g in zip(orders, grams, strict=True)])))
-    return out
+            yield [g[a : max(a, e - n + 1)] for n, g in zip(orders, grams, strict=True)]
+
+
+def ngrams(texts: pa.Array, orders: tuple[int, ...] = (1, 2, 3)) -> list[np.ndarray]:
+    """The distinct n-gram hashes of each whole text."""
+    return [distinct(np.concatenate(found)) for found in occurrences(texts, orders)]
 
 
 @dataclass
@@ -67,6 +87,7 @@ class LanguageModel:
     sizes: np.ndarray
     coefficients: np.ndarray
     offsets: np.ndarray
+    vocabulary: Vocabulary | None = None
 
     def kernel(self, sets: list[np.ndarray]) -> np.ndarray:
         """Kernel of each n-gram set with each landmark."""
@@ -92,6 +113,52 @@ class LanguageModel:
         return {k: v for k, v in self.__dict__.items() if k != "_place"}
 
 
+@dataclass
+class Vocabulary:
+    """Trigrams, which language knows which (trigrams x languages), and the share of known ones usual in its own texts."""
+
+    trigrams: np.ndarray
+    known: np.ndarray
+    usual: np.ndarray
+
+    def shares(self, found: np.ndarray) -> np.ndarray:
+        """The share of a text's trigrams, repeats counted, that each language knows."""
+        if not hasattr(self, "_place"):
+            self._place = np.full(1 << BITS, self.trigrams.size, np.int32)
+            self._place[self.trigrams] = np.arange(self.trigrams.size)
+            self._knows = self.known.astype(np.float64)
+        times = np.bincount(self._place[found], minlength=self.trigrams.size + 1)[:-1]
+        return times @ self._knows / max(1, found.size)
+
+    def foreign(self, shares: np.ndarray, sizes: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Whether no language knows enough of each text, from its shares, number of trigrams and best-scoring language.
+
+        A language of which few trigrams are known asks for less, but only of texts that score best in it.
+        """
+        bounds = np.tile(MIN_KNOWN * self.usual, (len(sizes), 1))
+        bounds[:, self.usual == 0] = 2  # what knows nothing speaks for no text that scores better elsewhere
+        rows = np.arange(len(sizes))
+        bounds[rows, best] = (MIN_KNOWN * self.usual * np.minimum(1, self.known.sum(axis=0) / FULL_KNOWN))[best]
+        spread = np.sqrt(np.maximum(0, bounds * (1 - bounds)) * 3 / np.maximum(1, sizes)[:, None])
+        return (sizes > 0) & (shares < bounds - DEVIATIONS * spread).all(axis=1)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_place", "_knows")}
+
+
+def learn_vocabulary(trigrams: list[np.ndarray], languages: list[str]) -> Vocabulary:
+    """What each language, in order of names, knows: from the trigram sets of its training texts."""
+    names = sorted(set(languages))
+    every = distinct(np.concatenate(trigrams)) if trigrams else np.zeros(0, np.int32)
+    known, usual = np.zeros((every.size, len(names)), bool), np.zeros(len(names))
+    for j, name in enumerate(names):
+        places = [np.searchsorted(every, t) for t, x in zip(trigrams, languages, strict=True) if x == name]
+        known[:, j] = np.bincount(np.concatenate(places), minlength=every.size) >= max(2, KNOWN_IN * len(places))
+        usual[j] = np.median([known[p, j].mean() if p.size else 0.0 for p in places])
+    some = known.any(axis=1)
+    return Vocabulary(every[some], known[some], usual)
+
+
 def fit_kernel_ridge(sets: list[np.ndarray], languages: list[str], landmarks: int = MAX_LANDMARKS, ridge: float = 1e-3) -> LanguageModel:
     """Fit from n-gram sets in a fixed order; landmarks are taken from the languages in turn.
 
@@ -129,9 +196,17 @@ def fit(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text",
     rows = rows.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(lang).alias("__lang"))
     n = rows.count()
     drawn = rows.where(sampled("__key", 0.95 * max_labelled / max(n, 1), seed))
-    made = add_columns(drawn, "__grams array<int>", lambda b: [pa.array(ngrams(column(b, "__text")), pa.list_(pa.int32()))], drop=("__text",))
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts = column(batch, "__text")
+        return [pa.array(ngrams(texts, orders), pa.list_(pa.int32())) for orders in ((1, 2, 3), (3,))]
+
+    made = add_columns(drawn, "__grams array<int>, __trigrams array<int>", make, drop=("__text",))
     table = made.limit(max_labelled).toArrow().sort_by([("__key", "ascending"), ("__lang", "ascending")])
-    return fit_kernel_ridge([np.asarray(g.values) for g in table["__grams"]], table["__lang"].to_pylist())
+    sets, trigrams = ([np.asarray(g.values) for g in table[c]] for c in ("__grams", "__trigrams"))
+    model = fit_kernel_ridge(sets, table["__lang"].to_pylist())
+    model.vocabulary = learn_vocabulary(trigrams, table["__lang"].to_pylist())
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -149,6 +224,33 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
         best = scores.argmax(axis=1)
         return [pa.array([model.languages[i] for i in best], pa.string()), pa.array(scores[np.arange(len(best)), best], pa.float64())]
 
-    lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    lettered = _lettered(text)
     found = add_columns(docs, "lang_pred string, score double", make)
     return found.withColumn("lang_pred", F.when(lettered, F.col("lang_pred")).otherwise(UNDETERMINED)).withColumn("score", F.when(lettered, F.col("score")).otherwise(0.0))
+
+
+def _lettered(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
+def spoken(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """``docs`` with the column spoken: whether the text is in one of the languages that ``model`` was fitted on.
+
+    See :meth:`Vocabulary.foreign`. Of a text with fewer than three trigrams nothing is said against it. Null texts
+    and texts without a letter of any script are in no language. A clashing column is replaced.
+    """
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        sets, shares, sizes = [], [], []
+        for found in occurrences(column(batch, text)):
+            sets.append(distinct(np.concatenate(found)))
+            shares.append(model.vocabulary.shares(found[2]))
+            sizes.append(found[2].size)
+        if not sets:
+            return [pa.array([], pa.bool_())]
+        return [pa.array(~model.vocabulary.foreign(np.array(shares), np.array(sizes), model.scores(sets).argmax(axis=1)))]
+
+    if not model.languages:
+        return docs.withColumn("spoken", F.lit(False))
+    found = add_columns(docs, "spoken boolean", make)
+    return found.withColumn("spoken", F.col("spoken") & _lettered(text))

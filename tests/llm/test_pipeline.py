@@ -1,3 +1,6 @@
+import random
+import re
+
 import corpus_pipeline
 from relslice.llm import entries, minhash
 from relslice.scratch import materialize
@@ -52,3 +55,36 @@ def test_clashing_columns_and_nulls_pass_through(spark):
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, SF).columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
     assert minhash.deduplicate(docs).count() <= docs.count()
+
+
+FOREIGN = {
+    "ru": "Быстрая коричневая лиса прыгает через ленивую собаку, и никто не знает, почему это происходит каждый день.",
+    "zh": "敏捷的棕色狐狸跳过懒狗没有人知道为什么每天都会发生这种事",
+    "pl": "Szybki brązowy lis przeskakuje nad leniwym psem i nikt nie wie, dlaczego dzieje się to każdego dnia w tym mieście.",
+    "fi": "Nopea ruskea kettu hyppää laiskan koiran yli eikä kukaan tiedä, miksi näin tapahtuu joka päivä tässä kaupungissa.",
+}
+
+
+def test_foreign_and_gibberish_texts_go_and_short_clean_ones_stay(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(1)
+
+    def gibberish(words):
+        return " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(words))
+
+    bad = [*FOREIGN.values(), *(f"{t} " * 200 for t in FOREIGN.values()), *(gibberish(n) for n in (5, 20, 60, 3000))]
+    clean = ["Von.", "That it.", "Erinst resh.", "Osrañ.", "un", "The", "Pachque çaneux et.", "the and of", "der die und", "y", "Ö."]
+    # One text in two of the corpus's languages, and words of clean documents by ones, twos and threes.
+    by_lang = {r["lang"]: r["text"] for r in docs.where("n_chars between 1500 and 2500 and doc_id < 400").orderBy("doc_id").collect()}
+    clean.append(by_lang["fr"] + " " + by_lang["en"])
+    for text in by_lang.values():
+        words = re.findall(r"[^\W\d_]+", text)[:60]
+        clean += [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(0, 57, 4)]
+    # The planted rows claim a language, as mislabelled rows of a corpus do.
+    rows = [(10**6 + i, t, "en", "planted", len(t)) for i, t in enumerate([*bad, *clean])]
+    planted = spark.createDataFrame(rows, docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs.unionByName(planted), sf).select("doc_id").collect()}
+    assert [t[:60] for i, t, *_ in rows[: len(bad)] if i in kept] == []
+    assert [t for i, t, *_ in rows[len(bad) :] if i not in kept] == []
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= kept
