@@ -237,7 +237,8 @@ def spoken(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     """``docs`` with the column spoken: whether the text is in one of the languages that ``model`` was fitted on.
 
     See :meth:`Vocabulary.foreign`. Of a text with fewer than three trigrams nothing is said against it. Null texts
-    and texts without a letter of any script are in no language. A clashing column is replaced.
+    and texts without a letter of any script are in no language. A clashing column is replaced. Where the model knows
+    no language, as no training row has one, nothing is foreign: all texts with a letter count as spoken.
     """
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
@@ -251,6 +252,6 @@ def spoken(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
         return [pa.array(~model.vocabulary.foreign(np.array(shares), np.array(sizes), model.scores(sets).argmax(axis=1)))]
 
     if not model.languages:
-        return docs.withColumn("spoken", F.lit(False))
+        return docs.withColumn("spoken", _lettered(text))
     found = add_columns(docs, "spoken boolean", make)
     return found.withColumn("spoken", F.col("spoken") & _lettered(text))

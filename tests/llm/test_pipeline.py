@@ -88,3 +88,8 @@ def test_foreign_and_gibberish_texts_go_and_short_clean_ones_stay(spark):
     assert [t[:60] for i, t, *_ in rows[: len(bad)] if i in kept] == []
     assert [t for i, t, *_ in rows[len(bad) :] if i not in kept] == []
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= kept
+
+
+def test_without_known_languages_lettered_texts_stay(spark):
+    docs = spark.createDataFrame([(1, "Some words.", None), (2, "Привет", None), (3, "12 !?", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.language_stage(spark, docs, SF).collect()) == [1, 2]
