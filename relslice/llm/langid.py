@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relslice.llm.arrowmap import add_columns, column
+from relslice.llm.mixing import water_fill
 from relslice.llm.textcore import distinct, runs, window_hashes
 from relslice.llm.toxicity import held_out, sampled
 
@@ -30,6 +31,9 @@ BITS = 22
 #: Labelled texts that training draws at most, and landmarks among them.
 MAX_LABELLED, MAX_LANDMARKS = 3_000, 128
 
+#: Rows that a language is trained on at least, if it has them.
+LEAST_LABELLED = 20
+
 #: A trigram is known to a language if at least this share of its training texts, and two of them, have it.
 KNOWN_IN = 0.01
 
@@ -190,19 +194,26 @@ def fit_kernel_ridge(sets: list[np.ndarray], languages: list[str], landmarks: in
 def fit(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text", lang: str = "lang", max_labelled: int = MAX_LABELLED) -> LanguageModel:
     """Train on rows of ``docs`` that are not held out and whose text and language are not null.
 
-    At most ``max_labelled`` of them, drawn by seeded hashes of the key, reach the driver, as n-gram hashes.
+    About ``max_labelled`` of them, drawn by seeded hashes of the key, reach the driver, as n-gram hashes. Languages
+    share them alike, those with fewer rows giving all they have, but none is asked for fewer than LEAST_LABELLED.
+    The driver sees a count per language. Twice the number wanted is never exceeded by much, however keys repeat.
     """
     rows = docs.where(~held_out(key) & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull())
     rows = rows.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.col(lang).alias("__lang"))
-    n = rows.count()
-    drawn = rows.where(sampled("__key", 0.95 * max_labelled / max(n, 1), seed))
+    counts = {r["__lang"]: r["count"] for r in rows.groupBy("__lang").count().collect()}
+    wanted = water_fill(list(counts.values()), [1] * len(counts), 0.95 * max_labelled, 1)
+    wanted = [max(w, LEAST_LABELLED) for w in wanted]
+    shares = [(x, min(1.0, w / n)) for (x, n), w in zip(counts.items(), wanted, strict=True)]
+    kind = rows.schema["__lang"].dataType.simpleString()
+    shares = docs.sparkSession.createDataFrame(shares, f"__lang {kind}, __share double")
+    drawn = rows.join(F.broadcast(shares), "__lang").where(sampled("__key", F.col("__share"), seed)).select("__key", "__text", "__lang")
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = column(batch, "__text")
         return [pa.array(ngrams(texts, orders), pa.list_(pa.int32())) for orders in ((1, 2, 3), (3,))]
 
     made = add_columns(drawn, "__grams array<int>, __trigrams array<int>", make, drop=("__text",))
-    table = made.limit(max_labelled).toArrow().sort_by([("__key", "ascending"), ("__lang", "ascending")])
+    table = made.limit(int(2 * sum(wanted)) + 100).toArrow().sort_by([("__key", "ascending"), ("__lang", "ascending")])
     sets, trigrams = ([np.asarray(g.values) for g in table[c]] for c in ("__grams", "__trigrams"))
     model = fit_kernel_ridge(sets, table["__lang"].to_pylist())
     model.vocabulary = learn_vocabulary(trigrams, table["__lang"].to_pylist())

@@ -141,9 +141,10 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sampled(key: str, share: float, seed: int) -> Column:
-    """A seeded choice of about ``share`` of all keys."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+def sampled(key: str, share: float | Column, seed: int) -> Column:
+    """A seeded choice of about ``share`` of all keys; ``share`` may be a column of shares up to 1."""
+    bound = (share * (1 << 30)).cast("long") if isinstance(share, Column) else int(min(1.0, share) * (1 << 30))
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < bound
 
 
 def fit(

@@ -105,6 +105,16 @@ def test_language_of_odd_texts(spark):
     assert {r["lang_pred"] for r in langid.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned_from_large_tables(spark):
+    common = spark.range(60_000).select("id", F.concat(F.lit("the cat and the dog number "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    rare = spark.range(60_000, 60_015).select("id", F.lit("le chat et la vie est belle").alias("text"), F.lit("fr").alias("lang"))
+    docs = common.unionByName(rare).withColumnRenamed("id", "doc_id")
+    for seed in range(3):
+        model = langid.fit(docs, seed=seed, max_labelled=300)
+        assert model.languages == ["en", "fr"]
+        assert {r["lang_pred"] for r in langid.identify(rare.select("text"), model).collect()} == {"fr"}
+
+
 # Quality ------------------------------------------------------------------------------------------------------
 
 
