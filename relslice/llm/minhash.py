@@ -105,6 +105,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     a null key are linked like others but name no component, and are kept only in components without any key. Rows that
     repeat a key get a row each. Other columns are ignored. An empty table gives an empty result.
     """
+    return _decided(docs, k, percent, key, text).select(F.col("key").alias(key), "n_shingles", "component_id", "kept")
+
+
+def _decided(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
+    """key, set_id, n_shingles, component_id and kept of each row."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     signed = materialize(signatures(rows, k, "text"), "signatures")
     # Texts with equal sets count as one from here on.
@@ -125,7 +130,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
     named = firsts.join(_named(roots, firsts), "set_id", "left").select("set_id", F.coalesce("least", "first_key").alias("component_id"), "copies")
     out = _join_by_set(signed.select("key", "n_shingles", "set_id"), materialize(named, "named"))
     component = F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("component_id"))
-    return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
+    return out.select("key", "set_id", "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
 
 def _join_by_set(rows: DataFrame, named: DataFrame) -> DataFrame:
@@ -231,7 +236,19 @@ def _rest(starred: DataFrame, star: DataFrame, full: DataFrame, percent: int) ->
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component of :func:`near_duplicates`: the one with the smallest key.
 
-    Rows with a null key stay; so do rows that repeat the kept key.
+    Rows with a null key stay; so do rows that repeat the kept key. Where a key repeats with texts of several
+    components, each row goes or stays by its own.
     """
-    dropped = near_duplicates(docs, k, percent, key, text).where("not kept").select(F.col(key).alias("__dropped")).distinct()
-    return docs.join(dropped, docs[key] == dropped["__dropped"], "left_anti")
+    decided = _decided(docs, k, percent, key, text).where("key is not null").select("key", "set_id", "kept")
+    decided = materialize(decided.distinct(), "decided")
+    judged = decided.groupBy(F.col("key").alias("__dropped")).agg(F.bool_or("kept").alias("__mixed"), F.bool_and("kept").alias("__all"))
+    dropped = materialize(judged.where("not __all").select("__dropped", "__mixed"), "dropped")
+    sure = docs.join(dropped, docs[key] == dropped["__dropped"], "left_anti")
+    mixed = dropped.where("__mixed").select("__dropped")
+    if mixed.isEmpty():
+        return sure
+    some = docs.join(mixed, docs[key] == mixed["__dropped"], "left_semi")
+    some = add_columns(some, "__set_id binary", lambda b: [_set_ids(shingle_sets(column(b, text), k))])
+    gone = decided.where("not kept").select(F.col("key").alias("__dropped"), F.col("set_id").alias("__gone"))
+    stay = some.join(gone, (some[key] == gone["__dropped"]) & some["__set_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    return sure.unionByName(stay.drop("__set_id"))

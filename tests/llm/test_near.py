@@ -91,6 +91,12 @@ def test_deduplicate_keeps_one_of_each(spark):
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(want)
 
 
+def test_deduplicate_decides_by_row_where_keys_repeat(spark):
+    rows = [(3, "x y z"), (7, "x y z"), (7, "other words here"), (7, None), (8, "x y z"), (None, "x y z"), (9, "other  words here")]
+    out = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(3, "x y z"), (7, "other words here"), (7, None), (None, "x y z")], key=str)
+
+
 def test_a_very_long_text(spark):
     rng = random.Random(0)
     words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
