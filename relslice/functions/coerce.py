@@ -45,13 +45,14 @@ def infinite(text: Column) -> Column:
     return F.when(low.isin("infinity", "+infinity"), "infinity").when(low == "-infinity", "-infinity")
 
 
-def typed(lines: DataFrame, table: TableDef, value: str = "value", infinities: bool = False) -> DataFrame:
+def typed(lines: DataFrame, table: TableDef, value: str = "value", infinities: bool = False, longest: int | None = None) -> DataFrame:
     """JSON lines as typed columns of ``table``, with its place __pos and the array __problems of "column: problem".
 
     Integers must be integral JSON numbers in range, booleans and texts JSON booleans and strings, dates and
     timestamps strings of a known form; numbers keep all their digits. A column that isn't nullable must be there
     and not null; unknown keys and text that is no JSON object are problems. Missing nullable columns are null.
-    With ``infinities`` each date or timestamp column has a column <name>__inf beside it.
+    With ``infinities`` each date or timestamp column has a column <name>__inf beside it. A line of more than
+    ``longest`` bytes is a problem.
     """
     # Parsed once; text and JSON type of each column once: these steps are columns of their own.
     lines = lines.select(F.col(value).alias("__value"), F.try_parse_json(F.col(value)).alias("__json"))
@@ -59,6 +60,8 @@ def typed(lines: DataFrame, table: TableDef, value: str = "value", infinities: b
     lines = lines.select("__value", "__json", *parts, F.coalesce(F.schema_of_variant("__json").startswith("OBJECT<"), F.lit(False)).alias("__object"))
     object_ = F.col("__object")
     judged, out, problems = [], [], [F.when(~object_, F.lit("*: not a JSON object"))]
+    if longest is not None:
+        problems.append(F.when(F.octet_length("__value") > longest, F.lit(f"*: more than {longest} bytes")))
     for i, c in enumerate(table.columns):
         kind, name = spark_type(c.type), base_type(c.type)
         text, json_type = F.col(f"__text_{i}"), F.col(f"__type_{i}")

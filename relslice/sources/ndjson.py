@@ -32,8 +32,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read(spark: SparkSession, path: str, table: TableDef, infinities: bool = False) -> DataFrame:
     """Typed rows with __pos and __problems; a line over MAX_LINE bytes is a problem, too."""
-    rows = typed(read_lines(spark, path).withColumn("__long", F.octet_length("value") > MAX_LINE), table, infinities=infinities)
-    return rows
+    return typed(read_lines(spark, path), table, infinities=infinities, longest=MAX_LINE)
 
 
 def rows_of(rows: DataFrame, table: TableDef) -> DataFrame:

@@ -81,6 +81,14 @@ def test_bad_rows_stop_a_load(spark, tmp_path):
         ndjson.rows_of(ndjson.read(spark, str(tmp_path), TABLE), TABLE).collect()
 
 
+def test_long_lines_are_problems(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ndjson, "MAX_LINE", 20)
+    (tmp_path / "rows.json").write_text('{"id": 1, "t": "a"}\n{"id": 2, "t": "ééé"}\n')
+    table = describe(spark.createDataFrame([], "id long, t string"), "t", ["id"])
+    got = {r["id"]: r["__problems"] for r in ndjson.read(spark, str(tmp_path), table).collect()}
+    assert got == {1: [], 2: ["*: more than 20 bytes"]}
+
+
 def test_all_types_round_trip(spark):
     rows = [(1, "ä\n\"", True, dt.date(1, 1, 1), dt.datetime(2020, 1, 1, 0, 0, 0, 1), bytearray(b"\0\xff"), decimal.Decimal("0.0001")), (2, None, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "i bigint, s string, b boolean, d date, n timestamp_ntz, x binary, m decimal(20,4)")
