@@ -4,14 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-#: Rows that an operator works on at a time; what it builds beside them stays small.
-ROWS = 1024
+#: Rows that an operator works on at a time, and about the bytes of their texts (one row at least).
+ROWS, BYTES = 1024, 16 << 20
+
+
+def spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch's rows in slices of at most ROWS rows and about BYTES of text, so what is built beside them stays small."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if any(f(c.type) for f in (pa.types.is_string, pa.types.is_binary, pa.types.is_large_string, pa.types.is_large_binary)):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right"))
+        stop = min(max(at + 1, full), at + ROWS)
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def field_types(ddl: str) -> list[T.StructField]:
@@ -19,7 +35,7 @@ def field_types(ddl: str) -> list[T.StructField]:
 
 
 def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with the columns of ``ddl``, made by ``make`` for ROWS rows at a time; ``drop`` columns end here.
+    """``df`` with the columns of ``ddl``, made by ``make`` for :func:`spans` of rows; ``drop`` columns end here.
 
     Columns of ``df`` that clash with the new names are replaced. ``make`` gets all columns, ``drop`` columns
     included. Column order: what is kept, then the new columns.
@@ -33,8 +49,7 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for batch in spans(whole):
                 kept = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n.lower() not in gone]
                 yield pa.RecordBatch.from_arrays([*kept, *make(batch)], [f.name for f in schema.fields])
 

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from relslice.llm.arrowmap import add_columns, column
 from relslice.llm.bpe import _byte_of_char
 
-#: Words whose counts a task remembers; the table is emptied when full.
-CACHE_ENTRIES = 200_000
+#: Words whose counts a task remembers, and their length at most; the table is emptied when full.
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 64
 
 #: Rows split into words at a time.
 SLICE_ROWS = 256
@@ -59,6 +59,7 @@ class PieceCounter:
                         self.link[to], self.popped[to] = self.child[at][byte], count
                 queue.append(to)
         self.known: dict[str, int] = {}
+        self.long: list[str] = []
 
     def count(self, word: bytes) -> int:
         """Number of pieces of a word, 0 if it has no segmentation or is empty."""
@@ -79,11 +80,17 @@ class PieceCounter:
         return total
 
     def counts(self, words: set[str]) -> dict[str, int]:
-        """Counts of words, given as Latin-1 text of their bytes, by way of the table of known ones; 0 for the empty word."""
+        """Counts of words, given as Latin-1 text of their bytes, by way of the table of known ones; 0 for the empty word.
+
+        Words of more than CACHE_CHARS bytes stay in the table until the next call only.
+        """
+        for w in self.long:
+            self.known.pop(w, None)
         if len(self.known) + len(words) > CACHE_ENTRIES:
             self.known.clear()
         for w in words - self.known.keys():
             self.known[w] = self.count(b" " + w.encode("latin-1")) if w else 0
+        self.long = [w for w in words if len(w) > CACHE_CHARS]
         return self.known
 
 

@@ -1,5 +1,7 @@
+import hashlib
 import re
 import struct
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -66,9 +68,41 @@ def test_bpe_decodes_any_ids():
     assert codec.decode(struct.pack("<I", codec.encode_batch(["é"]) and 127)).decode() is not None
 
 
-def test_op2_counts(spark):
-    out = entries.op2_bpe(spark, "/root/testdata/sf0.001")
-    assert out.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+def test_op2_equals_the_library(spark, reference, tmp_path):
+    """The query's own path over sf0.01 and odd texts: counts and both digests."""
+    whole = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-i, t) for i, t in enumerate([*ODD, None], 1)], whole.schema)
+    whole.unionByName(odd).coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    out = entries.op2_bpe(spark, str(tmp_path)).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        text = docs[r["doc_id"]]
+        ids = packed(reference, text)
+        back = reference.decode(list(struct.unpack(f"<{len(ids) // 4}I", ids)), skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("word", ["a" * 1_000_000, "".join(chr(0x4E00 + i * i % 20_000) for i in range(200_000))])
+def test_bpe_is_linear_in_unbroken_words(reference, word):
+    codec = bpe.BytePairCodec.load(PATH)
+    codec.encode_batch(["a"])
+    tracemalloc.start()
+    coded = codec.encode_batch([word, f"x {word}"])
+    assert [codec.decode(c).decode() for c in coded] == [word, f"x {word}"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20
+    assert coded == [packed(reference, word), packed(reference, f"x {word}")]
+    assert word not in codec.plain.now and word not in codec.spaced.now
+
+
+def test_bpe_tables_stay_within_their_bytes(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1 << 16)
+    codec = bpe.BytePairCodec(PATH)
+    some = [" ".join(f"w{i}x{j}" for j in range(300)) for i in range(20)]
+    assert [codec.encode_batch([t])[0] for t in some] == [packed(reference, t) for t in some]
+    assert all(t.size < 4 * bpe.CACHE_BYTES and len(t.before) < 700 for t in (codec.plain, codec.spaced, codec.words))
 
 
 def greedy(word, initial, continuing):
