@@ -6,7 +6,7 @@ plan of a level never contains the levels before it. Keys stay DataFrames; the d
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,7 +18,7 @@ from relslice.operators.predicates import Limits, Seed, check_seeds, select_keys
 from relslice.operators.recency import is_pure_join_table, most_recent, percent_limit, recency_column, recency_order
 from relslice.plans.graph import fk_order
 from relslice.plans.selection import foreign_keys
-from relslice.scratch import materialize
+from relslice.scratch import discard, materialize
 
 
 class SubsetLimitError(ValueError):
@@ -33,28 +33,32 @@ class SubsetLimitError(ValueError):
 class Plan:
     """The keys a subset exports, by table.
 
-    ``keys`` holds a one-column frame per table with a single-column primary key. ``members`` names, for every
-    other table in the plan, the foreign keys whose parents are in the plan; its rows are those whose parents all
-    are. ``order`` lists the tables, parents first.
+    ``keys`` holds a one-column frame per table with a single-column primary key. Other tables aren't traversed:
+    ``members`` names, for those reached as children, the foreign keys whose parents are in the plan, and takes the
+    rows whose parents all are; ``required`` holds, for those that rows of the plan refer to, the values of the
+    referenced columns, and takes the rows that have them. ``order`` lists the tables, parents first.
     """
 
     keys: dict[str, DataFrame] = field(default_factory=dict)
     counts: dict[str, int] = field(default_factory=dict)
     members: dict[str, list[FkDef]] = field(default_factory=dict)
+    required: dict[str, dict[tuple[str, ...], DataFrame]] = field(default_factory=dict)
     order: list[str] = field(default_factory=list)
     rows_read: int = 0
 
 
-def _semi(left: DataFrame, left_on: Iterable[str], right: DataFrame, right_on: Iterable[str]) -> DataFrame:
+def _semi(left: DataFrame, left_on: Iterable[str], right: DataFrame, right_on: Iterable[str], how: str = "left_semi") -> DataFrame:
     renamed = {c: f"__k{i}" for i, c in enumerate(right_on)}
     keys = right.select(*[F.col(f"`{c}`").alias(n) for c, n in renamed.items()])
     on = reduce(lambda a, b: a & b, [left[a] == keys[b] for a, b in zip(left_on, renamed.values(), strict=True)])
-    return left.join(keys, on, "left_semi")
+    return left.join(keys, on, how)
 
 
 class _Closure:
     def __init__(self, db: Database, limits: Limits):
         self.db, self.limits, self.plan = db, limits, Plan()
+        self.as_child: set[str] = set()
+        self.needed: set[tuple[str, str]] = set()
         found = foreign_keys(db)
         self.parents = {k: [f for child, f in found if child == k] for k in db.tables}
         self.children = {k: [(child, f) for child, f in found if f.parent == k] for k in db.tables}
@@ -73,9 +77,36 @@ class _Closure:
             raise SubsetLimitError("max_depth", f"table {table} lies deeper than {self.limits.max_depth}")
 
     def register(self, table: str, depth: int) -> None:
-        """Put a table into the plan, without rows yet."""
+        """Put a table that was reached as a child into the plan, without rows yet."""
         self.enter(table, depth)
         self.plan.counts.setdefault(table, 0)
+        self.as_child.add(table)
+
+    def require(self, child: str, rows: DataFrame, depth: int) -> Iterator[tuple[str, DataFrame]]:
+        """Put the rows of tables that aren't traversed to which ``rows`` of ``child`` refer into the plan.
+
+        Yields (table, keys) of the traversed tables that these rows refer to in turn.
+        """
+        for f in self.parents[child]:
+            if self.traversed(f.parent):
+                continue
+            values = rows.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(f.columns, f.parent_columns, strict=True)]).dropna().distinct()
+            known = self.plan.required.setdefault(f.parent, {})
+            old = known.get(f.parent_columns)
+            if old is not None:
+                values = _semi(values, f.parent_columns, old, f.parent_columns, "left_anti")
+            values = materialize(values, "required")
+            if values.isEmpty():
+                continue
+            self.needed.add((child, f.parent))
+            self.enter(f.parent, depth)
+            self.plan.counts.setdefault(f.parent, 0)
+            known[f.parent_columns] = values if old is None else old.unionByName(values)
+            found = _semi(self.db.frames[f.parent], f.parent_columns, values, f.parent_columns)
+            for g in self.parents[f.parent]:
+                if self.traversed(g.parent):
+                    yield g.parent, self.referenced(g, found)
+            yield from self.require(f.parent, found, depth + 1)
 
     def add(self, table: str, reached: DataFrame, depth: int, most: int | None = None) -> DataFrame | None:
         """Add reached keys to the plan; returns the new ones (None if there are none).
@@ -100,7 +131,14 @@ class _Closure:
 
     def parent_keys(self, child: str, fk: FkDef, frontier: DataFrame) -> DataFrame:
         """Primary keys of the parents of the frontier's rows, by the columns that the foreign key references."""
-        rows = _semi(self.db.frames[child], [self.db.tables[child].single_pk], frontier, [self.db.tables[child].single_pk])
+        return self.referenced(fk, self.rows(child, frontier))
+
+    def rows(self, table: str, keys: DataFrame) -> DataFrame:
+        pk = self.db.tables[table].single_pk
+        return _semi(self.db.frames[table], [pk], keys, [pk])
+
+    def referenced(self, fk: FkDef, rows: DataFrame) -> DataFrame:
+        """Primary keys of the traversed table that ``rows`` refer to by ``fk``."""
         parent = self.db.tables[fk.parent]
         pk = parent.single_pk
         values = rows.select(*[F.col(f"`{c}`") for c in fk.columns]).dropna().distinct()
@@ -120,10 +158,12 @@ class _Closure:
 
     def finish(self) -> Plan:
         plan = self.plan
-        for table in plan.counts:
+        for table in self.as_child:
             if not self.traversed(table):
                 plan.members[table] = [f for f in self.parents[table] if f.parent in plan.counts]
-        # A table whose rows need a parent has that parent in the plan.
+        for child, parent in sorted(self.needed):
+            if parent not in plan.counts:
+                raise ValueError(f"closure integrity: rows of {child} refer to {parent}, which is not in the plan")
         plan.order = [k for k in fk_order(self.db) if k in plan.counts]
         return plan
 
@@ -148,7 +188,9 @@ def closure_of_seeds(db: Database, seeds: Iterable[Seed], limits: Limits | None
     Rows read count towards ``max_rows``: the seeds' matches, one per visited row and foreign key, and every
     child of a visited row. A row at ``max_depth`` that leads anywhere, even back, is an error. With
     ``max_rows_per_table`` each level takes the most recent new children as far as the table has room; parents
-    are always taken. Tables without a single-column primary key join the plan but aren't followed.
+    are always taken. Tables without a single-column primary key join the plan but their children aren't followed:
+    as parents with the rows that are referred to, whose own parents are followed, as children with the rows whose
+    planned parents all are in the plan.
     """
     run = _Closure(db, limits or Limits())
     frontier: dict[str, DataFrame] = {}
@@ -163,29 +205,30 @@ def closure_of_seeds(db: Database, seeds: Iterable[Seed], limits: Limits | None
     while frontier:
         depth += 1
         sizes = _counts({t: f for t, f in frontier.items()})
-        up = {(t, f): run.parent_keys(t, f, front) for t, front in frontier.items() for f in run.parents[t] if run.traversed(f.parent)}
-        down = {(c, f, t): run.child_rows(c, f, front) for t, front in frontier.items() for c, f in run.children[t] if run.traversed(c)}
-        if cap:
-            down = {k: v for k, v in down.items() if run.plan.counts.get(k[0], 0) < cap}
+        up = [(f.parent, run.parent_keys(t, f, front)) for t, front in frontier.items() for f in run.parents[t] if run.traversed(f.parent)]
+        for t, front in frontier.items():
+            up += run.require(t, run.rows(t, front), depth)
+        # Each hop's join runs once; the budget is charged and keys are added from what it has written.
+        down = {(c, f, t): f for t in frontier for c, f in run.children[t] if run.traversed(c) and not (cap and run.plan.counts.get(c, 0) >= cap)}
+        down = {(c, f, t): materialize(run.child_rows(c, f, frontier[t]).select(db.tables[c].single_pk), "hop") for c, f, t in down}
         n_down = _counts(down)
         if not cap:
             run.charge(sum(sizes[t] * len(run.parents[t]) for t in frontier) + sum(n_down.values()))
         if depth > run.limits.max_depth:
-            n_up = _counts(up)
-            for table in [f.parent for (_, f), n in n_up.items() if n] + [c for (c, _, _), n in n_down.items() if n]:
+            n_up = _counts(dict(enumerate(d for _, d in up)))
+            for table in [up[i][0] for i, n in n_up.items() if n] + [c for (c, _, _), n in n_down.items() if n]:
                 run.enter(table, depth)
         for t in frontier:
             for c, _ in run.children[t]:
                 if not run.traversed(c):
                     run.register(c, depth)
         following: dict[str, DataFrame] = {}
-        for table in sorted({f.parent for _, f in up} | {c for c, _, _ in down}):
-            pk = db.tables[table].single_pk
+        for table in sorted({p for p, _ in up} | {c for c, _, _ in down}):
             new = None
-            parents = [d for (_, f), d in up.items() if f.parent == table]
+            parents = [d for p, d in up if p == table]
             if parents:
                 new = run.add(table, reduce(lambda a, b: a.unionByName(b), parents), depth)
-            kids = [d.select(pk) for (c, _, _), d in down.items() if c == table]
+            kids = [d for (c, _, _), d in down.items() if c == table]
             if kids:
                 room = cap - run.plan.counts.get(table, 0) if cap else None
                 more = run.add(table, reduce(lambda a, b: a.unionByName(b), kids), depth, room) if room is None or room > 0 else None
@@ -196,6 +239,8 @@ def closure_of_seeds(db: Database, seeds: Iterable[Seed], limits: Limits | None
                 following[table] = new
         if cap:
             run.charge(sum(sizes[t] * len(run.parents[t]) for t in frontier))
+        for hop in down.values():
+            discard(hop)
         frontier = following
     return run.finish()
 
@@ -247,6 +292,10 @@ def closure_of_percent(db: Database, percent: int, limits: Limits | None = None)
                 if run.traversed(f.parent) and run.add(f.parent, run.parent_keys(table, f, plan.keys[table]), depth + 1) is not None:
                     expand.add(f.parent)
                     added.add(f.parent)
+            for parent, keys in list(run.require(table, run.rows(table, plan.keys[table]), depth + 1)):
+                if run.add(parent, keys, depth + 1) is not None:
+                    expand.add(parent)
+                    added.add(parent)
             for child, _ in run.children[table]:
                 if not run.traversed(child):
                     run.register(child, depth + 1)
@@ -260,7 +309,7 @@ def closure_of_percent(db: Database, percent: int, limits: Limits | None = None)
                 room = limits.max_rows_per_table - plan.counts.get(child, 0) if limits.max_rows_per_table else None
                 if order_by is None or (room is not None and room <= 0):
                     continue
-                scope = run.child_rows(child, f, plan.keys[parent])
+                scope = materialize(run.child_rows(child, f, plan.keys[parent]).select(*dict.fromkeys([order_by, db.tables[child].single_pk])), "scope")
                 in_scope = scope.count()
                 if not in_scope:
                     run.register(child, depth + 1)
@@ -273,26 +322,46 @@ def closure_of_percent(db: Database, percent: int, limits: Limits | None = None)
                 pk = db.tables[child].single_pk
                 if run.add(child, scope.orderBy(*recency_order(order_by, pk)).limit(n).select(pk), depth + 1) is not None:
                     added.add(child)
+                discard(scope)
         level = added
     return run.finish()
 
 
-def exported(db: Database, plan: Plan, table: str) -> DataFrame:
-    """The rows of a table that a plan exports: its keys' rows, or those whose planned parents all are in the plan."""
+def exported(db: Database, plan: Plan, table: str, above: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of a table that a plan exports.
+
+    Those of its keys; or, without a single-column key, those that rows of the plan refer to and, where it was
+    reached as a child, those whose planned parents all are exported. ``above`` names tables that are being looked
+    at, so that foreign keys in a circle end.
+    """
     df, t = db.frames[table], db.tables[table]
     if t.single_pk:
-        if table not in plan.keys:
-            return df.limit(0)
-        return _semi(df, [t.single_pk], plan.keys[table], [t.single_pk])
-    for f in plan.members[table]:
-        parent = db.tables[f.parent]
-        if f.parent not in plan.keys:
-            return df.limit(0)
-        keys = plan.keys[f.parent]
-        if f.parent_columns != (parent.single_pk,):
-            keys = _semi(db.frames[f.parent], [parent.single_pk], keys, [parent.single_pk])
-        df = _semi(df, f.columns, keys, f.parent_columns)
-    return df
+        return _semi(df, [t.single_pk], plan.keys[table], [t.single_pk]) if table in plan.keys else df.limit(0)
+    required = plan.required.get(table, {})
+    members = plan.members.get(table)
+    bound = [(f.columns, _planned(db, plan, f, (*above, table)), f.parent_columns) for f in members or () if f.parent not in (*above, table)]
+    if not required:
+        for columns, keys, theirs in bound:
+            df = _semi(df, columns, keys, theirs)
+        return df if bound else df.limit(0)
+    # Either kind of membership: a flag for each set of keys.
+    flags = []
+    for columns, keys, theirs in [*((c, v, c) for c, v in required.items()), *bound]:
+        flag = f"__in{len(flags)}"
+        values = keys.select(*[F.col(f"`{c}`").alias(f"{flag}_{i}") for i, c in enumerate(theirs)]).distinct().withColumn(flag, F.lit(True))
+        df = df.join(values, reduce(lambda a, b: a & b, [df[c] == values[f"{flag}_{i}"] for i, c in enumerate(columns)]), "left")
+        flags.append(F.col(flag).isNotNull())
+    keep = reduce(lambda a, b: a | b, flags[: len(required)])
+    if bound:
+        keep = keep | reduce(lambda a, b: a & b, flags[len(required) :])
+    return df.where(keep).select(*db.frames[table].columns)
+
+
+def _planned(db: Database, plan: Plan, f: FkDef, above: tuple[str, ...]) -> DataFrame:
+    """The values of the columns that ``f`` refers to, of all rows of its parent that the plan exports."""
+    if f.parent in plan.keys and f.parent_columns == (db.tables[f.parent].single_pk,):
+        return plan.keys[f.parent]
+    return exported(db, plan, f.parent, above).select(*[F.col(f"`{c}`") for c in f.parent_columns])
 
 
 def orphans(child: DataFrame, fk: FkDef, parent: DataFrame) -> DataFrame:
@@ -303,10 +372,14 @@ def orphans(child: DataFrame, fk: FkDef, parent: DataFrame) -> DataFrame:
 
 
 def check_integrity(db: Database, plan: Plan) -> dict[tuple[str, str], DataFrame]:
-    """The orphans that the export of a plan would have, by (child, parent); empty frames for a closed plan."""
-    out = {}
+    """The orphans that the export of a plan would have, by (child, parent); empty frames for a closed plan.
+
+    All foreign keys that are set count, also those to tables that the plan leaves out.
+    """
+    out: dict[tuple[str, str], DataFrame] = {}
     for child in plan.order:
         for f in db.tables[child].fks:
-            if f.parent in plan.counts:
-                out[child, f.parent] = orphans(exported(db, plan, child), f, exported(db, plan, f.parent))
+            parent = exported(db, plan, f.parent) if f.parent in plan.counts else db.frames[f.parent].limit(0)
+            found = orphans(exported(db, plan, child), f, parent)
+            out[child, f.parent] = out[child, f.parent].unionByName(found) if (child, f.parent) in out else found
     return out

@@ -34,7 +34,37 @@ def test_foreign_keys_follow_referenced_columns(company):
     # The join table is in the plan, its other parent isn't: only the visited parent binds.
     assert sorted(map(tuple, exported(company, plan, "public.does").collect())) == [(10, 7), (11, 8)]
     bad = {k for k, o in check_integrity(company, plan).items() if o.count()}
-    assert bad == set()
+    assert bad == {("public.does", "public.task")}  # the parent that the plan leaves out
+
+
+def test_composite_parents_join_the_plan(spark):
+    """c(id, x, y) refers to p(x, y), which refers to q (single key) and r (x, y), which refers to q, too."""
+    i = "integer"
+    q = TableDef("q", (ColumnDef("id", i, False, True),))
+    r = TableDef("r", (ColumnDef("x", i, False, True), ColumnDef("y", i, False, True), ColumnDef("q", i)), fks=(FkDef(("q",), "public.q", ("id",)),))
+    p = TableDef("p", (ColumnDef("x", i, False, True), ColumnDef("y", i, False, True), ColumnDef("q", i)), fks=(FkDef(("q",), "public.q", ("id",)), FkDef(("x", "y"), "public.r", ("x", "y"))))
+    c = TableDef("c", (ColumnDef("id", i, False, True), ColumnDef("x", i), ColumnDef("y", i)), fks=(FkDef(("x", "y"), "public.p", ("x", "y")),))
+    f = spark.createDataFrame
+    db = Database.of(
+        (q, f([(1,), (2,), (3,)], "id int")),
+        (r, f([(1, 1, 3), (1, 2, 2)], "x int, y int, q int")),
+        (p, f([(1, 1, 1), (1, 2, 2), (2, 2, None)], "x int, y int, q int")),
+        (c, f([(10, 1, 1), (11, 1, 2), (12, None, 1)], "id int, x int, y int")),
+    )
+    for seed, pairs, singles in (((10,), [(1, 1)], [1, 3]), ((12,), None, [])):
+        plan = closure_of_seeds(db, [Seed("c", "id", "eq", seed)])
+        if pairs is None:
+            assert plan.order == ["public.c"]
+            continue
+        assert plan.order == ["public.q", "public.r", "public.p", "public.c"] and keys(plan, "q") == singles
+        # q leads back down to all of p and r whose planned parents are exported.
+        assert {(x, y) for x, y, _ in exported(db, plan, "public.p").collect()} == set(pairs)
+        assert {(x, y) for x, y, _ in exported(db, plan, "public.r").collect()} == set(pairs)
+        assert all(o.count() == 0 for o in check_integrity(db, plan).values())
+    plan = closure_of_percent(db, 100)
+    assert all(o.count() == 0 for o in check_integrity(db, plan).values()) and exported(db, plan, "public.p").count() >= 2
+    with pytest.raises(SubsetLimitError, match="max_tables"):
+        closure_of_seeds(db, [Seed("c", "id", "eq", (10,))], Limits(max_tables=2))
 
 
 def test_null_parents_lead_nowhere(company):
