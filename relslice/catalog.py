@@ -6,10 +6,10 @@ The catalog is declared by the user or read off DataFrames; it never comes from
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -280,21 +280,30 @@ def profile(db: Database) -> DataFrame:
     return out.crossJoin(F.broadcast(totals)).orderBy(F.desc("n_bytes"), "schema", "name")  # one row of totals
 
 
-def apply_transform(table: TableDef, df: DataFrame, transform: Callable[[TableDef, DataFrame], DataFrame] | None) -> DataFrame:
+#: What a user's transform gives for a table: its changed rows, or columns by name.
+Transformed = DataFrame | Mapping[str, Column]
+
+
+def apply_transform(table: TableDef, df: DataFrame, transform: Callable[[TableDef, DataFrame], Transformed] | None) -> DataFrame:
     """``df`` after a user's transform, with exactly its columns: added ones are dropped, removed ones restored.
 
-    The transform gets a frame in which every column is also there under a hidden name, so removed columns come
-    back from the same row.
+    The transform returns either a mapping of names to columns of its frame, as a ``select`` would take them (the
+    columns it doesn't name stay), or a frame made by ``withColumn``, ``drop`` and the like. For the latter every
+    column is also there under a hidden name, so removed columns come back from the same row; a ``select`` that
+    leaves the hidden ones out is an error that says so.
     """
     if transform is None:
         return df
     hidden = {c: f"__was_{i}" for i, c in enumerate(df.columns)}
-    out = transform(table, df.select("*", *[F.col(f"`{c}`").alias(h) for c, h in hidden.items()]))
+    given = df.select("*", *[F.col(f"`{c}`").alias(h) for c, h in hidden.items()])
+    out = transform(table, given)
+    if isinstance(out, Mapping):
+        return given.select(*[(out[c] if c in out else F.col(f"`{c}`")).cast(df.schema[c].dataType).alias(c) for c in df.columns])
     if out is None:
         raise ValueError(f"the transform of table {table.key} returned nothing")
     lost = [h for h in hidden.values() if h not in out.columns]
     if lost:
-        raise ValueError(f"the transform of table {table.key} must not drop the columns it was given under __was_ names")
+        raise ValueError(f"the transform of table {table.key} has lost columns it was given under __was_ names: return a mapping {{name: column}} instead of select")
     return out.select(*[F.col(f"`{c}`").cast(df.schema[c].dataType).alias(c) if c in out.columns else F.col(h).alias(c) for c, h in hidden.items()])
 
 

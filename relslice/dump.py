@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 
-from relslice.catalog import Database, TableDef, apply_transform, key_or_row_id, with_row_id
+from relslice.catalog import Database, TableDef, Transformed, apply_transform, key_or_row_id, with_row_id
 from relslice.functions.redact import redacted as redacted_column
 from relslice.functions.redact import sensitive_columns
 from relslice.operators.chunks import DEFAULT_CHUNK, MAX_CHUNK, export_chunks
@@ -61,7 +61,7 @@ def dump(
     percent: int | None = None,
     limits: Limits | None = None,
     redacted: bool = False,
-    transform: Callable[[TableDef, DataFrame], DataFrame] | None = None,
+    transform: Callable[[TableDef, DataFrame], Transformed] | None = None,
     chunk: Iterable[str] = (),
     chunk_size: int = DEFAULT_CHUNK,
     require_safe_key: bool = False,
@@ -74,8 +74,9 @@ def dump(
 
     Each table is one Spark job over the files its DataFrame was defined on. Subset exports are in key order.
     Chunked tables resume after an interruption when ``out`` and all options are the same; other tables are
-    written anew. ``transform`` changes rows after redaction, keeping the columns. ``strict`` refuses a subset
-    with orphans (possible below tables without a single-column key).
+    written anew. ``transform`` changes rows after redaction, keeping the columns (see
+    :func:`~relslice.catalog.apply_transform`). ``strict`` refuses a subset with orphans (possible below tables
+    without a single-column key).
     """
     seeds, chunk = list(seeds or ()), list(chunk)
     check_options(percent, seeds, chunk, chunk_size, workers)
@@ -120,9 +121,9 @@ def dump(
         if plan and table.pk:
             keys = list(table.pk)
             rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
-        ndjson.write(finished(table, rows), staged)
+        n = ndjson.write(finished(table, rows), staged)
         fs.rename(spark, staged, path)
-        return key, ndjson.read_lines(spark, path).count()
+        return key, n
 
     if workers > 1:
         with ThreadPoolExecutor(workers) as pool:

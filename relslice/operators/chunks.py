@@ -5,36 +5,58 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterable
+from itertools import accumulate
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relslice.catalog import KeyChoice
 from relslice.functions.coerce import POSITION
-from relslice.scratch import materialize
+from relslice.scratch import discard, materialize
 from relslice.sources import fs, ndjson
 
 DEFAULT_CHUNK, MAX_CHUNK = 1_000, 1_000_000
 
 
-def with_rank(df: DataFrame, keys: Iterable[str]) -> DataFrame:
-    """``df`` with the column rank: 0 for the smallest key, and so on, without gaps; nulls first, ties in any order.
+class Ordered:
+    """``df`` range-partitioned and sorted by key once and written; nulls first, ties in any order.
 
-    Rows are range-partitioned and sorted by key once and written; ranks are each partition's offset, of which
-    the driver adds up one count per partition, plus the place within.
+    Each row's place is its partition (of 2**33 places) plus its place within; ``starts`` holds the first rank of
+    each partition, added up on the driver from one count per partition. Places grow with ranks, and the written
+    files hold ranges of them, so :meth:`between` reads the files and row groups of its rows only.
     """
-    keys = [F.col(f"`{k}`") for k in keys]
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id())
-    ordered = materialize(ordered, "ranked").withColumn("__part", F.shiftright("__place", 33).cast("int"))
-    counts = sorted((r["__part"], r["n"]) for r in ordered.groupBy("__part").agg(F.count("*").alias("n")).collect())
-    starts, total = [], 0
-    for part, n in counts:
-        starts.append((part, total))
-        total += n
-    offsets = df.sparkSession.createDataFrame(starts, "__part int, __start long")
-    ranked = ordered.join(F.broadcast(offsets), "__part")
-    return ranked.withColumn("rank", F.col("__start") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__place", "__start")
+
+    def __init__(self, df: DataFrame, keys: Iterable[str]):
+        keys = [F.col(f"`{k}`") for k in keys]
+        self.rows = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()), "ranked")
+        counts = sorted((r["part"], r["n"]) for r in self.rows.groupBy(F.shiftright("__place", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+        self.starts = list(zip([p for p, _ in counts], accumulate([n for _, n in counts], initial=0), strict=False))
+        self.count = sum(n for _, n in counts)
+
+    def ranked(self, rows: DataFrame) -> DataFrame:
+        """``rows`` of the written table with the column rank: 0 for the smallest key, and so on, without gaps."""
+        offsets = rows.sparkSession.createDataFrame(self.starts, "__part long, __start long")
+        found = rows.withColumn("__part", F.shiftright("__place", 33)).join(F.broadcast(offsets), "__part")
+        return found.withColumn("rank", F.col("__start") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__place", "__start")
+
+    def place(self, rank: int) -> int:
+        """The place of a rank; that behind the last row for larger ones."""
+        i = bisect_right([start for _, start in self.starts], rank) - 1
+        return (self.starts[i][0] << 33) + rank - self.starts[i][1] if self.starts else 0
+
+    def between(self, first: int, stop: int) -> DataFrame:
+        """The rows whose ranks are from ``first`` to before ``stop``, with their ranks."""
+        places = F.col("__place")
+        return self.ranked(self.rows.where((places >= self.place(first)) & (places < self.place(min(stop, self.count)))))
+
+
+def with_rank(df: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """``df`` with the column rank: 0 for the smallest key, and so on, without gaps; nulls first, ties in any order."""
+    ordered = Ordered(df, keys)
+    return ordered.ranked(ordered.rows)
 
 
 def with_chunk(df: DataFrame, keys: Iterable[str], size: int = DEFAULT_CHUNK) -> DataFrame:
@@ -45,17 +67,36 @@ def with_chunk(df: DataFrame, keys: Iterable[str], size: int = DEFAULT_CHUNK) ->
 
 
 def next_chunk(df: DataFrame, keys: Iterable[str], after: tuple | None, size: int = DEFAULT_CHUNK) -> DataFrame:
-    """The ``size`` rows with the smallest keys after the key ``after``."""
+    """The ``size`` rows with the smallest keys after the key ``after``; rows with a null in the key come before all others.
+
+    The comparison is spelled out by column, with a bound of the first column by itself, so that scans can skip.
+    """
     keys = list(keys)
     if after is not None:
-        last = F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(keys, after, strict=True)])
-        df = df.where(F.struct(*[F.col(f"`{k}`") for k in keys]) > last)
+        pairs = [(F.col(f"`{k}`"), F.lit(v).cast(df.schema[k].dataType)) for k, v in zip(keys, after, strict=True)]
+        later = F.lit(False)
+        for c, v in reversed(pairs):
+            later = (c > v) | ((c == v) & later)
+        df = df.where(pairs[0][0] >= pairs[0][1]).where(later)
     return df.orderBy(*[F.col(f"`{k}`") for k in keys]).limit(size)
 
 
-def fingerprint(table: str, choice: KeyChoice, size: int, files: Iterable[str], options: dict) -> str:
+def data_state(df: DataFrame) -> list:
+    """What tells one state of a frame's data from another, in one row: of files their number and a digest of names,
+    sizes and times; of other frames the number and a digest of all rows."""
+    try:
+        files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        digest = F.xxhash64("file_path", "file_size", "file_modification_time")
+        found = files.agg(F.count("*").alias("n"), F.bit_xor(digest).alias("a"), F.sum(digest.cast("decimal(38,0)")).alias("b"))
+    except AnalysisException:
+        digest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        found = df.agg(F.count("*").alias("n"), F.bit_xor(digest).alias("a"), F.sum(digest.cast("decimal(38,0)")).alias("b"))
+    return [str(x) for x in found.first()]
+
+
+def fingerprint(table: str, choice: KeyChoice, size: int, state: list, options: dict) -> str:
     """What a chunked export depends on, as a SHA-256 digest; a resumed run must have the same."""
-    plan = {"table": table, "strategy": choice.strategy, "keys": list(choice.columns), "size": size, "files": sorted(files), "options": options}
+    plan = {"table": table, "strategy": choice.strategy, "keys": list(choice.columns), "size": size, "data": state, "options": options}
     return hashlib.sha256(json.dumps(plan, sort_keys=True).encode()).hexdigest()
 
 
@@ -67,7 +108,7 @@ def export_chunks(df: DataFrame, out: str, table: str, choice: KeyChoice, size:
     ``finish`` (redaction, say) is applied after rows are numbered by their true keys.
     """
     spark = df.sparkSession
-    mark, plan = fingerprint(table, choice, size, df.inputFiles(), options), f"{out}/_plan.json"
+    mark, plan = fingerprint(table, choice, size, data_state(df), options), f"{out}/_plan.json"
     if fs.exists(spark, plan):
         if json.loads(fs.read_text(spark, plan))["fingerprint"] != mark:
             raise ValueError(f"{out} holds chunks of another export of {table}")
@@ -75,16 +116,15 @@ def export_chunks(df: DataFrame, out: str, table: str, choice: KeyChoice, size:
         fs.write_text(spark, plan, json.dumps({"fingerprint": mark, "table": table, "strategy": choice.strategy, "keys": list(choice.columns), "size": size}))
     if not 1 <= size <= MAX_CHUNK:
         raise ValueError(f"a chunk has 1 to {MAX_CHUNK} rows")
-    ranked = with_rank(df, choice.columns)
-    n = ranked.count()
-    done = set(fs.listdir(spark, out))
-    for first in range(0, max(1, math.ceil(n / size)), per_job):
+    done, ordered = set(fs.listdir(spark, out)), Ordered(df, choice.columns)
+    for first in range(0, max(1, math.ceil(ordered.count / size)), per_job):
         folder = f"chunks-{first:09d}"
         if folder in done:
             continue
         fs.delete(spark, f"{out}/_staged")
-        part = ranked.where((F.col("rank") >= first * size) & (F.col("rank") < (first + per_job) * size))
+        part = ordered.between(first * size, (first + per_job) * size)
         part = part.withColumn("chunk_id", F.floor(F.col("rank") / size).cast("long")).withColumn(POSITION, F.col("rank"))
         ndjson.write(finish(part).select(*columns, POSITION, "chunk_id"), f"{out}/_staged", position=False, partition_by=["chunk_id"])
         fs.rename(spark, f"{out}/_staged", f"{out}/{folder}")
-    return n
+    discard(ordered.rows)
+    return ordered.count

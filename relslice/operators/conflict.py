@@ -51,6 +51,25 @@ def conflicts(target: DataFrame, incoming: DataFrame, keys: tuple[str, ...]) ->
     return shared.unionByName(twice)
 
 
+def appended(target: DataFrame, incoming: DataFrame, table: TableDef, policy: str) -> DataFrame | None:
+    """The rows that a load adds to the target; None where it changes rows that are there (upsert)."""
+    keys = conflict_key(table, policy)
+    if policy == "error":
+        if keys and (bad := conflicts(target, incoming, keys).limit(1).collect()):
+            raise ConflictError(f"{table.key}: key {tuple(bad[0][k] for k in keys)} {bad[0]['problem']}")
+        return incoming.select(*target.columns)
+    if policy == "upsert" and _settable(target, table, keys):
+        return None
+    new = one_per_key(incoming, keys, "first")
+    known = target.select(*[F.col(f"`{k}`").alias(f"__t{i}") for i, k in enumerate(keys)])
+    on = reduce(lambda x, y: x & y, [new[k] == known[f"__t{i}"] for i, k in enumerate(keys)])
+    return new.join(known, on, "left_anti").select(*target.columns)
+
+
+def _settable(target: DataFrame, table: TableDef, keys: tuple[str, ...]) -> list[str]:
+    return [c for c in target.columns if c not in keys and (d := table.column(c)) is not None and d.generated is None and d.identity != "ALWAYS"]
+
+
 def merged(target: DataFrame, incoming: DataFrame, table: TableDef, policy: str) -> DataFrame:
     """The target's rows after loading ``incoming`` (which may have a place, __pos).
 
@@ -58,18 +77,10 @@ def merged(target: DataFrame, incoming: DataFrame, table: TableDef, policy: str)
     repeated keys the first counts. upsert: rows already there get the last incoming row's values but for the key,
     ALWAYS identity and generated columns; with no column left to set it is skip.
     """
-    keys = conflict_key(table, policy)
-    columns = target.columns
-    if policy == "error":
-        if keys and (bad := conflicts(target, incoming, keys).limit(1).collect()):
-            raise ConflictError(f"{table.key}: key {tuple(bad[0][k] for k in keys)} {bad[0]['problem']}")
-        return target.unionByName(incoming.select(*columns))
-    settable = [c for c in columns if c not in keys and (d := table.column(c)) is not None and d.generated is None and d.identity != "ALWAYS"]
-    if policy == "skip" or not settable:
-        new = one_per_key(incoming, keys, "first")
-        known = target.select(*[F.col(f"`{k}`").alias(f"__t{i}") for i, k in enumerate(keys)])
-        on = reduce(lambda x, y: x & y, [new[k] == known[f"__t{i}"] for i, k in enumerate(keys)])
-        return target.unionByName(new.join(known, on, "left_anti").select(*columns))
+    if (more := appended(target, incoming, table, policy)) is not None:
+        return target.unionByName(more)
+    keys, columns = conflict_key(table, policy), target.columns
+    settable = _settable(target, table, keys)
     new = one_per_key(incoming, keys, "last").select(*[F.col(f"`{c}`").alias(f"__new_{i}") for i, c in enumerate(columns)], F.lit(True).alias("__in"))
     old = target.withColumn("__there", F.lit(True))
     on = reduce(lambda x, y: x & y, [old[k] == new[f"__new_{columns.index(k)}"] for k in keys])

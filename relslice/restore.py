@@ -15,7 +15,7 @@ from relslice.catalog import Database, TableDef, schema_violations
 from relslice.functions.coerce import POSITION
 from relslice.operators import verify as marks
 from relslice.operators.closure import orphans
-from relslice.operators.conflict import ConflictError, conflict_key, inbound_fks, merged
+from relslice.operators.conflict import ConflictError, appended, conflict_key, inbound_fks, merged
 from relslice.plans.graph import fk_levels, fk_order
 from relslice.plans.selection import exclude_for_restore
 from relslice.scratch import discard, materialize
@@ -90,7 +90,12 @@ def restore(
         table = target.tables[key]
         # Typed once; the conflict policies look at incoming rows several times.
         rows = materialize(_full(_incoming(spark, path, dumped.tables[key]), table), "incoming")
-        target.stage(key, rows.drop(POSITION) if replace else merged(target.frame(key), rows, table, on_conflict))
+        # A load that changes no row writes its new rows only; the target is read by its keys.
+        more = None if replace else appended(target.frame(key), rows, table, on_conflict)
+        if more is not None:
+            target.stage(key, more, append=True)
+        else:
+            target.stage(key, rows.drop(POSITION) if replace else merged(target.frame(key), rows, table, on_conflict))
         discard(rows)
 
     report = Report()
@@ -133,7 +138,7 @@ def _load_levels(spark: SparkSession, path: str, target: Warehouse, dumped: Data
         def one(key: str) -> tuple[str, Exception | None]:
             try:
                 load(key)
-                fs.replace(spark, f"{target.location(key)}.__staged", target.location(key))
+                target.place(key)
                 return key, None
             except Exception as e:  # noqa: BLE001  kept for the caller, after the level has ended
                 return key, e

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from relslice.catalog import TableDef
@@ -18,11 +18,18 @@ _WRITE = {
 }
 
 
-def write(df: DataFrame, path: str, position: bool = True, partition_by: list[str] | None = None, mode: str = "error") -> None:
-    """Write rows; with ``position`` each line says its place in the dump, which loads follow for repeated keys."""
-    out = df.withColumn(POSITION, F.monotonically_increasing_id()) if position else df
+def write(df: DataFrame, path: str, position: bool = True, partition_by: list[str] | None = None, mode: str = "error") -> int:
+    """Write rows and return their number, as the writing job has counted it.
+
+    With ``position`` each line says its place in the dump, which loads follow for repeated keys.
+    """
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    out = out.withColumn(POSITION, F.monotonically_increasing_id()) if position else out
     writer = out.write.mode(mode).options(**_WRITE)
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
+    # A frame that is known to be empty may be planned without the counting step.
+    return seen.get.get("n", 0)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -1,8 +1,9 @@
-"""A target database: one Parquet folder per table, replaced whole."""
+"""A target database: one Parquet folder per table, replaced whole or added to by folders of new files."""
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,29 +33,37 @@ class Warehouse:
         schema = table_schema(self.tables[key])
         if not fs.exists(self.spark, self.location(key)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.location(key))
+        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(self.location(key))
 
     def database(self) -> Database:
         return Database(dict(self.tables), {k: self.frame(k) for k in self.tables})
 
-    def stage(self, key: str, rows: DataFrame) -> None:
-        """Write a table's new rows beside it; generated columns are computed here."""
+    def stage(self, key: str, rows: DataFrame, append: bool = False) -> None:
+        """Write rows beside a table, either all of its rows or, with ``append``, those to add; generated columns are computed here."""
         t = self.tables[key]
         types = table_schema(t)
         for c in t.columns:
             if c.generated is not None:
                 rows = rows.withColumn(c.name, F.expr(c.generated))
-        fs.delete(self.spark, f"{self.location(key)}.__staged")
-        rows.select(*[rows[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in types.fields]).write.parquet(f"{self.location(key)}.__staged")
+        for end in ("__staged", "__added"):
+            fs.delete(self.spark, f"{self.location(key)}.{end}")
+        path = f"{self.location(key)}.{'__added' if append else '__staged'}"
+        rows.select(*[rows[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in types.fields]).write.parquet(path)
+
+    def place(self, key: str) -> None:
+        """Put what is staged for a table into place, by one rename; rows to add become a folder of their own below the table's."""
+        where = self.location(key)
+        if fs.exists(self.spark, f"{where}.__staged"):
+            fs.replace(self.spark, f"{where}.__staged", where)
+        elif fs.exists(self.spark, f"{where}.__added"):
+            fs.rename(self.spark, f"{where}.__added", f"{where}/load-{uuid.uuid4().hex}")
 
     def publish(self, keys: list[str]) -> None:
         """Put staged tables into place one after the other; a note names those still to come, so a broken run can be finished by calling this again."""
         note = f"{self.path}/_publish.json"
         fs.write_text(self.spark, note, json.dumps({"pending": keys}))
         for i, key in enumerate(keys):
-            staged = f"{self.location(key)}.__staged"
-            if fs.exists(self.spark, staged):
-                fs.replace(self.spark, staged, self.location(key))
+            self.place(key)
             fs.write_text(self.spark, note, json.dumps({"pending": keys[i + 1 :]}))
         fs.delete(self.spark, note)
 

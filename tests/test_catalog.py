@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from relslice.catalog import ColumnDef, Database, FkDef, TableDef, UniqueDef, apply_transform, choose_key, describe, key_or_row_id, key_violations, qualify, schema_violations, with_row_id
 from relslice.plans.graph import fk_levels, fk_order, view_order
@@ -116,3 +117,11 @@ def test_transform_keeps_the_column_set(spark):
     assert [tuple(r) for r in out.collect()] == [(10, "a")] and out.columns == ["i", "s"]
     with pytest.raises(ValueError, match="returned nothing"):
         apply_transform(describe(df, "t"), df, lambda _, d: None)
+
+
+def test_transform_by_columns(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "i int, s string, x double")
+    out = apply_transform(describe(df, "t"), df, lambda _, d: {"i": d["i"] + 1, "s": F.upper("s"), "more": d["x"]})
+    assert out.columns == ["i", "s", "x"] and [tuple(r) for r in out.collect()] == [(2, "A", 2.0)]
+    with pytest.raises(ValueError, match="mapping"):
+        apply_transform(describe(df, "t"), df, lambda _, d: d.select("i"))

@@ -2,11 +2,13 @@ import datetime as dt
 import decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from relslice.catalog import ColumnDef, TableDef, describe
 from relslice.functions.coerce import FIRST, LAST, typed, violations
 from relslice.functions.redact import redact, scrub, sensitive_columns
 from relslice.operators import chunks, conflict
+from relslice.operators.chunks import Ordered, next_chunk
 from relslice.operators.conflict import ConflictError
 from relslice.scratch import fresh_path
 from relslice.sources import ndjson
@@ -31,7 +33,6 @@ def test_redaction(spark):
     ],
 )
 def test_scrubbing(spark, text, want):
-    from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(text,)], "t string").select(scrub(F.col("t"))).first()[0] == want
 
@@ -129,3 +130,31 @@ def test_conflicts(spark):
         merged(spark, "skip", old, [(2, "c", 7, None), (2, "d", 8, None)])
     with pytest.raises(ValueError, match="no key"):
         conflict.conflict_key(TableDef("t", (ColumnDef("v", "text"),)), "skip")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('password="a b" x', "password=*** x"), (r'pwd="a\" b" x', "pwd=*** x"), ("secret='a b", "secret=***"), ("key='a\nb' x", "key=*** x"), ("monkey=5", "monkey=***"), ("token= x", "token=*** x"),
+        ("keyless=5", "keyless=5"),
+    ],
+)
+def test_scrubbing_of_quoted_values(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(scrub(F.col("t"))).first()[0] == want
+
+
+def test_next_chunk_skips_in_the_scan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    found = next_chunk(df, ["o_custkey", "o_orderkey"], (20, 300), 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(o_custkey,20)" in plan
+    want = sorted((r["o_custkey"], r["o_orderkey"]) for r in df.collect() if (r["o_custkey"], r["o_orderkey"]) > (20, 300))[:10]
+    assert [(r["o_custkey"], r["o_orderkey"]) for r in found.collect()] == want
+
+
+def test_ranges_of_ranks_are_found_by_place(spark):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(5)
+    ordered = Ordered(df, ["k"])
+    assert [sorted(r["k"] for r in ordered.between(a, b).collect()) for a, b in ((0, 10), (495, 505), (990, 2000))] == [list(range(10)), list(range(495, 505)), list(range(990, 1000))]
+    assert "PushedFilters: [IsNotNull(__place), GreaterThanOrEqual(__place" in ordered.between(5, 9)._jdf.queryExecution().executedPlan().toString()
+    assert Ordered(df.limit(0), ["k"]).between(0, 10).count() == 0
