@@ -94,15 +94,11 @@ for _name, _seeds, _where in (
 
 # Closure ------------------------------------------------------------------------------------------------------
 
-SEEDS = [Seed("customer", "c_custkey", "in", (1, 7))]
+SEEDS = [Seed("customer", "c_acctbal", "lt", (0,))]
 WIDE = Limits(max_rows=10**12)
-_CLOSURE = """WITH RECURSIVE r(t, k) AS (
-  SELECT 'public.customer', c_custkey FROM customer WHERE c_custkey IN (1, 7)
-  UNION
-  SELECT x.t, x.k FROM r, LATERAL (
-    SELECT 'public.orders' AS t, o_orderkey AS k FROM orders WHERE r.t = 'public.customer' AND o_custkey = r.k
-    UNION ALL
-    SELECT 'public.customer', o_custkey FROM orders WHERE r.t = 'public.orders' AND o_orderkey = r.k) x)
+_CLOSURE = """WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal < 0),
+o AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT k FROM c)),
+r AS (SELECT 'public.customer' AS t, k FROM c UNION ALL SELECT 'public.orders', k FROM o)
 """
 
 
@@ -119,7 +115,7 @@ def closure_keyless_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closure.exported(db, closure.closure_of_seeds(db, SEEDS, WIDE), "public.lineitem")
 
 
-@query(_CLOSURE + "SELECT 2 + 2 * (SELECT count(*) FROM r WHERE t = 'public.orders')::BIGINT AS rows_read")
+@query(_CLOSURE + "SELECT (SELECT count(*) FROM c) + 2 * (SELECT count(*) FROM o) AS rows_read")
 def closure_row_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = closure.closure_of_seeds(shop(spark, sf_dir, "customer", "orders"), SEEDS, WIDE)
     keys = plan.keys["public.orders"].agg(F.count("*").alias("n"))
@@ -148,7 +144,7 @@ def closure_snowflake(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-_PERCENT = """WITH roots AS (SELECT c_custkey FROM customer ORDER BY 1 DESC LIMIT (SELECT cast(ceil(count(*) * 10 / 100.0) AS BIGINT) FROM customer)),
+PERCENT_SQL = """WITH roots AS (SELECT c_custkey FROM customer ORDER BY 1 DESC LIMIT (SELECT cast(ceil(count(*) * 10 / 100.0) AS BIGINT) FROM customer)),
 scope AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM roots)),
 kids AS (SELECT o_orderkey FROM scope ORDER BY 1 DESC LIMIT (SELECT cast(ceil(count(*) * 10 / 100.0) AS BIGINT) FROM scope))
 """
@@ -159,17 +155,17 @@ def _percent(spark: SparkSession, sf_dir: str, *names: str) -> tuple[Database, c
     return db, closure.closure_of_percent(db, 10, WIDE)
 
 
-@query(_PERCENT + "SELECT c_custkey FROM roots")
+@query(PERCENT_SQL + "SELECT c_custkey FROM roots")
 def percent_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _percent(spark, sf_dir, "customer", "orders")[1].keys["public.customer"]
 
 
-@query(_PERCENT + "SELECT o_orderkey FROM kids")
+@query(PERCENT_SQL + "SELECT o_orderkey FROM kids")
 def percent_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _percent(spark, sf_dir, "customer", "orders")[1].keys["public.orders"]
 
 
-@query(_PERCENT + "SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM kids)")
+@query(PERCENT_SQL + "SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM kids)")
 def percent_export_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     db, plan = _percent(spark, sf_dir, "customer", "orders", "lineitem")
     return closure.exported(db, plan, "public.lineitem")
@@ -321,7 +317,7 @@ def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Verification and marks ---------------------------------------------------------------------------------------
 
-_ALL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+ALL_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
 @query("""SELECT 'public.customer' AS key, count(*) AS source_rows, count(*) FILTER (c_acctbal > 0) AS target_rows FROM customer
@@ -357,9 +353,9 @@ def marks_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.mark_mismatches(source, _marks(spark, sf_dir, "CASE WHEN max_id > 1000 THEN max_id - 1 ELSE max_id END", "false"))
 
 
-@query(" UNION ALL ".join(f"SELECT 'public' AS schema, '{t}' AS name, 'table' AS kind, count(*) AS n_rows, 8::BIGINT AS n_objects FROM {t}" for t in _ALL))
+@query(" UNION ALL ".join(f"SELECT 'public' AS schema, '{t}' AS name, 'table' AS kind, count(*) AS n_rows, 8::BIGINT AS n_objects FROM {t}" for t in ALL_TABLES))
 def profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile(shop(spark, sf_dir, *_ALL)).select("schema", "name", "kind", "n_rows", "n_objects")
+    return profile(shop(spark, sf_dir, *ALL_TABLES)).select("schema", "name", "kind", "n_rows", "n_objects")
 
 
 # Composite operators ------------------------------------------------------------------------------------------
@@ -378,10 +374,10 @@ def dump_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A subset dump by seeds, read back from its row file."""
     db, path = shop(spark, sf_dir, "customer", "orders", "lineitem"), fresh_path(spark, "dump")
     dump(db, path, seeds=SEEDS, limits=WIDE)
-    return _read_back(spark, path, db.tables["public.orders"])
+    return read_back(spark, path, db.tables["public.orders"])
 
 
-def _read_back(spark: SparkSession, path: str, definition: TableDef) -> DataFrame:
+def read_back(spark: SparkSession, path: str, definition: TableDef) -> DataFrame:
     return ndjson.rows_of(ndjson.read(spark, f"{path}/{manifest.data_file(definition)}", definition), definition).drop(POSITION)
 
 
