@@ -1,30 +1,44 @@
 """Near-duplicate documents by one-permutation MinHash with optimal densification.
 
 A text's set of word shingles is hashed once; each of 128 bins keeps its smallest hash, and an empty bin copies
-that of a bin picked by its own hash sequence. Four bins make a band, texts with equal bands share a bucket, and
+that of a bin picked by its own hash sequence. Some bins make a band, texts with equal bands share a bucket, and
 a bucket's candidates are the edges of a star from its most central text, so candidates grow with the texts, not
-with their pairs. Links are confirmed on full sets. Texts of a bucket that aren't linked with its centre are
-compared with the rest of the bucket in blocks of bounded size, so that no link hangs on the choice of centres.
+with their pairs. Texts that aren't linked with their centre get a new one among themselves, a few times over.
+Links are confirmed on full sets.
+
+So that no link hangs on the choice of centres, texts of buckets whose members are in several components by then
+are compared once more, exactly: two sets that are alike enough share one of the rarest of their shingles (of n
+shingles the n - ceil(percent * n / 100) + 1 first ones in any common order), so only texts of different components
+that meet in such a shingle are candidates.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relslice.llm.arrowmap import add_columns, column
 from relslice.llm.components import connected_components
 from relslice.llm.textcore import _STEP, distinct, mix, runs, shingles, space_words
-from relslice.scratch import materialize
+from relslice.scratch import discard, materialize
+
+BINS = 128
+
+#: Stars that a bucket gets at most, each among the texts that the ones before haven't linked.
+ROUNDS = 3
 
-BINS, BANDS = 128, 32
+#: Counters of shingles by hash, by which texts order theirs; they pass through the driver, 8 bytes each.
+COUNTERS = 1 << 20
 
-#: Texts on either side of a block comparison.
-BLOCK = 1024
+#: The chance at most that no band is shared by two texts that are just alike enough.
+MISS = 1e-7
 
 #: Parts that a large component is joined in.
 SALTS = 32
@@ -45,10 +59,19 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """One 64-bit key per band (columns) for each non-empty sorted set (rows); the band's number is part of the key."""
+def rows_per_band(percent: int) -> int:
+    """The most bins per band (4, 2 or 1) with which a link at ``percent`` is missed with probability MISS at most."""
+    for r in (4, 2, 1):
+        if 0 < percent <= 100 and (1 - (percent / 100) ** r) ** (BINS // r) <= MISS:
+            return r
+    raise ValueError(f"similarities from 12 to 100 per cent are found, not {percent}")
+
+
+def band_keys(sets: list[np.ndarray], rows: int = 4) -> np.ndarray:
+    """One 64-bit key per band of ``rows`` bins (columns) for each non-empty sorted set (rows); the band's number is part of the key."""
+    bands = BINS // rows
     if not sets:
-        return np.zeros((0, BANDS), np.int64)
+        return np.zeros((0, bands), np.int64)
     least = np.empty((len(sets), BINS), np.uint64)
     full = np.empty((len(sets), BINS), bool)
     for i, s in enumerate(sets):
@@ -65,9 +88,9 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
         row, hole = row[~found], hole[~found]
     for i, j in zip(row.tolist(), hole.tolist(), strict=True):  # one in 10**14: take the first full bin
         least[i, j] = least[i, int(full[i].argmax())]
-    least = least.reshape(len(sets), BANDS, BINS // BANDS)
-    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(sets), BANDS))
-    for j in range(BINS // BANDS):
+    least = least.reshape(len(sets), bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(sets), bands))
+    for j in range(rows):
         key = mix(key * _STEP + least[:, :, j])
     return key.view(np.int64)
 
@@ -82,13 +105,13 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def signatures(docs: DataFrame, k: int, text: str) -> DataFrame:
-    """``docs`` without its text, with n_shingles, set_id (null for an empty set) and bands (null likewise)."""
+def signatures(docs: DataFrame, k: int, text: str, rows: int = 4) -> DataFrame:
+    """``docs`` without its text, with n_shingles, set_id (null for an empty set) and bands of ``rows`` bins (null likewise)."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = shingle_sets(column(batch, text), k)
         size = np.array([s.size for s in sets], np.int64)
-        keys = iter(band_keys([s for s in sets if s.size]))
+        keys = iter(band_keys([s for s in sets if s.size], rows))
         return [pa.array(size), _set_ids(sets), pa.array([next(keys) if n else None for n in size], pa.list_(pa.int64()))]
 
     return add_columns(docs, "n_shingles long, set_id binary, bands array<long>", make, drop=(text,))
@@ -97,8 +120,9 @@ def signatures(docs: DataFrame, k: int, text: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``key``, n_shingles, component_id, kept.
 
-    Documents whose sets of ``k``-word shingles satisfy 100 * intersection >= percent * union are linked (for the
-    bands used here ``percent`` should be 70 or more: a link at 80 is missed by all bands once in 10**7 times).
+    Documents whose sets of ``k``-word shingles satisfy 100 * intersection >= percent * union are linked. Bands
+    are as wide as ``percent`` allows: a link at just that similarity is missed once in 10**7 times at most; below 12
+    per cent is an error.
     component_id is the smallest key that links lead to, the document's own included; kept says that it is the
     document's own. A text with fewer than ``k`` words has its whole sequence as one shingle; null texts, empty
     ones and those without words have no shingles and are linked with nothing. Equal texts are linked. Rows with
@@ -110,25 +134,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "
 
 def _decided(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
     """key, set_id, n_shingles, component_id and kept of each row."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    signed = materialize(signatures(rows, k, "text"), "signatures")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("digest", F.xxhash64("text"))
+    signed = materialize(signatures(rows, k, "text", rows_per_band(percent)), "signatures")
     # Texts with equal sets count as one from here on.
-    sets = signed.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("first_key"), F.first("bands").alias("bands"))
-    placed = sets.select("set_id", "first_key", F.explode("bands").alias("bucket"))
+    first = F.min(F.struct(F.col("key").isNull(), "key", "digest")).alias("first")
+    sets = signed.where("set_id is not null").groupBy("set_id").agg(first, F.first("bands").alias("bands"))
+    placed = sets.select("set_id", "first", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(placed.join(shared, "bucket"), "members")
     full = _full_sets(rows, members, k)
-    # Each bucket's centre is the text that shares most buckets with most others.
-    central = members.groupBy("set_id").agg(F.sum("size").alias("degree"))
-    centres = members.join(central, "set_id").groupBy("bucket").agg(F.max(F.struct("degree", "set_id")).alias("__most"))
-    starred = materialize(members.join(centres.select("bucket", F.col("__most.set_id").alias("centre")), "bucket").select("bucket", "size", "centre", "set_id"), "starred")
-    star = _confirmed(starred.where("set_id != centre").select("centre", "set_id").distinct(), full, percent)
-    links = star.where("linked").select(F.col("centre").alias("a"), F.col("set_id").alias("b"))
-    links = materialize(links.unionByName(_rest(starred, star, full, percent)).distinct(), "links")
+    stars, open_ = _stars(members, full, percent)
+    links = materialize(stars.distinct(), "links")
     roots = connected_components(links, "a", "b")
+    roots = _joined(roots, _rest(members, open_, roots, full, percent))
     firsts = signed.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("first_key"), F.count("*").alias("copies"))
     named = firsts.join(_named(roots, firsts), "set_id", "left").select("set_id", F.coalesce("least", "first_key").alias("component_id"), "copies")
-    out = _join_by_set(signed.select("key", "n_shingles", "set_id"), materialize(named, "named"))
+    named = materialize(named, "named")
+    for done in (members, full, links):
+        discard(done)
+    out = _join_by_set(signed.select("key", "n_shingles", "set_id"), named)
     component = F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("component_id"))
     return out.select("key", "set_id", "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept"))
 
@@ -159,9 +183,9 @@ def _named(roots: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def _full_sets(rows: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """set_id and shingles of each text that shares a bucket, from the texts themselves."""
-    wanted = members.select("first_key").distinct().hint("shuffle_hash")
-    some = rows.join(wanted, rows["key"].eqNullSafe(wanted["first_key"]), "left_semi")
+    """set_id and shingles of each text that shares a bucket, from the texts themselves: of each set its first key's."""
+    wanted = members.select(F.col("first.key").alias("first_key"), F.col("first.digest").alias("first_digest")).distinct()
+    some = rows.join(wanted, rows["key"].eqNullSafe(wanted["first_key"]) & (rows["digest"] == wanted["first_digest"]), "left_semi")
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = shingle_sets(column(batch, "text"), k)
@@ -171,66 +195,102 @@ def _full_sets(rows: DataFrame, members: DataFrame, k: int) -> DataFrame:
     return materialize(made.where("set_id is not null").groupBy("set_id").agg(F.first("shingles").alias("shingles")), "sets")
 
 
+def _stars(members: DataFrame, full: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links a, b; buckets of more than two texts, some of them without a link to their first centre).
+
+    A bucket's centre is the text that shares most buckets with most others, first of all its texts, then of those
+    that no centre of the bucket is linked with. A round's work is one comparison per text and bucket.
+    """
+    central = members.groupBy("set_id").agg(F.sum("size").alias("degree"))
+    left = members.join(central, "set_id").select("bucket", "size", "set_id", "degree")
+    links, open_, superseded = [], None, None
+    for _ in range(ROUNDS):
+        centres = left.groupBy("bucket").agg(F.max(F.struct("degree", "set_id")).alias("most"), F.count("*").alias("n")).where("n > 1")
+        starred = left.join(centres.select("bucket", F.col("most.set_id").alias("centre")), "bucket").where("set_id != centre")
+        starred = materialize(starred, "starred")
+        star = _confirmed(starred.select("centre", "set_id").distinct(), full, percent)
+        links.append(star.where("linked").select(F.col("centre").alias("a"), F.col("set_id").alias("b")))
+        left = materialize(starred.join(star.where("not linked"), ["centre", "set_id"], "left_semi").select("bucket", "size", "set_id", "degree"), "outliers")
+        discard(starred)
+        if superseded is not None:
+            discard(superseded)
+        if open_ is None:
+            open_ = materialize(left.where("size > 2").select("bucket").distinct(), "open")
+        superseded = left
+        if left.isEmpty():
+            break
+    return reduce(lambda x, y: x.unionByName(y), links), open_
+
+
+def _alike(n_a: Column, n_b: Column, both: Column, percent: int) -> Column:
+    return both.cast("long") * 100 >= (n_a.cast("long") + n_b - both) * percent
+
+
 def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """centre, set_id, linked for each pair, by the full sets."""
     b = full.select("set_id", F.col("shingles").alias("b"))
     a = full.select(F.col("set_id").alias("centre"), F.col("shingles").alias("a"))
-    both = F.size(F.array_intersect("a", "b"))
-    union = F.size("a") + F.size("b") - both
-    checked = pairs.join(b, "set_id").join(a, "centre").select("centre", "set_id", (both.cast("long") * 100 >= union.cast("long") * percent).alias("linked"))
-    return materialize(checked, "star")
-
-
-def _rest(starred: DataFrame, star: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of texts that aren't linked with their bucket's centre, with any text of the bucket.
-
-    Buckets with the same members are looked at once. Outliers and members meet in blocks of BLOCK each.
+    linked = _alike(F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b")), percent)
+    return materialize(pairs.join(b, "set_id").join(a, "centre").select("centre", "set_id", linked.alias("linked")), "star")
+
+
+def _rest(members: DataFrame, open_: DataFrame, roots: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components (named by their roots) of texts in ``open_`` buckets, by their rarest shingles."""
+    some = members.join(open_, "bucket", "left_semi").select("bucket", "set_id")
+    some = some.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    some = materialize(some, "several")
+    mixed = some.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("bucket")
+    chosen = materialize(some.join(mixed, "bucket", "left_semi").select("set_id", "root").distinct().join(full, "set_id"), "chosen")
+    pairs, prefix = _candidates(chosen, percent)
+    pairs = pairs.join(full.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
+    found = pairs.where(_alike(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")), percent))
+    found = materialize(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "rest")
+    for done in (some, chosen, prefix):
+        discard(done)
+    return found
+
+
+def _candidates(chosen: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, root_a, root_b) of sets in different components that share one of their rarest shingles, and the table of these.
+
+    How rare a shingle is, is counted by hash over all of ``chosen`` (set_id, root, shingles); any counts would do
+    for a common order, those of the data keep the pairs few. Sizes that rule a link out are left out.
     """
-    judged = starred.where("size > 2").join(star, ["centre", "set_id"], "left").withColumn("linked", F.coalesce("linked", F.lit(True)))
-    sums = judged.groupBy("bucket").agg(F.first("size").alias("n"), F.sum((~F.col("linked")).cast("long")).alias("n_out"), F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("same1"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("same2"))
-    open_ = sums.where("n_out > 0").groupBy("n", "n_out", "same1", "same2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "n_out")
-    open_ = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("out_blocks", F.ceil(F.col("n_out") / BLOCK).cast("int"))
-    chosen = judged.select("bucket", "set_id", "linked").join(open_, "bucket").withColumn("spot", F.xxhash64("set_id"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    every_out = F.sequence(F.lit(0), F.col("out_blocks") - 1)
-    all_ = chosen.select("bucket", "set_id", F.pmod("spot", "blocks").cast("int").alias("block"), F.explode(every_out).alias("out_block"))
-    outside = chosen.where("not linked").select("bucket", "set_id", F.explode(every).alias("block"), F.pmod("spot", "out_blocks").cast("int").alias("out_block"))
-    by = ["bucket", "block", "out_block"]
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        ids, sets = right["set_id"].to_pylist(), [np.asarray(x.values) for x in right["shingles"]]
-        size = np.array([s.size for s in sets])
-        owner = np.repeat(np.arange(len(sets)), size)
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        group: dict[bytes, bytes] = {}
-
-        def top(x: bytes) -> bytes:
-            while group.get(x, x) != x:
-                x = group[x]
-            return x
-
-        found = []
-        for a, s in zip(left["set_id"].to_pylist(), left["shingles"], strict=True):
-            s = np.asarray(s.values)
-            lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, side="right")
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)])[:-1], hi - lo) + np.arange((hi - lo).sum())
-            both = np.bincount(owner[at], minlength=len(sets))
-            for i in np.flatnonzero(100 * both >= percent * (size + s.size - both)).tolist():
-                x, y = top(a), top(ids[i])
-                if x != y:  # links that add nothing to the block's components are left out
-                    group[x] = y
-                    found.append((a, ids[i]))
-        return pa.table([pa.array([x[j] for x in found], pa.binary()) for j in (0, 1)], schema=schema)
-
-    names = [*by, "set_id", "shingles"]  # toDF gives either side columns of its own
-    left = outside.join(full, "set_id").select(*names).toDF(*names)
-    right = all_.join(full, "set_id").select(*names).toDF(*names)
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "a binary, b binary")
+    counts = chosen.select(F.explode("shingles").alias("shingle")).groupBy(F.pmod("shingle", F.lit(COUNTERS)).alias("bin")).count().toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counts["bin"].to_numpy()] = counts["count"].to_numpy()
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                first = []
+                for x in part.column("shingles"):
+                    h = np.asarray(x.values)
+                    size = h.size - -(-percent * h.size // 100) + 1
+                    first.append(h[np.lexsort((h, often[h % COUNTERS]))[:size]])
+                owner = np.repeat(np.arange(part.num_rows), [f.size for f in first])
+                n = pc.list_value_length(part.column("shingles")).cast(pa.int32())
+                kept = [part.column(c).take(pa.array(owner)) for c in ("set_id", "root")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), *kept, n.take(pa.array(owner))], ["shingle", "set_id", "root", "n"])
+
+    kind = "shingle long, set_id binary, root binary, n int"
+    prefix = chosen.mapInArrow(rarest, kind)
+    shared = prefix.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("shingle")
+    prefix = materialize(prefix.join(shared, "shingle", "left_semi"), "prefixes")
+    a, b = prefix.toDF("shingle", "a", "root_a", "n_a"), prefix.toDF("shingle", "b", "root_b", "n_b")
+    sized = (F.least("n_a", "n_b").cast("long") * 100) >= F.greatest("n_a", "n_b") * percent
+    return a.join(b, "shingle").where((F.col("root_a") < F.col("root_b")) & sized).select("a", "b", "root_a", "root_b").distinct(), prefix
+
+
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """The components ``roots`` after further links between their roots."""
+    if more.isEmpty():
+        return roots
+    above = connected_components(more, "a", "b").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(above, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    # Roots that were components of their own have no row yet.
+    alone = above.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return materialize(moved.unionByName(alone), "roots")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -69,14 +69,45 @@ def test_components_equal_brute_force(spark, seed, k):
     assert found(spark, rows, k) == sorted(truth(rows, k, 80), key=str)
 
 
-def test_outliers_of_a_large_group_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 7)
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_outliers_of_a_large_group_lose_no_link(spark, monkeypatch, rounds):
+    monkeypatch.setattr(minhash, "ROUNDS", rounds)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
     rows = [(i, edited(rng, words, rng.choice((0.02, 0.06, 0.08)))) for i in range(150)]
     assert found(spark, rows) == sorted(truth(rows, 2, 80), key=str)
 
 
+def test_mutual_outliers_are_not_compared_pair_by_pair(spark):
+    """600 texts over one template, none alike enough, are one bucket's worth of outliers: pairs stay below the texts."""
+    rng = np.random.default_rng(1)
+    common = rng.integers(0, 2**63, 60)
+    sets = [np.sort(np.concatenate([common, rng.integers(0, 2**63, 20)])) for _ in range(600)]
+    sets += [np.sort(np.concatenate([s[:-4], rng.integers(0, 2**63, 4)])) for s in sets[:20]]
+    rows = [(i.to_bytes(4), i.to_bytes(4), s.tolist()) for i, s in enumerate(sets)]
+    pairs, _ = minhash._candidates(spark.createDataFrame(rows, "set_id binary, root binary, shingles array<long>"), 80)
+    got = {(int.from_bytes(r["a"]), int.from_bytes(r["b"])) for r in pairs.collect()}
+    assert {(i, 600 + i) for i in range(20)} <= got and len(got) < len(sets)
+
+
+@pytest.mark.parametrize(("percent", "rows"), [(100, 4), (80, 4), (79, 2), (60, 2), (48, 2), (30, 1), (12, 1)])
+def test_bands_suit_the_similarity(percent, rows):
+    assert minhash.rows_per_band(percent) == rows and (1 - (percent / 100) ** rows) ** (128 / rows) <= minhash.MISS
+
+
+def test_low_similarities(spark):
+    for percent in (5, 0, 101):
+        with pytest.raises(ValueError):
+            minhash.rows_per_band(percent)
+    rows = family(6)
+    assert found(spark, rows, 2, 50) == sorted(truth(rows, 2, 50), key=str)
+
+
+def test_copies_with_null_keys(spark):
+    rows = [(None, "a b c d")] * 50 + [(None, "a b c e"), (4, "a b c d")]
+    assert found(spark, rows) == sorted(truth(rows, 2, 80), key=str)
+
+
 def test_null_and_repeated_keys(spark):
     rows = [(None, "a b c"), (None, "a b c"), (7, "x y z"), (None, "x y z"), (7, "x y z"), (None, None), (7, None), (7, "other words here")]
     assert found(spark, rows) == sorted(truth(rows, 2, 80), key=str)
@@ -109,7 +140,7 @@ def test_a_very_long_text(spark):
 def test_band_keys_depend_on_the_set_alone(values):
     s = np.array(sorted(values), np.uint64)
     one, two = minhash.band_keys([s]), minhash.band_keys([s[:1], s])
-    assert np.array_equal(one[0], two[1]) and len(set(one[0].tolist())) == minhash.BANDS
+    assert np.array_equal(one[0], two[1]) and len(set(one[0].tolist())) == 32
 
 
 def test_densified_bins_estimate_similarity():
