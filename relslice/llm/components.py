@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from relslice.scratch import discard, materialize
 
 
+#: Edges of a node that one task may join without ado.
+HOT = 1_000
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """node, root for every node of an edge; the root is its component's smallest node and has a row, too.
 
     Every step sends each node's neighbours to its smallest neighbour, by a grouped minimum (combined before the
-    shuffle) and a join, in which the minima of nodes with more than a thousandth of all edges are broadcast; so no
-    task gathers a node's neighbours. Edges with a null end and loops are ignored; repeats and directions don't
+    shuffle) and a join, in which the minima of nodes with more than HOT edges and a thousandth of all are broadcast;
+    so no task gathers the neighbours of such a node. Edges with a null end and loops are ignored; repeats and directions don't
     matter. The number of rounds grows with the logarithm of the longest path.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
@@ -23,10 +27,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         # Large star: a node's larger neighbours move to its smallest neighbour (or itself).
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = _with_least(both.where("v > u"), least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = _with_least(both.where("v > u"), least, max(HOT, before[0] // 1000) if before[2] > HOT else None).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # Small star: a node and its smaller neighbours move to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        moved = _with_least(large, least, before[0])
+        moved = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v")))
         after = materialize(small.where("u != v").distinct(), "edges")
         digest = _digest(after)
@@ -40,13 +43,17 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _with_least(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """``edges`` with their node's minimum. Fewer than 2000 nodes are ends of more than a thousandth of ``total`` edges."""
-    hot = least.where(F.col("n") * 1000 > total).select("u", F.col("m").alias("hot"))
-    marked = edges.join(F.broadcast(hot), "u", "left")
-    cold = marked.where("hot is null").drop("hot").join(least.where(F.col("n") * 1000 <= total).select("u", "m"), "u")
+def _with_least(edges: DataFrame, least: DataFrame, hot: int | None) -> DataFrame:
+    """``edges`` with their node's minimum; minima of nodes with more than ``hot`` edges, of which there are fewer than 2000, are broadcast."""
+    if hot is None:
+        return edges.join(least.select("u", "m"), "u")
+    few = least.where(F.col("n") > hot).select("u", F.col("m").alias("hot"))
+    marked = edges.join(F.broadcast(few), "u", "left")
+    cold = marked.where("hot is null").drop("hot").join(least.where(F.col("n") <= hot).select("u", "m"), "u")
     return cold.unionByName(marked.where("hot is not null").withColumnRenamed("hot", "m"))
 
 
 def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    """Number and digest of the edges, and the most that lead to one smaller end."""
+    by_end = edges.groupBy("v").agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    return tuple(by_end.agg(F.coalesce(F.sum("n"), F.lit(0)), F.sum("h"), F.coalesce(F.max("n"), F.lit(0))).first())

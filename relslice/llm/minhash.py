@@ -6,21 +6,17 @@ a bucket's candidates are the edges of a star from its most central text, so can
 with their pairs. Texts that aren't linked with their centre get a new one among themselves, a few times over.
 Links are confirmed on full sets.
 
-So that no link hangs on the choice of centres, texts of buckets whose members are in several components by then
-are compared once more, exactly: two sets that are alike enough share one of the rarest of their shingles (of n
-shingles the n - ceil(percent * n / 100) + 1 first ones in any common order), so only texts of different components
-that meet in such a shingle are candidates.
+So that no link hangs on the choice of centres, buckets whose texts are in several components by then are looked at
+once more: the texts outside the bucket's largest component meet all its texts, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +28,10 @@ from relslice.scratch import discard, materialize
 BINS = 128
 
 #: Stars that a bucket gets at most, each among the texts that the ones before haven't linked.
-ROUNDS = 3
+ROUNDS = 2
 
-#: Counters of shingles by hash, by which texts order theirs; they pass through the driver, 8 bytes each.
-COUNTERS = 1 << 20
+#: Texts on either side of a block comparison.
+BLOCK = 1024
 
 #: The chance at most that no band is shared by two texts that are just alike enough.
 MISS = 1e-7
@@ -235,53 +231,64 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
 
 
 def _rest(members: DataFrame, open_: DataFrame, roots: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components (named by their roots) of texts in ``open_`` buckets, by their rarest shingles."""
+    """Links (a, b) between components, named by their roots, of texts that share an ``open_`` bucket.
+
+    Buckets with the same members are looked at once; pairs within a component aren't.
+    """
     some = members.join(open_, "bucket", "left_semi").select("bucket", "set_id")
     some = some.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     some = materialize(some, "several")
-    mixed = some.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("bucket")
-    chosen = materialize(some.join(mixed, "bucket", "left_semi").select("set_id", "root").distinct().join(full, "set_id"), "chosen")
-    pairs, prefix = _candidates(chosen, percent)
-    pairs = pairs.join(full.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
-    found = pairs.where(_alike(F.size("x"), F.size("y"), F.size(F.array_intersect("x", "y")), percent))
-    found = materialize(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), "rest")
-    for done in (some, chosen, prefix):
-        discard(done)
+    same = [F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("same1"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("same2")]
+    sums = some.groupBy("bucket", "root").agg(F.count("*").alias("n"), *same)
+    sums = sums.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.sum("same1").alias("same1"), F.bit_xor("same2").alias("same2"))
+    mixed = sums.where("most.n < n").groupBy("n", "same1", "same2", "most").agg(F.min("bucket").alias("bucket"))
+    blocks = [F.ceil(F.col(n) / BLOCK).cast("int").alias(b) for n, b in (("n", "blocks"), ("n_out", "out_blocks"))]
+    mixed = mixed.select("bucket", "n", (F.col("n") - F.col("most.n")).alias("n_out"), F.col("most.root").alias("largest")).select("bucket", "largest", *blocks)
+    chosen = some.join(mixed, "bucket").withColumn("spot", F.xxhash64("set_id"))
+    every, every_out = (F.explode(F.sequence(F.lit(0), F.col(b) - 1)) for b in ("blocks", "out_blocks"))
+    block, out_block = (F.pmod("spot", b).cast("int") for b in ("blocks", "out_blocks"))
+    all_ = chosen.select("bucket", "set_id", "root", block.alias("block"), every_out.alias("out_block"))
+    outside = chosen.where("root != largest").select("bucket", "set_id", "root", every.alias("block"), out_block.alias("out_block"))
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        roots, sets = right["root"].to_pylist(), [np.asarray(x.values) for x in right["shingles"]]
+        size = np.array([s.size for s in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        group: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while group.get(x, x) != x:
+                x = group[x]
+            return x
+
+        found = []
+        for a, s in zip(left["root"].to_pylist(), left["shingles"], strict=True):
+            s = np.asarray(s.values)
+            lo, hi = np.searchsorted(flat, s), np.searchsorted(flat, s, side="right")
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)])[:-1], hi - lo) + np.arange((hi - lo).sum())
+            both = np.bincount(owner[at], minlength=len(sets))
+            for i in np.flatnonzero(100 * both >= percent * (size + s.size - both)).tolist():
+                x, y = top(a), top(roots[i])
+                if x != y:  # links that add nothing to the block's components are left out
+                    group[x] = y
+                    found.append((a, roots[i]))
+        return pa.table([pa.array([x[j] for x in found], pa.binary()) for j in (0, 1)], schema=schema)
+
+    by = ["bucket", "block", "out_block"]
+    names = [*by, "root", "shingles"]  # toDF gives either side columns of its own
+    left = outside.join(full, "set_id").select(*names).toDF(*names)
+    right = all_.join(full, "set_id").select(*names).toDF(*names)
+    found = materialize(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "a binary, b binary"), "rest")
+    discard(some)
     return found
 
 
-def _candidates(chosen: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, root_a, root_b) of sets in different components that share one of their rarest shingles, and the table of these.
-
-    How rare a shingle is, is counted by hash over all of ``chosen`` (set_id, root, shingles); any counts would do
-    for a common order, those of the data keep the pairs few. Sizes that rule a link out are left out.
-    """
-    counts = chosen.select(F.explode("shingles").alias("shingle")).groupBy(F.pmod("shingle", F.lit(COUNTERS)).alias("bin")).count().toArrow()
-    often = np.zeros(COUNTERS, np.int64)
-    often[counts["bin"].to_numpy()] = counts["count"].to_numpy()
-
-    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                first = []
-                for x in part.column("shingles"):
-                    h = np.asarray(x.values)
-                    size = h.size - -(-percent * h.size // 100) + 1
-                    first.append(h[np.lexsort((h, often[h % COUNTERS]))[:size]])
-                owner = np.repeat(np.arange(part.num_rows), [f.size for f in first])
-                n = pc.list_value_length(part.column("shingles")).cast(pa.int32())
-                kept = [part.column(c).take(pa.array(owner)) for c in ("set_id", "root")]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), *kept, n.take(pa.array(owner))], ["shingle", "set_id", "root", "n"])
-
-    kind = "shingle long, set_id binary, root binary, n int"
-    prefix = chosen.mapInArrow(rarest, kind)
-    shared = prefix.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("shingle")
-    prefix = materialize(prefix.join(shared, "shingle", "left_semi"), "prefixes")
-    a, b = prefix.toDF("shingle", "a", "root_a", "n_a"), prefix.toDF("shingle", "b", "root_b", "n_b")
-    sized = (F.least("n_a", "n_b").cast("long") * 100) >= F.greatest("n_a", "n_b") * percent
-    return a.join(b, "shingle").where((F.col("root_a") < F.col("root_b")) & sized).select("a", "b", "root_a", "root_b").distinct(), prefix
-
-
 def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
     """The components ``roots`` after further links between their roots."""
     if more.isEmpty():

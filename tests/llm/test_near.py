@@ -70,7 +70,8 @@ def test_components_equal_brute_force(spark, seed, k):
 
 
 @pytest.mark.parametrize("rounds", [1, 3])
-def test_outliers_of_a_large_group_lose_no_link(spark, monkeypatch, rounds):
+def test_outliers_of_a_large_group_are_compared_in_blocks(spark, monkeypatch, rounds):
+    monkeypatch.setattr(minhash, "BLOCK", 7)
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
@@ -78,16 +79,13 @@ def test_outliers_of_a_large_group_lose_no_link(spark, monkeypatch, rounds):
     assert found(spark, rows) == sorted(truth(rows, 2, 80), key=str)
 
 
-def test_mutual_outliers_are_not_compared_pair_by_pair(spark):
-    """600 texts over one template, none alike enough, are one bucket's worth of outliers: pairs stay below the texts."""
-    rng = np.random.default_rng(1)
-    common = rng.integers(0, 2**63, 60)
-    sets = [np.sort(np.concatenate([common, rng.integers(0, 2**63, 20)])) for _ in range(600)]
-    sets += [np.sort(np.concatenate([s[:-4], rng.integers(0, 2**63, 4)])) for s in sets[:20]]
-    rows = [(i.to_bytes(4), i.to_bytes(4), s.tolist()) for i, s in enumerate(sets)]
-    pairs, _ = minhash._candidates(spark.createDataFrame(rows, "set_id binary, root binary, shingles array<long>"), 80)
-    got = {(int.from_bytes(r["a"]), int.from_bytes(r["b"])) for r in pairs.collect()}
-    assert {(i, 600 + i) for i in range(20)} <= got and len(got) < len(sets)
+def test_texts_linked_by_later_centres_are_not_compared_again(spark):
+    """Two groups of near copies share buckets: each gets a centre of its own, and no text meets its own group's."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(80)]
+    other = [w if i % 9 else f"x{i}" for i, w in enumerate(words)]
+    rows = [(i, edited(rng, other if i % 3 else words, 0.02)) for i in range(120)]
+    assert found(spark, rows) == sorted(truth(rows, 2, 80), key=str)
 
 
 @pytest.mark.parametrize(("percent", "rows"), [(100, 4), (80, 4), (79, 2), (60, 2), (48, 2), (30, 1), (12, 1)])
@@ -240,3 +238,12 @@ def test_parts_are_balanced_and_keep_neighbours_together():
     assert np.bincount(part).max() <= 110 and (part[graph] == part[:, None]).mean() > 0.95
     router = ann.fit_router(x, 4)
     assert (router.probabilities(x).argmax(axis=1)[graph] == router.probabilities(x).argmax(axis=1)[:, None]).mean() > 0.95
+
+
+def test_components_with_hot_nodes(spark, monkeypatch):
+    from relslice.llm import components
+
+    monkeypatch.setattr(components, "HOT", 3)
+    edges = [(0, i) for i in range(1, 60)] + [(i, 1000 + i) for i in range(1, 30)] + [(5000, 5001), (None, 3), (7, 7)]
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {n: 0 for e in edges[:-3] for n in e} | {5000: 5000, 5001: 5000}
