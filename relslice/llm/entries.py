@@ -53,7 +53,7 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of 150% of all words takes, with weights 5, 2, 1 by source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs, lambda names: [(5, 2, 1)[i % 3] for i in range(len(names))], share=1.5, max_epochs=2, seed=0)
+    mixed = mixing.mix(docs, lambda names: [(5, 2, 1)[i % 3] for i in range(len(names))], share=1.5, max_epochs=2, seed=0, columns=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -119,7 +119,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, ratings(spark, sf_dir), seed=7)
     graded = quality.grade(docs, model)
-    tails = [F.coalesce(F.get("grade_tails", F.lit(j)), F.lit(0.0)).alias(f"p_grade_{j + 1}") for j in range(2)]
+    # The ratings have three grades at most; a tail of a grade that no training row has is null.
+    tails = [F.get("grade_tails", F.lit(j)).alias(f"p_grade_{j + 1}") for j in range(2)]
     return graded.select("doc_id", "expected_grade", *tails, (F.coalesce(F.get("grade_tails", F.lit(0)), F.lit(1.0)) >= MIN_TAIL).alias("selected"))
 
 

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relslice.scratch import materialize
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -57,8 +59,9 @@ def mix(
     text: str = "text",
     source: str = "source",
     key: str = "doc_id",
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with size, source_size, target, repeats and taken of the mix.
+    """``docs`` (of these ``columns``; all by default) with size, source_size, target, repeats and taken of the mix.
 
     ``weight_of`` gets all source names by code point, null last (a null source is a source of its own), and
     returns their weights. The mix is ``share`` times the words of all documents. ``repeats`` is how often it
@@ -67,24 +70,28 @@ def mix(
     in if more than half of it is below the cut, so a source is off its target by half a document at most.
 
     Null and empty texts have size 0 and follow their source's whole repeats. Rows that repeat a key are ordered
-    by size and text among themselves; fully equal rows are interchangeable. Columns of ``docs`` that clash
+    by size and a digest of the text among themselves; fully equal rows are interchangeable. Columns of ``docs`` that clash
     with the new names are replaced. An empty table gives an empty result. More than MAX_SOURCES sources are an
-    error. No word count depends on partitioning, so reruns agree.
+    error. No word count depends on partitioning, so reruns agree. Where ``columns`` leaves the text out, words are
+    counted once and narrow rows are written; else the rows aren't copied and their words are counted twice.
     """
     made = ["size", "source_size", "target", "repeats", "taken"]
     docs = docs.drop(*[c for c in docs.columns if c.lower() in made])
-    kept = docs.columns
+    kept = docs.columns if columns is None else [c for c in docs.columns if c in columns]
     docs = docs.withColumn("size", word_count(F.col(text)))
     # An order that any engine with MD5 can repeat: hexadecimal digests of seed and key.
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     docs = docs.withColumn("__order", order).withColumn("__bin", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"))
-    bins = docs.groupBy(F.col(source).alias("__source"), "__bin").agg(F.sum("size").alias("__size"))
+    docs = docs.withColumn("__tie", F.xxhash64(text))
+    if text not in kept:
+        docs = materialize(docs.select(*dict.fromkeys([*kept, source]), "size", "__order", "__bin", "__tie"), "sizes")
+    bins = materialize(docs.groupBy(F.col(source).alias("__source"), "__bin").agg(F.sum("size").alias("__size")), "bins")
     plan = _plan(bins, weight_of, share, max_epochs)
     placed = docs.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col("__source")), "left")
     cut_bin = F.col("__bin") == F.col("__cut_bin")
     # Within the one range that holds the cut: running sizes in seeded order. Other rows aren't sorted.
     inside = placed.where(cut_bin)
-    by = Window.partitionBy("__source", "__bin").orderBy("__order", "size", F.crc32(F.coalesce(text, F.lit("")).cast("binary")), text)
+    by = Window.partitionBy("__source", "__bin").orderBy("__order", "size", "__tie")
     inside = inside.withColumn("__upto", F.sum("size").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     inside = inside.withColumn("__more", (F.col("__upto") - F.col("size") / 2 < F.col("__cut_left")).cast("int")).drop("__upto")
     outside = placed.where(~cut_bin).withColumn("__more", (F.col("__bin") < F.col("__cut_bin")).cast("int"))

@@ -112,19 +112,21 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], ratings: list[float],
 def fit(docs: DataFrame, ratings: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text", rating: str = "rating", max_rated: int = MAX_RATED) -> OrdinalModel:
     """Train on the rated rows of ``docs``; of these at most ``max_rated``, drawn by seeded hashes of the key.
 
-    Null keys and ratings take no part; where a key repeats in ``ratings`` its lowest rating holds. The driver
-    gets the drawn texts' features only.
+    Null keys and ratings take no part; where a key repeats in ``ratings`` its lowest rating holds. Where one repeats
+    in ``docs`` each row counts, up to ``max_rated`` rows in a fixed order of keys and texts, so reruns agree. The
+    driver gets the drawn texts' features only.
     """
     known = ratings.where(F.col(key).isNotNull() & F.col(rating).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.min(F.col(rating).cast("double")).alias("__rating"))
     n = known.count()
     chosen = F.pmod(F.xxhash64(F.lit(seed), F.col("__key")), F.lit(1 << 30)) < int(min(1.0, 0.95 * max_rated / max(n, 1)) * (1 << 30))
-    drawn = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(known.where(chosen).limit(max_rated)), "__key")
+    drawn = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(known.where(chosen).orderBy("__key").limit(max_rated)), "__key")
+    drawn = drawn.withColumn("__digest", F.xxhash64("__key", "__text"))
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         found = text_features(column(batch, "__text"))
         return [pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))]
 
-    table = add_columns(drawn, "__at array<int>, __value array<float>", make, drop=("__text",)).limit(max_rated).toArrow().sort_by([("__key", "ascending")])
+    table = add_columns(drawn, "__at array<int>, __value array<float>", make, drop=("__text",)).orderBy("__digest", "__key").limit(max_rated).toArrow()
     rows = [(np.asarray(a.values), np.asarray(v.values)) for a, v in zip(table["__at"], table["__value"], strict=True)]
     return fit_ordinal(rows, table["__rating"].to_pylist())
 

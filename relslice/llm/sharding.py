@@ -43,10 +43,11 @@ def external_shuffle(docs: DataFrame, seed: int = 0, key: str = "doc_id", text:
     """``docs`` as written buckets of a seeded random order, with the columns bucket and place (0 from each bucket's start).
 
     The order depends on the seed, the rows and the bucket count only, so reruns agree: before a bucket is
-    shuffled, its rows are put in the order of key and text digest. Rows that share a key meet in one bucket;
+    shuffled, its rows are put in the order of key, text digest and digest of all columns. Rows that share a key meet in one bucket;
     where that makes a bucket more than twice its memory (a key that holds much of the table), the bucket's rows
-    are dealt to as many sub-buckets as it needs by their place in the input. Null keys and texts are values of
-    their own. Clashing columns are replaced. An empty table gives an empty result.
+    are dealt to as many sub-buckets as it needs by the digest of all their columns and, if one digest repeats, by
+    their place in the input (equal rows are interchangeable). Null keys and texts are values of their own. Clashing
+    columns are replaced. An empty table gives an empty result.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("bucket", "place")])
     weight = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 64
@@ -57,17 +58,23 @@ def external_shuffle(docs: DataFrame, seed: int = 0, key: str = "doc_id", text:
     placed = docs.withColumn("bucket", spot * MAX_BUCKETS)
     if heavy:
         parts = docs.sparkSession.createDataFrame([(r["bucket"] * MAX_BUCKETS, math.ceil(r["bytes"] / bucket_bytes)) for r in heavy], "bucket long, __parts long")
-        placed = placed.join(F.broadcast(parts), "bucket", "left")
-        placed = placed.withColumn("bucket", F.col("bucket") + F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), "__parts"), F.lit(0))).drop("__parts")
+        placed = placed.join(F.broadcast(parts), "bucket", "left").withColumn("__digest", F.when(F.col("__parts").isNotNull(), F.xxhash64(*docs.columns)))
+        # Of equal rows that fill a bucket by themselves there are at most as many kinds as buckets.
+        alike = placed.where("__digest is not null").groupBy("__digest").agg(F.sum(weight).alias("bytes")).where(F.col("bytes") > bucket_bytes)
+        placed = placed.join(F.broadcast(alike.select("__digest", F.lit(True).alias("__alike"))), "__digest", "left")
+        spread = F.xxhash64("__digest", F.when(F.col("__alike"), F.monotonically_increasing_id()))
+        placed = placed.withColumn("bucket", F.col("bucket") + F.coalesce(F.pmod(spread, "__parts"), F.lit(0))).drop("__parts", "__digest", "__alike")
     schema = T.StructType([*placed.schema.fields, T.StructField("place", T.LongType())])
+    placed = placed.withColumn("__row", F.xxhash64(*docs.columns))  # the last word on the order before the shuffle
     names = placed.columns
 
     def shuffle(table: pa.Table) -> pa.Table:
         digest = [-1 if t is None else zlib.crc32(t.encode()) for t in table.column(names.index(text)).to_pylist()]
         keys = table.column(names.index(key))
-        first = pc.sort_indices(pa.table({"k": keys, "d": pa.array(digest, pa.int64())}), sort_keys=[("k", "ascending"), ("d", "ascending")])
+        whole = table.column(names.index("__row"))
+        first = pc.sort_indices(pa.table({"k": keys, "d": pa.array(digest, pa.int64()), "w": whole}), sort_keys=[("k", "ascending"), ("d", "ascending"), ("w", "ascending")])
         order = fisher_yates(table.num_rows, seed, table.column(names.index("bucket"))[0].as_py())
-        mixed = table.take(first.take(pa.array(order)))
+        mixed = table.take(first.take(pa.array(order))).remove_column(names.index("__row"))
         return mixed.append_column("place", pa.array(np.arange(table.num_rows)))
 
     return materialize(placed.select(*names).groupBy("bucket").applyInArrow(shuffle, schema), "shuffled")

@@ -142,9 +142,9 @@ def held_out(key: str) -> Column:
 
 
 def sampled(key: str, share: float | Column, seed: int) -> Column:
-    """A seeded choice of about ``share`` of all keys; ``share`` may be a column of shares up to 1."""
+    """A seeded choice of about ``share`` of all keys, never of null; ``share`` may be a column of shares up to 1."""
     bound = (share * (1 << 30)).cast("long") if isinstance(share, Column) else int(min(1.0, share) * (1 << 30))
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < bound
+    return F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < bound)
 
 
 def fit(
@@ -156,20 +156,22 @@ def fit(
     Confirmed toxic texts are those with ``label`` 1 in ``labels`` (the largest, where a key repeats); the
     unlabelled sample is drawn from all training rows, labelled or not, and its labels aren't looked at. At most
     ``max_positive`` and ``max_unlabelled`` texts, drawn by seeded hashes of the key, reach the driver, as
-    feature buckets. The class prior is the share of 1 among the labelled training keys. Null keys and labels
-    take no part in training.
+    feature buckets: which ones depends on keys and texts alone, also where keys repeat, so reruns agree. The class
+    prior is the share of 1 among the labelled training keys. Null keys and labels take no part in training.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(key)).groupBy(F.col(key).alias("__key")).agg(F.max(label).alias("__label"))
     seen = known.agg(F.count("*").alias("n"), F.sum((F.col("__label") == 1).cast("long")).alias("toxic")).first()
     toxic = seen["toxic"] or 0
     prior = min(0.5, max(0.001, toxic / seen["n"])) if seen["n"] else 0.1
-    rows = docs.where(~held_out(key)).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    rows = docs.where(~held_out(key) & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     n = rows.count()
-    confirmed = known.where((F.col("__label") == 1) & sampled("__key", 0.95 * max_positive / max(toxic, 1), seed)).select(F.col("__key").alias("__toxic")).limit(max_positive)
+    confirmed = known.where((F.col("__label") == 1) & sampled("__key", 0.95 * max_positive / max(toxic, 1), seed)).select(F.col("__key").alias("__toxic")).orderBy("__toxic").limit(max_positive)
     drawn = rows.join(F.broadcast(confirmed), F.col("__key") == F.col("__toxic"), "left").withColumn("__drawn", F.coalesce(sampled("__key", 0.95 * max_unlabelled / max(n, 1), seed + 1), F.lit(False)))
     drawn = drawn.where(F.col("__toxic").isNotNull() | F.col("__drawn")).withColumn("__toxic", F.col("__toxic").isNotNull())
+    drawn = drawn.withColumn("__digest", F.xxhash64("__key", "__text"))
     drawn = add_columns(drawn, "__buckets array<int>", lambda b: [pa.array(presence(column(b, "__text")), pa.list_(pa.int32()))], drop=("__text",))
-    table = drawn.limit(2 * (max_positive + max_unlabelled)).toArrow().sort_by([("__key", "ascending")])
+    # A key that repeats stands for all its rows, each with its own text; where these are too many, a fixed choice of them stays.
+    table = drawn.orderBy("__digest", "__key").limit(2 * (max_positive + max_unlabelled)).toArrow()
     buckets = [np.asarray(x, np.int64) for x in _lists(table["__buckets"])]
     is_toxic, is_drawn = table["__toxic"].to_pylist(), table["__drawn"].to_pylist()
     return fit_nnpu([x for x, t in zip(buckets, is_toxic, strict=True) if t], [x for x, u in zip(buckets, is_drawn, strict=True) if u], prior)

@@ -146,3 +146,16 @@ def test_seeded_order_is_md5_of_seed_and_key(spark):
     _, got = mixed_rows(spark, [(i, "a b", "s", "x") for i in range(50)] + [(99, "c " * 500, "z", "x")])
     s = sorted((r for r in got if r["source"] == "s"), key=lambda r: hashlib.md5(f"0:{r['doc_id']}".encode()).hexdigest())
     assert [r["repeats"] for r in s] == sorted((r["repeats"] for r in s), reverse=True)
+
+
+def test_shards_of_a_hot_key_do_not_depend_on_the_input_split(spark):
+    rows = [(7, f"text {i} " * 20, i) for i in range(300)] + [(i, "x", i) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int")
+
+    def dealt(d):
+        return sorted((r["other"], r["doc_id"], r["shard"], r["slot"]) for r in sharding.shard(d, 4, seed=3, bucket_bytes=4000).collect())
+
+    assert dealt(df.repartition(7)) == dealt(df.coalesce(1)) and len(dealt(df)) == len(rows)
+    same = spark.createDataFrame([(7, "y" * 500, 1)] * 200, "doc_id long, text string, other int").repartition(5)
+    parts = sharding.external_shuffle(same, bucket_bytes=4000).groupBy("bucket").count().collect()
+    assert len(parts) > 5 and sum(r["count"] for r in parts) == 200

@@ -149,3 +149,62 @@ def test_quality_of_odd_texts(spark):
     assert [(r["expected_grade"], r["grade_tails"]) for r in quality.grade(docs, none).collect()] == [(0.0, [])] * 4
     two = quality.fit(docs, spark.createDataFrame([(1, 0.0), (3, 1.0), (None, 1.0), (2, None)], "doc_id long, rating double"))
     assert two.grades == [0.0, 1.0] and len(quality.grade(docs, two).first()["grade_tails"]) == 1
+
+
+def test_training_rows_do_not_depend_on_the_input_order(spark):
+    """Repeated keys with several texts and null keys: the same model whatever the input's order and partitions."""
+    rows = [(i % 40, f"{'bad awful' if i % 40 < 12 else 'fine day'} w{i % 7} v{i}", i % 3) for i in range(400)] + [(None, f"null w{i}", 1) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    labels = spark.createDataFrame([(i, int(i < 12), i % 3) for i in range(40)] + [(None, 1, 2)], "doc_id long, toxic int, rating int")
+    models = [toxicity.fit(d, labels, seed=1, max_positive=30, max_unlabelled=60) for d in (docs.repartition(5), docs.orderBy(F.desc("text")).coalesce(1))]
+    assert np.array_equal(models[0].buckets, models[1].buckets) and np.array_equal(models[0].weights, models[1].weights)
+    graded = [quality.fit(d, labels.select("doc_id", "rating"), seed=1, max_rated=50) for d in (docs.repartition(5), docs.orderBy(F.desc("text")).coalesce(1))]
+    assert np.array_equal(graded[0].weights, graded[1].weights) and np.array_equal(graded[0].thresholds, graded[1].thresholds)
+
+
+def nn_risk(w, bias, positive, unlabelled, prior):
+    """The non-negative risk with logistic loss, text by text."""
+    def loss(s, y):
+        return np.log1p(np.exp(-y * s))
+
+    f_p = [sum(w[j] for j in x) + bias for x in positive]
+    f_u = [sum(w[j] for j in x) + bias for x in unlabelled]
+    clean = np.mean([loss(s, -1) for s in f_u]) - prior * np.mean([loss(s, -1) for s in f_p])
+    return prior * np.mean([loss(s, 1) for s in f_p]) + max(0.0, clean), clean
+
+
+def test_training_lowers_the_non_negative_risk():
+    rng = np.random.default_rng(0)
+    positive = [np.flatnonzero(rng.random(12) < np.r_[np.full(6, 0.7), np.full(6, 0.3)]) for _ in range(200)]
+    unlabelled = [np.flatnonzero(rng.random(12) < 0.3) for _ in range(600)] + positive[:60]
+    risks = []
+    for steps in (1, 20, 150):
+        m = toxicity.fit_nnpu(positive, unlabelled, 0.1, steps=steps)
+        w = np.zeros(toxicity.BUCKETS)
+        w[m.buckets] = m.weights
+        risks.append(nn_risk(w, m.bias, positive, unlabelled, 0.1)[0])
+    assert risks[0] > risks[1] > risks[2] and risks[2] < 0.9 * nn_risk(np.zeros(toxicity.BUCKETS), np.log(0.1 / 0.9), positive, unlabelled, 0.1)[0]
+
+
+def test_ordinal_fit_is_near_the_most_likely_one():
+    """No small change of a weight or a threshold raises the likelihood by much."""
+    rng = np.random.default_rng(1)
+    x = rng.random((300, 3))
+    latent = x @ np.array([3.0, -2.0, 0.0]) + rng.logistic(size=300)
+    y = (latent > 0).astype(int) + (latent > 1.5)
+    rows = [(np.arange(3, dtype=np.int32), r.astype(np.float32)) for r in x]
+    m = quality.fit_ordinal(rows, y.tolist(), steps=800, rate=0.05, ridge=0.0)
+
+    def likelihood(w, theta):
+        tail = np.hstack([np.ones((300, 1)), 1 / (1 + np.exp(-(x @ w)[:, None] + theta)), np.zeros((300, 1))])
+        return np.log(tail[np.arange(300), y] - tail[np.arange(300), y + 1]).mean()
+
+    w, theta = m.weights[:3], m.thresholds
+    assert theta[0] < theta[1]
+    best = likelihood(w, theta)
+    for i in range(3):
+        for d in (-0.05, 0.05):
+            assert likelihood(w + d * np.eye(3)[i], theta) < best + 1e-4
+    for i in range(2):
+        for d in (-0.05, 0.05):
+            assert likelihood(w, theta + d * np.eye(2)[i]) < best + 1e-4
