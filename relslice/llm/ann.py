@@ -21,6 +21,12 @@ from relslice.scratch import materialize
 #: Vectors that the graph and the classifier are fitted on at most.
 MAX_SAMPLE = 4096
 
+#: Parts at least, if the sample fills them, and rows per part beyond that; a part has 16 vectors of the sample at least.
+LEAST_PARTS, ROWS_PER_PART = 32, 65_536
+
+#: Share of a held-out sample's neighbours that the visited parts must hold; searches are tuned to it.
+GOAL = 0.95
+
 #: Candidates and queries that one task compares at most.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 2048
 
@@ -135,16 +141,43 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 @dataclass
 class PartitionIndex:
-    """The indexed rows (key, vector, part) as a written table, the router, and the number of rows by part."""
+    """The indexed rows (key, vector, part) as a written table, the router, the number of rows by part, and the probability at which a search may stop."""
 
     rows: DataFrame
     router: Router
     counts: list[int]
-
-
-def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", parts: int = 32, max_sample: int = MAX_SAMPLE, seed: int = 0) -> PartitionIndex:
+    mass: float = 1.0
+
+
+def visited(p: np.ndarray, mass: float) -> tuple[np.ndarray, np.ndarray]:
+    """(parts by falling probability, how many of them add up to ``mass``) for each row of probabilities."""
+    order = np.argsort(-p, axis=1, kind="stable")
+    needed = (np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) < mass).sum(axis=1) + 1
+    return order, np.minimum(needed, p.shape[1])
+
+
+def tuned_mass(router: Router, x: np.ndarray, held: np.ndarray, goal: float, k: int = 10) -> float:
+    """The least probability at which the parts that ``held`` vectors visit hold ``goal`` of their ``k`` nearest among ``x``."""
+    if not len(held) or len(x) <= k:
+        return 1.0
+    d = (held**2).sum(axis=1)[:, None] + (x**2).sum(axis=1) - 2 * held @ x.T
+    near = router.probabilities(x).argmax(axis=1)[np.argpartition(d, k - 1, axis=1)[:, :k]]
+    p = router.probabilities(held)
+    for mass in np.arange(0.3, 1.0, 0.01):
+        order, needed = visited(p, mass)
+        place = np.argsort(order, axis=1)  # of each part in the order of visits
+        if (np.take_along_axis(place, near, axis=1) < needed[:, None]).mean() >= goal:
+            return float(mass)
+    return 1.0
+
+
+def build_index(
+    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", parts: int | None = None, max_sample: int = MAX_SAMPLE, seed: int = 0, goal: float = GOAL
+) -> PartitionIndex:
     """Fit graph, parts and classifier on at most ``max_sample`` vectors drawn by seeded hashes, and place every row.
 
+    An eighth of the sample isn't fitted on; on it the probability is chosen at which searches stop, so that they
+    find about ``goal`` of the neighbours. The number of parts grows with the rows as far as the sample allows.
     Rows with a null key, or with a vector that :func:`usable` leaves out, take no part, nor do those whose
     number of components isn't the most frequent one. Repeated vectors are placed alike.
     """
@@ -155,21 +188,26 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     good = good.where(F.size("vector") == sizes["width"])
     share = min(1.0, 0.95 * max_sample / sizes["count"])
     drawn = good.where(F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_sample).toArrow().sort_by("key")
-    router = fit_router(_matrix(drawn["vector"]), parts, seed) if drawn.num_rows else Router(np.zeros((sizes["width"], 1)), np.zeros(1))
+    parts = parts or min(max_sample // 16, max(LEAST_PARTS, math.ceil(sizes["count"] / ROWS_PER_PART)))
+    sample = _matrix(drawn["vector"]) if drawn.num_rows else np.zeros((0, sizes["width"]))
+    apart = np.arange(len(sample)) % 8 == 7
+    router = fit_router(sample[~apart], parts, seed) if len(sample) else Router(np.zeros((sizes["width"], 1)), np.zeros(1))
+    mass = tuned_mass(router, sample[~apart], sample[apart], goal)
     placed = add_columns(good, "part int", lambda b: [pa.array(router.probabilities(_matrix(column(b, "vector"))).argmax(axis=1), pa.int32())])
     placed = materialize(placed, "ann")
     counts = [0] * router.bias.size
     for r in placed.groupBy("part").count().collect():
         counts[r["part"]] = r["count"]
-    return PartitionIndex(placed, router, counts)
+    return PartitionIndex(placed, router, counts, mass)
 
 
-def search(index: PartitionIndex, queries: DataFrame, k: int = 10, mass: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(index: PartitionIndex, queries: DataFrame, k: int = 10, mass: float | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows found for each query: query_id, rank (from 1), vec_id, score.
 
-    A query visits its most probable parts until their probabilities add up to ``mass``, and compares with every
-    row there: part by part in blocks of BLOCK_ROWS rows and BLOCK_QUERIES queries, each a task's work, of which
-    the ``k`` best of each block are merged. The score is the Euclidean distance in double precision; ties go to
+    A query visits its most probable parts until their probabilities add up to ``mass`` (the index's own by default)
+    and they hold more than ``k`` rows, and compares with every row there: part by part in blocks of BLOCK_ROWS rows
+    and BLOCK_QUERIES queries, each a task's work, of which the ``k`` best of each block are merged. A query that has
+    found fewer than ``k`` visits all other parts. The score is the Euclidean distance in double precision; ties go to
     the smaller key. Rows with the query's own key are no candidates. A key that repeats counts once: as a query
     with its smallest vector, as a candidate with its nearest. Unusable queries have no rows.
     """
@@ -177,19 +215,35 @@ def search(index: PartitionIndex, queries: DataFrame, k: int = 10, mass: float =
     asked = queries.where(usable(vector) & F.col(key).isNotNull() & (F.size(vector) == width)).groupBy(F.col(key).alias("query_id")).agg(F.min(vector).alias("vector"))
     router = index.router
 
+    counts, until = np.array(index.counts), index.mass if mass is None else mass
+
     def route(batch: pa.RecordBatch) -> list[pa.Array]:
-        p = router.probabilities(_matrix(column(batch, "vector")))
-        order = np.argsort(-p, axis=1, kind="stable")
-        needed = (np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) < mass).sum(axis=1) + 1
+        order, needed = visited(router.probabilities(_matrix(column(batch, "vector"))), until)
+        needed = np.minimum(np.maximum(needed, (np.cumsum(counts[order], axis=1) <= k).sum(axis=1) + 1), len(counts))
         return [pa.array([o[:n] for o, n in zip(order.astype(np.int32), needed, strict=True)], pa.list_(pa.int32()))]
 
     routed = materialize(add_columns(asked, "parts array<int>", route), "queries")
-    query_blocks = max(1, math.ceil(routed.count() / BLOCK_QUERIES))
+    found = materialize(_visits(index, routed, k), "found")
+    enough = found.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    every = F.sequence(F.lit(0), F.lit(len(counts) - 1)).cast("array<int>")
+    short = routed.where(F.size("parts") < len(counts)).join(enough, "query_id", "left_anti").withColumn("parts", F.array_except(every, "parts"))
+    short = materialize(short, "short")
+    if not short.isEmpty():
+        found = found.unionByName(_visits(index, short, k))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _visits(index: PartitionIndex, routed: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id and score of the nearest rows that each query finds in any of its ``parts``."""
     blocks = F.array(*[F.lit(max(1, math.ceil(c / BLOCK_ROWS))) for c in index.counts])
     left = routed.select("query_id", "vector", F.explode("parts").alias("part")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("part")] - 1)))
-    left = left.withColumn("query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int"))
+    asking = {r["part"]: r["n"] for r in routed.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    query_blocks = F.array(*[F.lit(math.ceil(asking.get(p, 0) / BLOCK_QUERIES)) for p in range(len(index.counts))])
+    left = left.withColumn("query_block", F.pmod(F.xxhash64("query_id"), query_blocks[F.col("part")]).cast("int"))
     spot = F.xxhash64("key", F.monotonically_increasing_id())
-    right = index.rows.withColumn("block", F.pmod(spot, blocks[F.col("part")]).cast("int")).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    right = index.rows.withColumn("block", F.pmod(spot, blocks[F.col("part")]).cast("int")).where(query_blocks[F.col("part")] > 0)
+    right = right.withColumn("query_block", F.explode(F.sequence(F.lit(0), query_blocks[F.col("part")] - 1)))
     by = ["part", "block", "query_block"]
     kind = index.rows.schema["key"].dataType.simpleString()
 
@@ -216,6 +270,4 @@ def search(index: PartitionIndex, queries: DataFrame, k: int = 10, mass: float =
 
     schema = f"query_id {kind}, vec_id {kind}, score double"
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, schema)
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

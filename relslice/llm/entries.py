@@ -166,6 +166,12 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def media_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timed clip rows of every stored text."""
+    stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media.clips(stored, ["doc_id"]).select("doc_id", "clip", "first_frame", "frames", "start_s", "end_s")
+
+
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows found for every embedding whose vec_id is divisible by 100."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -187,6 +193,7 @@ def queries() -> dict:
         "op7_quality": op7_quality,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_media": op9_media,
+        "media_clips": media_clips,
         "op10_neighbours": op10_neighbours,
     }
 

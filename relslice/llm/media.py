@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from relslice.llm.arrowmap import add_columns, column
 
-#: Samples in a row, and rows in a full frame.
-WIDTH, HEIGHT = 64, 64
+#: Samples in a row, and rows in a full frame: half a kilobyte, so that most texts have several frames to find shots in.
+WIDTH, HEIGHT = 64, 8
 FRAMES_PER_SECOND = 25
 
+#: Frames coded or decoded together; what that takes beside the file is bounded by them.
+GROUP = 256
+
 #: Bits of every sample in the lossless frames written here: see :func:`_difference_codes`.
 SAMPLE_BITS = 9
 
@@ -98,12 +101,14 @@ def store_payload(payload: bytes) -> bytes:
 
     The last frame is filled up with zero rows; the comment holds the number of payload bytes.
     """
-    rows = len(payload) // WIDTH
-    height = min(rows, HEIGHT)
-    frames = -(-rows // height)
-    samples = np.zeros(frames * height * WIDTH, np.uint8)
-    samples[: len(payload)] = np.frombuffer(payload, np.uint8)
-    return avi(lossless_frames(samples.reshape(frames, height, WIDTH)), WIDTH, height, b"payload=%d" % len(payload))
+    height = min(len(payload) // WIDTH, HEIGHT)
+    coded, step = [], GROUP * height * WIDTH
+    for at in range(0, len(payload), step):
+        part = np.frombuffer(payload, np.uint8, min(step, len(payload) - at), at)
+        samples = np.zeros((-(-part.size // (height * WIDTH)), height, WIDTH), np.uint8)
+        samples.reshape(-1)[: part.size] = part
+        coded += lossless_frames(samples)
+    return avi(coded, WIDTH, height, b"payload=%d" % len(payload))
 
 
 # Reading ------------------------------------------------------------------------------------------------------
@@ -292,7 +297,12 @@ _FIXED = (tuple([1] * 9 + [0] * 7), tuple(range(8, -1, -1)))
 
 
 def decode_frames(file: bytes, places: list[tuple[int, int]]) -> list[np.ndarray]:
-    """The samples of each frame. Lossless frames whose codes all have the same length are read all at once."""
+    """The samples of each frame, GROUP frames at a time."""
+    return [f for at in range(0, len(places), GROUP) for f in _decode_group(file, places[at : at + GROUP])]
+
+
+def _decode_group(file: bytes, places: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Lossless frames whose codes all have the same length are read all at once, others one by one."""
     parsed = [parse_jpeg(file[a : a + n]) for a, n in places]
     fixed = {(p["rows"], p["columns"]) for p in parsed if p["kind"] == 0xC3 and p["predictor"] == 1 and not p["restart"] and p["tables"].get(p["selected"] >> 4) == _FIXED}
     if len(fixed) != 1 or any(p["kind"] != 0xC3 or p["tables"].get(p["selected"] >> 4) != _FIXED for p in parsed):
@@ -369,19 +379,26 @@ def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFram
 
 
 def read(docs: DataFrame, media: str = "media") -> DataFrame:
-    """``docs`` with payload (the stored bytes, read back) and clips (its timed shots) of the AVI column.
+    """``docs`` with payload (the stored bytes, read back), clips (its timed shots) and media_error of the AVI column.
 
-    A null file has a null payload and null clips; a file that isn't motion-JPEG in AVI is an error.
+    A null file has nulls in all three. A file that can't be decoded has a null payload, null clips and in media_error
+    the reason: no AVI, no frames, broken or cut off, or a kind of JPEG other than grey lossless or baseline without
+    restart intervals. Clashing columns are replaced.
     """
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        payloads, clips = [], []
+        payloads, clips, errors = [], [], []
         for file in column(batch, media).to_pylist():
-            if file is None:
+            try:
+                video, frames = read_video(file) if file is not None else (None, None)
+                error = None
+            except (ValueError, IndexError, KeyError, struct.error) as e:
+                video, error = None, f"{type(e).__name__}: {e}"
+            errors.append(error)
+            if video is None:
                 payloads.append(None)
                 clips.append(None)
                 continue
-            video, frames = read_video(file)
             payloads.append(read_payload(video, frames))
             light = [float(f.mean()) for f in frames]
             clips.append([
@@ -389,9 +406,9 @@ def read(docs: DataFrame, media: str = "media") -> DataFrame:
                 for k, (a, b) in enumerate(shots(histograms(frames)))
             ])
         kind = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("frames", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("brightness", pa.float64())]))
-        return [pa.array(payloads, pa.binary()), pa.array(clips, kind)]
+        return [pa.array(payloads, pa.binary()), pa.array(clips, kind), pa.array(errors, pa.string())]
 
-    return add_columns(docs, f"payload binary, clips {CLIP}", make)
+    return add_columns(docs, f"payload binary, clips {CLIP}, media_error string", make)
 
 
 def clips(docs: DataFrame, keys: list[str], media: str = "media") -> DataFrame:

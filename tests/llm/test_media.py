@@ -1,5 +1,6 @@
 import hashlib
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -130,3 +131,40 @@ def test_op9_digests(spark):
         file = media.store_payload(padded)
         want = (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(file), hashlib.sha256(file).hexdigest())
         assert tuple(r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")) == want
+
+
+def test_files_that_cannot_be_read_have_a_status(spark):
+    good = media.store_payload(b"a" * 6400)
+    cut = good[: len(good) // 2]
+    rows = [(1, good), (2, b""), (3, b"RIFF\4\0\0\0AVI "), (4, cut), (5, None), (6, good.replace(b"\xff\xc3", b"\xff\xc2"))]
+    got = {r["id"]: r for r in media.read(spark.createDataFrame(rows, "id long, media binary")).collect()}
+    assert {i for i, r in got.items() if r["media_error"] is None} == {1, 5}
+    assert bytes(got[1]["payload"]) == b"a" * 6400 and all(got[i]["payload"] is None and got[i]["clips"] is None for i in (2, 3, 4, 5, 6))
+
+
+def test_memory_of_a_long_text_is_a_small_multiple():
+    payload = bytes(np.random.default_rng(0).integers(0, 128, 8 << 20, dtype=np.uint8))
+    tracemalloc.start()
+    file = media.store_payload(payload)
+    stored = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    video, frames = media.read_video(file)
+    assert media.read_payload(video, frames) == payload
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert max(stored, read) < 10 * len(payload)
+
+
+def test_clips_query_equals_shots_of_each_text(spark):
+    docs = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {}
+    for r in entries.media_clips(spark, "/root/testdata/sf0.001").collect():
+        got.setdefault(r["doc_id"], []).append((r["clip"], r["first_frame"], r["frames"], round(r["start_s"] * 25), round(r["end_s"] * 25)))
+    for i, raw in docs.items():
+        raw += bytes(-len(raw) % 64 if raw else 64)
+        height = min(len(raw) // 64, media.HEIGHT)
+        size = 64 * height
+        raw += bytes(-len(raw) % size)
+        hist = np.array([np.bincount(np.frombuffer(raw[a : a + size], np.uint8) >> 3, minlength=32) / size for a in range(0, len(raw), size)])
+        assert sorted(got[i]) == [(k, a, b - a, a, b) for k, (a, b) in enumerate(media.shots(hist))]
+    assert any(len(c) > 1 for c in got.values())

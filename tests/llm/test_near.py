@@ -247,3 +247,38 @@ def test_components_with_hot_nodes(spark, monkeypatch):
     edges = [(0, i) for i in range(1, 60)] + [(i, 1000 + i) for i in range(1, 30)] + [(5000, 5001), (None, 3), (7, 7)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {n: 0 for e in edges[:-3] for n in e} | {5000: 5000, 5001: 5000}
+
+
+def clustered(spark, n, width, spread, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, width))
+    x = centres[rng.integers(0, 40, n)] + spread * rng.normal(size=(n, width))
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_recall_and_rows_read_on_clusters(spark):
+    """With structure in the vectors, tuned searches find at least 0.9 of the neighbours in a small part of the rows."""
+    x, df = clustered(spark, 4000, 16, 0.25)
+    index = ann.build_index(df, seed=1)
+    got = {}
+    for r in ann.search(index, df.where("vec_id % 40 = 0")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q, found_ in got.items():
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(found_ & set(np.argsort(d)[:10].tolist()))
+    order, needed = ann.visited(index.router.probabilities(x[::40]), index.mass)
+    read = np.mean([np.array(index.counts)[o[:n]].sum() for o, n in zip(order, needed, strict=True)]) / 4000
+    print("recall", hit / 10 / len(got), "share of rows read", read)
+    assert len(got) == 100 and hit / 10 / len(got) >= 0.9 and read < 0.3
+
+
+def test_queries_in_small_parts_find_all_there_is(spark):
+    """A few far clusters smaller than k, with repeated keys: other parts fill up the answers."""
+    rng = np.random.default_rng(0)
+    rows = [(i, (rng.normal(size=4) * 0.01 + 100 * (i % 40)).tolist()) for i in range(320)] + [(0, [0.0, 0.0, 0.0, 1.0])] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = ann.build_index(df, seed=2)
+    out = ann.search(index, df.where("vec_id < 80"), k=10, mass=0.1).groupBy("query_id").count().collect()
+    assert len(out) == 80 and {r["count"] for r in out} == {10}
