@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,11 +35,19 @@ def field_types(ddl: str) -> list[T.StructField]:
     return T._parse_datatype_string(ddl).fields
 
 
-def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
+def give_back() -> None:
+    """Return the memory that a Python worker has freed to the system: workers outlive their tasks and serve other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = (), done: Callable[[], None] | None = None) -> DataFrame:
     """``df`` with the columns of ``ddl``, made by ``make`` for :func:`spans` of rows; ``drop`` columns end here.
 
     Columns of ``df`` that clash with the new names are replaced. ``make`` gets all columns, ``drop`` columns
-    included. Column order: what is kept, then the new columns.
+    included. Column order: what is kept, then the new columns. ``done`` is called when a partition is finished.
     """
     new = field_types(ddl)
     names = {f.name.lower() for f in new}
@@ -52,6 +61,11 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list[p
             for batch in spans(whole):
                 kept = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n.lower() not in gone]
                 yield pa.RecordBatch.from_arrays([*kept, *make(batch)], [f.name for f in schema.fields])
+            give_back()
+        whole = batch = kept = None
+        if done is not None:
+            done()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -28,13 +28,13 @@ from relslice.llm.arrowmap import add_columns, column
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bytes, about, of each half of a table of encodings that a Python worker remembers.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 4 << 20
 
 #: Encodings of longer segments and words are not remembered.
 CACHE_CHARS = 64
 
 #: Pairs of tokens that a Python worker remembers, about 100 bytes each.
-CACHE_PAIRS = 250_000
+CACHE_PAIRS = 120_000
 
 #: Bytes of the texts that go into the trie together; a longer text goes alone.
 SLICE_BYTES = 4 << 20
@@ -78,7 +78,7 @@ class _Recent:
 
 
 class BytePairCodec:
-    """A byte-level BPE vocabulary with encode and decode; built once per Python worker and path."""
+    """A byte-level BPE vocabulary with encode and decode; built once per partition and path."""
 
     _loaded: dict[str, BytePairCodec] = {}
 
@@ -88,6 +88,11 @@ class BytePairCodec:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    @classmethod
+    def release(cls) -> None:
+        """Forget all codecs: a worker that has finished a partition may serve other operators next."""
+        cls._loaded.clear()
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -345,7 +350,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
     like ``ids`` are replaced; all other columns are kept. ``path`` must be readable on every executor. Memory
     grows in proportion to the longest text, also where it is one unbroken word.
     """
-    return add_columns(docs, f"{ids} binary", lambda batch: [_packed(BytePairCodec.load(path), column(batch, text))])
+    return add_columns(docs, f"{ids} binary", lambda batch: [_packed(BytePairCodec.load(path), column(batch, text))], done=BytePairCodec.release)
 
 
 def _packed(codec: BytePairCodec, texts: pa.Array) -> pa.Array:
@@ -354,7 +359,7 @@ def _packed(codec: BytePairCodec, texts: pa.Array) -> pa.Array:
 
 def decode(coded: DataFrame, path: str, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
     """``coded`` with the string column ``decoded``; null or empty ids give the empty text, special tokens are kept."""
-    return add_columns(coded, f"{decoded} string", lambda batch: [BytePairCodec.load(path).decode_column(column(batch, ids))])
+    return add_columns(coded, f"{decoded} string", lambda batch: [BytePairCodec.load(path).decode_column(column(batch, ids))], done=BytePairCodec.release)
 
 
 def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
@@ -365,4 +370,4 @@ def encode_and_decode(docs: DataFrame, path: str, text: str = "text", ids: str =
         packed = _packed(codec, column(batch, text))
         return [packed, codec.decode_column(packed)]
 
-    return add_columns(docs, f"{ids} binary, {decoded} string", make)
+    return add_columns(docs, f"{ids} binary, {decoded} string", make, done=BytePairCodec.release)

@@ -106,6 +106,10 @@ def byte_level_pieces(path: str) -> tuple[list[bytes], list[bytes]]:
 _loaded: dict[str, PieceCounter] = {}
 
 
+def _release() -> None:
+    _loaded.clear()
+
+
 def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_tokens and n_unknown: greedy longest-match pieces of the byte-level vocabulary at ``path``.
 
@@ -134,7 +138,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 n_unknown.append(unknown)
         return [pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_unknown)]
 
-    return add_columns(docs, "n_words long, n_tokens long, n_unknown long", make)
+    return add_columns(docs, "n_words long, n_tokens long, n_unknown long", make, done=_release)
 
 
 _SPACES = bytes(32 if i in (9, 10, 11, 12, 13) else i for i in range(256))
