@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relslice.llm import ann, bpe, langid, media, minhash, mixing, quality, sharding, toxicity, wordpiece
+from relslice.llm import ann, bpe, codes, exactdedup, langid, media, merkle, minhash, mixing, quality, sharding, toxicity, wordpiece
+from relslice.scratch import materialize
 
 #: The vocabulary of ``op2_bpe``; any byte-level BPE file of the tokenizers library will do.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -179,6 +180,114 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(index, rows.where(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle manifest of all documents by source, each one's proof, and the root that follows from a tampered copy of it."""
+    docs = table(spark, sf_dir, "documents")
+    leaf = merkle.digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")])
+    without = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    changed = merkle.digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], without)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, changed).otherwise(leaf)
+    rows = materialize(docs.select("doc_id", "source", leaf.alias("leaf"), tampered.alias("tampered")), "leaves")
+    proofs = merkle.manifest(rows, "source", ["doc_id"], "leaf", ["doc_id", "tampered"]).proofs()
+    told = proofs.select("doc_id", F.col("hash").alias("leaf"), "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), merkle.folded(F.col("tampered"), F.col("steps")).alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+# CRC-32 of a decimal number's digits, byte by byte over a table made by its polynomial.
+OP11_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+k AS (
+  SELECT doc_id, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda x, y: xor(x >> 8, t[xor(x, y) % 256 + 1])) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents), c),
+e AS (
+  SELECT d.doc_id, source, text, k.crc, coalesce(strlen(d.doc_id::VARCHAR) || ':' || d.doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, replace(text, chr(10), '') AS cut
+  FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id),
+leaves AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS changed
+  FROM e),
+l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+a AS (
+  SELECT source, 0 AS level, i, leaf AS h, n FROM l
+  UNION ALL
+  SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM a WHERE n > 1 GROUP BY source, level, i // 3),
+s AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM a WHERE n = 1),
+b AS (
+  SELECT 0 AS level, i, subroot AS h, n FROM s
+  UNION ALL
+  SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM b WHERE n > 1 GROUP BY level, i // 3),
+r AS (SELECT h AS root FROM b WHERE n = 1),
+sa AS (
+  SELECT x.source, x.level, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS pre, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS post
+  FROM a x JOIN a y ON x.source IS NOT DISTINCT FROM y.source AND x.level = y.level AND x.i // 3 = y.i // 3 WHERE x.n > 1 GROUP BY ALL),
+sb AS (
+  SELECT x.level, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS pre, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS post
+  FROM b x JOIN b y ON x.level = y.level AND x.i // 3 = y.i // 3 WHERE x.n > 1 GROUP BY ALL),
+fa AS (
+  SELECT doc_id, source, leaf, 0 AS level, i, i AS first, n, changed AS h, '' AS proof FROM l
+  UNION ALL
+  SELECT fa.doc_id, fa.source, leaf, fa.level + 1, fa.i // 3, first, (n + 2) // 3, sha256(pre || h || post), proof || pre || post
+  FROM fa JOIN sa ON sa.source IS NOT DISTINCT FROM fa.source AND sa.level = fa.level AND sa.i = fa.i WHERE n > 1),
+fb AS (
+  SELECT fa.doc_id, leaf, s.subroot, 0 AS level, s.i, s.n, fa.h, proof FROM fa JOIN s ON s.source IS NOT DISTINCT FROM fa.source WHERE fa.n = 1
+  UNION ALL
+  SELECT doc_id, leaf, subroot, fb.level + 1, fb.i // 3, (n + 2) // 3, sha256(pre || h || post), proof || pre || post
+  FROM fb JOIN sb ON sb.level = fb.level AND sb.i = fb.i WHERE n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM fb, r WHERE n = 1
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all embeddings over 8 codebooks of 16 entries, with their errors and those of their labels."""
+    made = codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, carry=["label"])
+    return codes.with_label_error(made.rows).select("vec_id", "code", "error", "label_error", F.lit(made.codebooks_sha256()).alias("codebooks_sha256"))
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """Rounds of full searches, one after the other."""
+    steps = [
+        """WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q, len(embedding) // 8 AS w
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, part, list_slice(q, part * w + 1, part * w + w) AS x FROM v, (SELECT unnest(range(8)) AS part)),
+b0 AS (SELECT part, r - 1 AS entry, x AS e FROM p WHERE r <= 16)"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+  SELECT p.r, p.part, any_value(p.x) AS x, min({{'d': list_sum(list_transform(list_zip(p.x, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'entry': b.entry}}) AS best
+  FROM p JOIN b{i} b ON b.part = p.part GROUP BY p.r, p.part)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY j) AS e
+  FROM (SELECT part, best.entry AS entry, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, (SELECT max(w) FROM v) + 1)) AS j) GROUP BY ALL)
+  GROUP BY part, entry),
+b{i + 1} AS (SELECT b.part, b.entry, coalesce(m.e, b.e) AS e FROM b{i} b LEFT JOIN m{i} m ON m.part = b.part AND m.entry = b.entry)""")
+    return ",\n".join(steps) + f"""
+SELECT v.vec_id, c.code, c.error, sum(c.error) OVER (PARTITION BY v.label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM v JOIN (
+  SELECT r, string_agg(printf('%02x', best.entry), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY r) c ON c.r = v.r
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every document's text, and whether the document stays."""
+    return exactdedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP13_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+g AS (SELECT doc_id, low, max(doc_id) OVER (PARTITION BY low) AS keep_id, count(*) OVER (PARTITION BY low) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(low) AS text_sha256 FROM g
+"""
+
+
 def queries() -> dict:
     import corpus_pipeline  # here, because the pipeline imports this module
 
@@ -195,8 +304,11 @@ def queries() -> dict:
         "op9_media": op9_media,
         "media_clips": media_clips,
         "op10_neighbours": op10_neighbours,
+        "op11_merkle": op11_merkle,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_exact_duplicates": op13_exact_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op8_near_duplicates": OP8_SQL}
+    return {"op4_mixing": OP4_SQL, "op8_near_duplicates": OP8_SQL, "op11_merkle": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_exact_duplicates": OP13_SQL}
