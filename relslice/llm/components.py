@@ -28,8 +28,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = _with_least(both.where("v > u"), least, max(HOT, before[0] // 1000) if before[2] > HOT else None).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        # Small star: a node and its smaller neighbours move to the smallest of them.
-        moved = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        # Small star: a node and its smaller neighbours move to the smallest of them. A node may have many of these, too.
+        smaller = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        moved = _with_least(large, smaller, max(HOT, before[0] // 1000) if before[0] > HOT else None)
         small = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(moved.select("u", F.col("m").alias("v")))
         after = materialize(small.where("u != v").distinct(), "edges")
         digest = _digest(after)

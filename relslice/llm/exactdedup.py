@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from relslice.llm.arrowmap import column, give_back, spans
 from relslice.scratch import materialize
 
-#: Bytes of a bucket on average, and of the records that one table takes.
+#: Bytes of a bucket on average, and of the records that one table takes; several times as many, so that few buckets are too large.
 BUCKET_BYTES, TABLE_BYTES = 512 << 10, 8 << 20
 
 #: Rows that one table takes in the first pass; their keys stay with its records.

@@ -164,13 +164,13 @@ def learn_vocabulary(trigrams: list[np.ndarray], languages: list[str]) -> Vocabu
 
 
 def fit_kernel_ridge(sets: list[np.ndarray], languages: list[str], landmarks: int = MAX_LANDMARKS, ridge: float = 1e-3) -> LanguageModel:
-    """Fit from n-gram sets in a fixed order; landmarks are taken from the languages in turn.
+    """Fit from n-gram sets in a fixed order; landmarks are taken from the languages in turn, one of each at least.
 
     Rows weigh so that each language weighs the same. Without rows the model knows no language.
     """
     names = sorted(set(languages))
     queues = [[i for i, x in enumerate(languages) if x == name] for name in names]
-    chosen = [q[k] for k in range(max(map(len, queues), default=0)) for q in queues if k < len(q)][:landmarks]
+    chosen = [q[k] for k in range(max(map(len, queues), default=0)) for q in queues if k < len(q)][: max(landmarks, len(names))]
     vocabulary = distinct(np.concatenate([sets[i] for i in chosen])) if chosen else np.zeros(0, np.int32)
     presence = np.zeros((vocabulary.size, len(chosen)), np.float32)
     for k, i in enumerate(chosen):
@@ -213,7 +213,9 @@ def fit(docs: DataFrame, seed: int = 0, key: str = "doc_id", text: str = "text",
         return [pa.array(ngrams(texts, orders), pa.list_(pa.int32())) for orders in ((1, 2, 3), (3,))]
 
     made = add_columns(drawn, "__grams array<int>, __trigrams array<int>", make, drop=("__text",))
-    table = made.limit(int(2 * sum(wanted)) + 100).toArrow().sort_by([("__key", "ascending"), ("__lang", "ascending")])
+    # Where keys repeat so often that the bound counts, the same rows are taken whatever the order they come in.
+    made = made.withColumn("__digest", F.xxhash64("__key", "__lang", "__grams")).orderBy("__digest").limit(int(2 * sum(wanted)) + 100)
+    table = made.toArrow().sort_by([(c, "ascending") for c in ("__key", "__lang", "__digest")])
     sets, trigrams = ([np.asarray(g.values) for g in table[c]] for c in ("__grams", "__trigrams"))
     model = fit_kernel_ridge(sets, table["__lang"].to_pylist())
     model.vocabulary = learn_vocabulary(trigrams, table["__lang"].to_pylist())

@@ -45,8 +45,8 @@ def external_shuffle(docs: DataFrame, seed: int = 0, key: str = "doc_id", text:
     The order depends on the seed, the rows and the bucket count only, so reruns agree: before a bucket is
     shuffled, its rows are put in the order of key, text digest and digest of all columns. Rows that share a key meet in one bucket;
     where that makes a bucket more than twice its memory (a key that holds much of the table), the bucket's rows
-    are dealt to as many sub-buckets as it needs by the digest of all their columns and, if one digest repeats, by
-    their place in the input (equal rows are interchangeable). Null keys and texts are values of their own. Clashing
+    are dealt to as many sub-buckets as it needs by the digest of all their columns and, where equal rows would fill
+    one, in equal numbers (equal rows are interchangeable). Null keys and texts are values of their own. Clashing
     columns are replaced. An empty table gives an empty result.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("bucket", "place")])
@@ -62,8 +62,8 @@ def external_shuffle(docs: DataFrame, seed: int = 0, key: str = "doc_id", text:
         # Of equal rows that fill a bucket by themselves there are at most as many kinds as buckets.
         alike = placed.where("__digest is not null").groupBy("__digest").agg(F.sum(weight).alias("bytes")).where(F.col("bytes") > bucket_bytes)
         placed = placed.join(F.broadcast(alike.select("__digest", F.lit(True).alias("__alike"))), "__digest", "left")
-        spread = F.xxhash64("__digest", F.when(F.col("__alike"), F.monotonically_increasing_id()))
-        placed = placed.withColumn("bucket", F.col("bucket") + F.coalesce(F.pmod(spread, "__parts"), F.lit(0))).drop("__parts", "__digest", "__alike")
+        single = placed.where("__alike is null").withColumn("bucket", F.col("bucket") + F.coalesce(F.pmod("__digest", "__parts"), F.lit(0)))
+        placed = single.select(*docs.columns, "bucket").unionByName(_evenly(placed.where("__alike"), docs.columns))
     schema = T.StructType([*placed.schema.fields, T.StructField("place", T.LongType())])
     placed = placed.withColumn("__row", F.xxhash64(*docs.columns))  # the last word on the order before the shuffle
     names = placed.columns
@@ -80,6 +80,15 @@ def external_shuffle(docs: DataFrame, seed: int = 0, key: str = "doc_id", text:
     return materialize(placed.select(*names).groupBy("bucket").applyInArrow(shuffle, schema), "shuffled")
 
 
+def _evenly(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Equal rows dealt to their bucket's parts by count, so it doesn't matter which of them is where; they are counted before they are shuffled."""
+    kinds = rows.groupBy("bucket", "__parts", *[F.col(f"`{c}`") for c in columns]).agg(F.count("*").alias("__n"))
+    each = kinds.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    times = F.expr("__n div __parts + IF(__part < __n % __parts, 1, 0)")
+    each = each.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return each.select(*[F.col(f"`{c}`") for c in columns], (F.col("bucket") + F.col("__part")).alias("bucket"))
+
+
 def shard(docs: DataFrame, shards: int, seed: int = 0, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``docs`` with shard (0 to ``shards`` - 1) and slot (its place in the shard, from 0 without gaps).
 

@@ -50,7 +50,7 @@ def test_large_buckets_are_folded_and_split_again(spark, monkeypatch):
     """Tables of a few records: a text with many copies goes through several levels, and other texts of its bucket with it."""
     monkeypatch.setattr(exactdedup, "TABLE_BYTES", 900)
     monkeypatch.setattr(exactdedup, "TABLE_ROWS", 5)
-    monkeypatch.setattr(exactdedup, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(exactdedup, "BUCKET_BYTES", 200)
     levels = []
     again = exactdedup._grouped
     monkeypatch.setattr(exactdedup, "_grouped", lambda records, key, level: (levels.append(level), again(records, key, level))[1])

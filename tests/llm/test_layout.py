@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from relslice.llm import entries, mixing, sharding
 
@@ -159,3 +160,15 @@ def test_shards_of_a_hot_key_do_not_depend_on_the_input_split(spark):
     same = spark.createDataFrame([(7, "y" * 500, 1)] * 200, "doc_id long, text string, other int").repartition(5)
     parts = sharding.external_shuffle(same, bucket_bytes=4000).groupBy("bucket").count().collect()
     assert len(parts) > 5 and sum(r["count"] for r in parts) == 200
+
+
+def test_equal_rows_that_fill_a_bucket_do_not_move_the_others(spark):
+    """One kind of row fills a bucket many times; the other rows are where they are, however the input is split."""
+    rows = [(7, "same " * 30, 1)] * 400 + [(7, f"other {i} " * 10, 2) for i in range(60)] + [(i, f"text {i}", 3) for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int")
+
+    def dealt(d):
+        return sorted((r["other"], r["doc_id"], r["text"], r["shard"], r["slot"]) for r in sharding.shard(d, 6, seed=3, bucket_bytes=4000).collect())
+
+    once = dealt(df.repartition(9))
+    assert once == dealt(df.coalesce(1)) == dealt(df.orderBy(F.desc("text")).repartition(3)) and len(once) == len(rows)

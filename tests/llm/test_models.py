@@ -208,3 +208,37 @@ def test_ordinal_fit_is_near_the_most_likely_one():
     for i in range(2):
         for d in (-0.05, 0.05):
             assert likelihood(w, theta + d * np.eye(2)[i]) < best + 1e-4
+
+
+def test_every_language_has_a_landmark_and_can_be_predicted():
+    rng = np.random.default_rng(2)
+    own = [np.unique(rng.integers(0, 1 << 22, 60)).astype(np.int32) for _ in range(200)]
+    sets, names = [], []
+    for _ in range(3):
+        for i, grams in enumerate(own):
+            sets.append(np.sort(rng.choice(grams, 40, replace=False)))
+            names.append(f"l{i:03d}")
+    model = langid.fit_kernel_ridge(sets, names)
+    assert model.sizes.size == 200 if hasattr(model, "sizes") else model.coefficients.shape[0] == 200
+    assert [model.languages[i] for i in model.scores(sets).argmax(axis=1)] == names
+
+
+def test_ridge_solution_equals_a_dense_least_squares_solve():
+    rng = np.random.default_rng(3)
+    common = np.arange(200, dtype=np.int32)
+    sets = [np.sort(rng.choice(common + 60 * (i % 3), 50, replace=False)).astype(np.int32) for i in range(60)]
+    names = [("a", "b", "c", "a")[i % 3 if i % 7 else 3] for i in range(60)]
+    model = langid.fit_kernel_ridge(sets, names, landmarks=12, ridge=0.01)
+    kernel = model.kernel(sets).astype(np.float64)
+    # The landmarks' own kernel, to express the ridge's penalty in the landmarks' coefficients.
+    queues = [[i for i, x in enumerate(names) if x == n] for n in model.languages]
+    chosen = [q[k] for k in range(max(map(len, queues))) for q in queues if k < len(q)][:12]
+    own = model.kernel([sets[i] for i in chosen]).astype(np.float64)
+    root = np.linalg.cholesky(own + 1e-12 * np.eye(12))
+    z = np.linalg.solve(root, kernel.T).T
+    weight = np.array([1 / (len(model.languages) * names.count(x)) for x in names])
+    y = np.where(np.array(names)[:, None] == np.array(model.languages), 1.0, -1.0)
+    a = np.concatenate([np.sqrt(weight)[:, None] * np.c_[z, np.ones(60)], np.c_[np.sqrt(0.01) * np.eye(12), np.zeros(12)]])
+    b = np.concatenate([np.sqrt(weight)[:, None] * y, np.zeros((12, len(model.languages)))])
+    dense = np.linalg.lstsq(a, b, rcond=None)[0]
+    assert kernel @ model.coefficients + model.offsets == pytest.approx(np.c_[z, np.ones(60)] @ dense, abs=1e-5)
