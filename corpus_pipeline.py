@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from relslice.llm import bpe, entries, langid, minhash, mixing, quality
 from relslice.llm.arrowmap import shielded
-from relslice.scratch import materialize
+from relslice.scratch import discard, materialize
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +64,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each stage but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(docs)  # what a stage has read, nothing reads again
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
