@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from relslice.catalog import Database, TableDef, Transformed, apply_transform, key_or_row_id, with_row_id
 from relslice.functions.redact import redacted as redacted_column
 from relslice.functions.redact import sensitive_columns
-from relslice.operators.chunks import DEFAULT_CHUNK, MAX_CHUNK, export_chunks
+from relslice.operators.chunks import DEFAULT_CHUNK, MAX_CHUNK, export_chunks, files_state
 from relslice.operators.closure import Plan, check_integrity, closure_of_percent, closure_of_seeds, exported
 from relslice.operators.predicates import Limits, Seed
 from relslice.plans.graph import fk_order
@@ -72,7 +72,9 @@ def dump(
 ) -> dict:
     """Export tables below ``out`` and return the manifest, which is written last.
 
-    Each table is one Spark job over the files its DataFrame was defined on. Subset exports are in key order.
+    Each table is one Spark job over the files its DataFrame was defined on; if any of these has changed by the end, the
+    dump is an error and gets no manifest, so all tables are of one state. The written files are read once for the
+    dump's inventory. Subset exports are in key order.
     Chunked tables resume after an interruption when ``out`` and all options are the same; other tables are
     written anew. ``transform`` changes rows after redaction, keeping the columns (see
     :func:`~relslice.catalog.apply_transform`). ``strict`` refuses a subset with orphans (possible below tables
@@ -82,7 +84,7 @@ def dump(
     check_options(percent, seeds, chunk, chunk_size, workers)
     spark = next(iter(db.frames.values())).sparkSession
     started = time.time()
-    if fs.exists(spark, f"{out}/metadata.json"):
+    if fs.has_text(spark, f"{out}/metadata.json"):
         raise ValueError(f"{out} holds a finished dump")
     scope = schema_scope([t.schema for t in db.tables.values()], schemas or (), exclude_schemas)
     picked, selection = select_tables(db.only(k for k, t in db.tables.items() if t.schema in scope), include, exclude)
@@ -98,6 +100,8 @@ def dump(
     strategies = [Strategy(k, "subset" if plan else "chunk" if k in chunked else "stream", key_or_row_id(picked.tables[k], require_safe_key).columns if k in chunked else picked.tables[k].pk) for k in order]
     if on_plan:
         on_plan(strategies)
+    # What all tables are read from, before the first job; frames keep to the files they were defined on.
+    snapshot = {k: (files, files_state(spark, files)) for k in order if (files := sorted(picked.frames[k].inputFiles()))}
 
     def finished(table: TableDef, df: DataFrame) -> DataFrame:
         """Redacted and transformed rows; columns that aren't the table's own (places, chunks) go along."""
@@ -135,6 +139,9 @@ def dump(
         subset = {"percent": percent, "seeds": [asdict(s) for s in seeds], "limits": asdict(limits or Limits()), "rows_exported": counts, "rows_read": plan.rows_read}
     warned = {k: sensitive_columns(picked.tables[k]) for k in order if sensitive_columns(picked.tables[k])} if redacted else {}
     provenance = {"selection": selection, "strategies": [asdict(s) for s in strategies], "redacted_columns": warned, "elapsed_s": round(time.time() - started, 3)}
+    manifest.take_inventory(spark, out, [picked.tables[k] for k in order], counts)
+    if changed := [k for k, (files, state) in snapshot.items() if files_state(spark, files) != state]:
+        raise ValueError(f"tables changed while they were dumped: {', '.join(changed)}")
     done = manifest.build(picked, counts, order, scope, provenance, subset, sequences)
     manifest.write(spark, out, done)
     return done

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable
 from itertools import accumulate
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relslice.catalog import KeyChoice
@@ -94,6 +94,16 @@ def data_state(df: DataFrame) -> list:
     return [str(x) for x in found.first()]
 
 
+def files_state(spark: SparkSession, files: list[str]) -> list:
+    """Number and digest of the names, sizes and times of some files as the file system has them now; of files that are gone, nothing."""
+    try:
+        now = spark.read.format("binaryFile").load(files)
+    except AnalysisException:
+        return []
+    digest = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    return [str(x) for x in now.agg(F.count("*"), F.sum(digest)).first()]
+
+
 def fingerprint(table: str, choice: KeyChoice, size: int, state: list, options: dict) -> str:
     """What a chunked export depends on, as a SHA-256 digest; a resumed run must have the same."""
     plan = {"table": table, "strategy": choice.strategy, "keys": list(choice.columns), "size": size, "data": state, "options": options}
@@ -109,7 +119,7 @@ def export_chunks(df: DataFrame, out: str, table: str, choice: KeyChoice, size:
     """
     spark = df.sparkSession
     mark, plan = fingerprint(table, choice, size, data_state(df), options), f"{out}/_plan.json"
-    if fs.exists(spark, plan):
+    if fs.has_text(spark, plan):
         if json.loads(fs.read_text(spark, plan))["fingerprint"] != mark:
             raise ValueError(f"{out} holds chunks of another export of {table}")
     else:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
+from threading import Lock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from relslice.catalog import Database, TableDef, schema_violations
@@ -42,8 +45,8 @@ def check_options(on_conflict: str, replace: bool, workers: int) -> None:
         raise ValueError("several workers can neither replace tables nor resolve conflicts")
 
 
-def _incoming(spark: SparkSession, path: str, table: TableDef) -> DataFrame:
-    rows = ndjson.rows_of(ndjson.read(spark, f"{path}/{manifest.data_file(table)}", table), table)
+def _incoming(spark: SparkSession, path: str, table: TableDef, seen: Observation) -> DataFrame:
+    rows = ndjson.rows_of(ndjson.read(spark, f"{path}/{manifest.data_file(table)}", table, seen=seen), table)
     return rows.select(*[c for c in table.writable], POSITION) if table.writable else rows.select(POSITION)
 
 
@@ -63,20 +66,24 @@ def restore(
     exclude: Iterable[str] = (),
     workers: int = 1,
     strict: bool = False,
+    inventory: bool = True,
 ) -> Report:
     """Load a dump into ``target``.
 
-    The manifest, the row files and the target's schema are checked first; then every row is typed strictly, and
-    one that doesn't fit stops the load. With one worker all tables are staged and put into place at the end, so
-    an error changes nothing. With more, tables of one dependency level are loaded together and each is put into
-    place when done; a state file lets a later call go on with the tables that are missing. Orphans are warnings,
-    with ``strict`` errors.
+    The manifest, the row files (against the dump's inventory) and the target's schema are checked first; then every
+    row is typed strictly, and one that doesn't fit stops the load. With one worker all tables are staged and put into
+    place at the end, so an error changes nothing. With more, tables of one dependency level are loaded together
+    and each is put into place when done. A load has a name, which is noted before it begins and which each table's
+    list of live files keeps; so a call after an interruption goes on with the tables that don't have it yet, and
+    no row is loaded twice. Orphans are warnings, with ``strict`` errors. ``inventory=False`` loads a dump whose row files
+    were edited on purpose.
     """
     check_options(on_conflict, replace, workers)
     target.recover()
     spec = manifest.read(spark, path)
     dumped = exclude_for_restore(manifest.database(spec), exclude)
     manifest.check_files(spark, path, spec | {"tables": [t for t in spec["tables"] if t["key"] in dumped.tables]})
+    written = manifest.check_inventory(spark, path, dumped) if inventory else {}
     goal = Database({k: t for k, t in target.tables.items() if k in dumped.tables})
     if bad := schema_violations(spark, dumped, goal).orderBy("key", "column").limit(20).collect():
         raise ValueError("the target doesn't fit: " + "; ".join(f"{r['key']}.{r['column']}: {r['problem']}" for r in bad))
@@ -87,26 +94,31 @@ def restore(
         raise ConflictError("tables that stay reference replaced ones: " + ", ".join(f"{c} -> {p}" for c, p in inbound))
 
     def load(key: str) -> None:
-        table = target.tables[key]
+        table, seen = target.tables[key], Observation()
         # Typed once; the conflict policies look at incoming rows several times.
-        rows = materialize(_full(_incoming(spark, path, dumped.tables[key]), table), "incoming")
-        # A load that changes no row writes its new rows only; the target is read by its keys.
-        more = None if replace else appended(target.frame(key), rows, table, on_conflict)
-        if more is not None:
-            target.stage(key, more, append=True)
+        rows = materialize(_full(_incoming(spark, path, dumped.tables[key], seen), table), "incoming")
+        manifest.check_lines(spark, path, dumped.tables[key], written.get(key), seen)
+        if replace:
+            target.stage(key, rows.drop(POSITION))
         else:
-            target.stage(key, rows.drop(POSITION) if replace else merged(target.frame(key), rows, table, on_conflict))
+            _stage_rows(target, key, rows, on_conflict)
         discard(rows)
 
     report = Report()
     if workers == 1:
         report.tables = fk_order(dumped)
-        for key in report.tables:
-            load(key)
-        target.publish(report.tables)
+        state = _Once(target, path, spec, dumped, on_conflict, replace)
+        try:
+            for key in [k for k in report.tables if not target.holds(k, state.load)]:
+                load(key)
+        except Exception:
+            state.done()  # nothing has been put into place
+            raise
+        target.publish(report.tables, state.load)
     else:
-        _load_levels(spark, path, target, dumped, workers, load, report)
+        state = _load_levels(spark, path, target, dumped, workers, load, report)
     _marks(spark, spec, target, dumped)
+    state.done()
     for t in goal.tables.values():
         for f in t.fks:
             if f.parent in target.tables and orphans(target.frame(t.key), f, target.frame(f.parent)).limit(1).count():
@@ -116,44 +128,88 @@ def restore(
     return report
 
 
-def _load_levels(spark: SparkSession, path: str, target: Warehouse, dumped: Database, workers: int, load, report: Report) -> None:
-    state_path = f"{path}/_load_state.json"
-    mark = hashlib.sha256(json.dumps(sorted(dumped.tables)).encode()).hexdigest()
-    levels = fk_levels(dumped)
-    state = {"target": target.path, "table_set": mark, "committed": [], "failed": []}
-    if fs.exists(spark, state_path):
-        old = json.loads(fs.read_text(spark, state_path))
-        if (old["target"], old["table_set"]) != (target.path, mark):
-            raise ValueError("an unfinished load of this dump has another target or table set")
-        state["committed"] = old["committed"]
-
-    def save() -> None:
-        pending = [k for level in levels for k in level if k not in state["committed"] and k not in state["failed"]]
-        fs.write_text(spark, state_path, json.dumps(state | {"pending": pending}))
-
-    save()
+def _stage_rows(target: Warehouse, key: str, rows: DataFrame, policy: str) -> None:
+    """Stage what a policy makes of incoming rows. Only files that may hold their keys are read; an upsert writes those
+    anew that do hold one, with the rows that are new, and leaves all others."""
+    table = target.tables[key]
+    near = target.meeting(key, rows) if conflict_key(table, policy) else []
+    known = target.frame(key, near)
+    if (more := appended(known, rows, table, policy)) is not None:
+        target.stage(key, more, append=True)
+        return
+    keys = conflict_key(table, policy)
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`") == F.col(f"__k{i}") for i, k in enumerate(keys)])
+    wanted = rows.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)])
+    held = known.withColumn("__file", target.file_of(key)).join(wanted, same, "left_semi") if near else None
+    touched = [r["__file"] for r in held.select("__file").distinct().collect()] if near else []
+    target.stage(key, merged(target.frame(key, touched), rows, table, policy), append=True, instead_of=touched)
+
+
+class _Once:
+    """The name of a load with one worker, noted in the target until all of it is done."""
+
+    def __init__(self, target: Warehouse, path: str, spec: dict, dumped: Database, *options):
+        self.target, self.note = target, f"{target.path}/_load.json"
+        of = hashlib.sha256(json.dumps([path, spec, sorted(dumped.tables), *options], sort_keys=True).encode()).hexdigest()
+        old = json.loads(fs.read_text(target.spark, self.note)) if fs.has_text(target.spark, self.note) else {}
+        self.load = old["load"] if old.get("of") == of else uuid.uuid4().hex
+        fs.write_text(target.spark, self.note, json.dumps({"of": of, "load": self.load}))
+
+    def done(self) -> None:
+        fs.delete(self.target.spark, self.note)
+
+
+class _Levels:
+    """The state of a load with several workers, kept in the dump: the load's name, and its tables as they are put into place."""
+
+    def __init__(self, spark: SparkSession, path: str, target: Warehouse, dumped: Database):
+        self.spark, self.path, self.lock, self.order = spark, f"{path}/_load_state.json", Lock(), fk_order(dumped)
+        mark = hashlib.sha256(json.dumps(sorted(dumped.tables)).encode()).hexdigest()
+        self.state = {"target": target.path, "table_set": mark, "load": uuid.uuid4().hex, "committed": [], "failed": []}
+        if fs.has_text(spark, self.path):
+            old = json.loads(fs.read_text(spark, self.path))
+            if (old["target"], old["table_set"]) != (target.path, mark):
+                raise ValueError("an unfinished load of this dump has another target or table set")
+            self.state["load"] = self.load = old.get("load") or self.state["load"]
+            # A table may have been put into place without its note.
+            self.state["committed"] = [k for k in self.order if k in old["committed"] or target.holds(k, self.load)]
+        self.load = self.state["load"]
+        self.save()
+
+    def save(self) -> None:
+        known = {*self.state["committed"], *self.state["failed"]}
+        fs.write_text(self.spark, self.path, json.dumps(self.state | {"pending": [k for k in self.order if k not in known]}))
+
+    def note(self, key: str, failed: bool) -> None:
+        with self.lock:
+            self.state["failed" if failed else "committed"].append(key)
+            self.save()
+
+    def done(self) -> None:
+        fs.delete(self.spark, self.path)
+
+
+def _load_levels(spark: SparkSession, path: str, target: Warehouse, dumped: Database, workers: int, load, report: Report) -> _Levels:
+    levels, state = fk_levels(dumped), _Levels(spark, path, target, dumped)
     for level in levels:
-        todo = [k for k in level if k not in state["committed"]]
 
-        def one(key: str) -> tuple[str, Exception | None]:
+        def one(key: str) -> Exception | None:
             try:
                 load(key)
-                target.place(key)
-                return key, None
+                target.place(key, state.load)
+                state.note(key, failed=False)
+                return None
             except Exception as e:  # noqa: BLE001  kept for the caller, after the level has ended
-                return key, e
+                state.note(key, failed=True)
+                return e
 
+        todo = [k for k in level if k not in state.state["committed"]]
         with ThreadPoolExecutor(workers) as pool:
-            results = list(pool.map(one, todo))
-        errors = [e for _, e in results if e]
-        for key, e in results:
-            state["failed" if e else "committed"].append(key)
-            if not e:
-                report.tables.append(key)
-        save()
+            errors = [e for e in pool.map(one, todo) if e]
+        report.tables += [k for k in todo if k in state.state["committed"]]
         if errors:
             raise errors[0]
-    fs.delete(spark, state_path)
+    return state
 
 
 def _marks(spark: SparkSession, spec: dict, target: Warehouse, dumped: Database) -> None:

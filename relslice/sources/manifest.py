@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+from collections.abc import Iterable
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from relslice.catalog import ColumnDef, Database, FkDef, TableDef, UniqueDef
-from relslice.sources import fs
+from relslice.sources import fs, ndjson
 
 #: Newest manifest layout that is read.
 SCHEMA_VERSION = 3
@@ -72,6 +73,78 @@ def check_files(spark: SparkSession, path: str, manifest: dict) -> None:
         raise ValueError(f"row files are missing: {', '.join(missing)}")
 
 
+_INVENTORY = "folder string, file string, n_rows long, n_bytes long, digest string"
+
+
+def _files_below(spark: SparkSession, path: str, tables: Iterable[TableDef]) -> DataFrame:
+    """folder, file and n_bytes of every row file of some tables, as they are on the file system; nothing is read."""
+    folders = [f"{path}/{data_file(t)}" for t in tables]
+    there = [f for f in folders if fs.exists(spark, f)]
+    if not there:
+        return spark.createDataFrame([], "folder string, file string, n_bytes long")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(there)
+    return listed.select(*_named("path"), F.col("length").alias("n_bytes"))
+
+
+def _named(path: str) -> list[Column]:
+    """The table's folder and the file's name below it, from a file's path."""
+    return [F.regexp_extract(path, r".*/([0-9a-f]*\.[0-9a-f]*\.ndjson)/(.+)$", i).alias(n) for i, n in ((1, "folder"), (2, "file"))]
+
+
+def take_inventory(spark: SparkSession, path: str, tables: list[TableDef], counts: dict[str, int]) -> None:
+    """Read a dump's row files once and record each file's rows, bytes, and digest of its lines in any order, below the dump.
+
+    A table that doesn't have the rows that its job has counted is an error.
+    """
+    lines = ndjson.read_lines(spark, [f"{path}/{data_file(t)}" for t in tables])
+    read = lines.select("value", F.col("_metadata.file_path").alias("path")).groupBy("path").agg(*ndjson.digest_of_lines())
+    read = read.select(*_named("path"), F.col("n").alias("n_rows"), "digest")
+    whole = _files_below(spark, path, tables).join(read, ["folder", "file"], "left").na.fill({"n_rows": 0, "digest": "0"})
+    fs.delete(spark, f"{path}/inventory")
+    whole.select("folder", "file", "n_rows", "n_bytes", "digest").write.json(f"{path}/inventory")
+    written = {r["folder"]: r["n"] for r in inventory(spark, path).groupBy("folder").agg(F.sum("n_rows").alias("n")).collect()}
+    if bad := [t.key for t in tables if written.get(data_file(t).rsplit("/", 1)[1], 0) != counts[t.key]]:
+        raise OSError(f"row files don't hold the rows that were written: {', '.join(bad)}")
+
+
+def inventory(spark: SparkSession, path: str) -> DataFrame:
+    """folder, file, n_rows, n_bytes and digest of each row file of a dump, as it was written."""
+    return spark.read.schema(_INVENTORY).json(f"{path}/inventory")
+
+
+def file_problems(spark: SparkSession, path: str, tables: Iterable[TableDef]) -> DataFrame:
+    """key, file and problem of every row file that was lost or added since the dump, or whose size has changed."""
+    tables = list(tables)
+    names = spark.createDataFrame([(data_file(t).rsplit("/", 1)[1], t.key) for t in tables], "folder string, key string")
+    was = inventory(spark, path).join(F.broadcast(names), "folder").select("folder", "file", "key", F.col("n_bytes").alias("was"))
+    now = _files_below(spark, path, tables).join(F.broadcast(names), "folder").select("folder", "file", F.col("key").alias("now_key"), F.col("n_bytes").alias("now"))
+    problem = F.when(F.col("now").isNull(), "is missing").when(F.col("was").isNull(), "is not of this dump").when(F.col("now") != F.col("was"), "has another size")
+    found = was.join(now, ["folder", "file"], "full_outer")
+    return found.select(F.coalesce("key", "now_key").alias("key"), "file", problem.alias("problem")).where("problem is not null")
+
+
+def check_inventory(spark: SparkSession, path: str, db: Database) -> dict[str, tuple[int, str]]:
+    """Compare a dump's row files with its inventory; returns the lines and digest that each table must have. A dump without an inventory (of an older layout) has none to give."""
+    if not fs.exists(spark, f"{path}/inventory"):
+        return {}
+    if bad := file_problems(spark, path, db.tables.values()).orderBy("key", "file").limit(20).collect():
+        raise ValueError("the dump isn't whole: " + "; ".join(f"{r['key']}: {r['file']} {r['problem']}" for r in bad))
+    sums = inventory(spark, path).groupBy("folder").agg(F.sum("n_rows").alias("n"), F.sum(F.col("digest").cast("decimal(38,0)")).cast("string").alias("digest"))
+    by_folder = {r["folder"]: (r["n"], r["digest"]) for r in sums.collect()}
+    return {k: by_folder.get(data_file(t).rsplit("/", 1)[1], (0, "0")) for k, t in db.tables.items()}
+
+
+def check_lines(spark: SparkSession, path: str, table: TableDef, expected: tuple[int, str] | None, seen: Observation) -> None:
+    """Compare the lines that a load has read with the inventory; if they differ (a task that ran twice may have counted twice), once more by a job of its own."""
+    if expected is None:
+        return
+    got = seen.get
+    if (got.get("n", 0), got.get("digest", "0")) != expected:
+        got = ndjson.read_lines(spark, f"{path}/{data_file(table)}").agg(*ndjson.digest_of_lines()).first()
+        if (got["n"], got["digest"]) != expected:
+            raise ValueError(f"the dump isn't whole: the lines of {table.key} are not those that were written ({got['n']} of {expected[0]})")
+
+
 _RUN = "path string, seq long, created string, source string, n_tables long, n_rows long"
 
 
@@ -93,7 +166,7 @@ def list_runs(spark: SparkSession, base: str) -> DataFrame:
     records = [json.loads(fs.read_text(spark, f"{base}/.runs/{f}")) for f in fs.listdir(spark, f"{base}/.runs") if f.endswith(".json")]
     disk = []
     for name in fs.listdir(spark, base):
-        if name.isdigit() and fs.exists(spark, f"{base}/{name}/metadata.json"):
+        if name.isdigit() and fs.has_text(spark, f"{base}/{name}/metadata.json"):
             m = read(spark, f"{base}/{name}")
             disk.append({"path": f"{base}/{name}", "seq": int(name), "created": m["generated_at"], "source": "", "n_tables": len(m["tables"]), "n_rows": m["provenance"]["total_rows"]})
     fields = [p.split()[0] for p in _RUN.split(", ")]

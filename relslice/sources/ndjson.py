@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from relslice.catalog import TableDef
@@ -32,14 +32,22 @@ def write(df: DataFrame, path: str, position: bool = True, partition_by: list[st
     return seen.get.get("n", 0)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a row file that aren't blank."""
-    return spark.read.option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines of a row file that hold anything but white space of any kind."""
+    return spark.read.option("recursiveFileLookup", "true").text(path).where(F.col("value").rlike(r"(?U)\S"))
 
 
-def read(spark: SparkSession, path: str, table: TableDef, infinities: bool = False) -> DataFrame:
-    """Typed rows with __pos and __problems; a line over MAX_LINE bytes is a problem, too."""
-    return typed(read_lines(spark, path), table, infinities=infinities, longest=MAX_LINE)
+def digest_of_lines() -> list[Column]:
+    """Aggregates of lines that don't depend on their order: number, and digest of all contents."""
+    return [F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("value").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")]
+
+
+def read(spark: SparkSession, path: str, table: TableDef, infinities: bool = False, seen: Observation | None = None) -> DataFrame:
+    """Typed rows with __pos and __problems; a line over MAX_LINE bytes is a problem, too. ``seen`` observes the lines."""
+    lines = read_lines(spark, path)
+    if seen is not None:
+        lines = lines.observe(seen, *digest_of_lines())
+    return typed(lines, table, infinities=infinities, longest=MAX_LINE)
 
 
 def rows_of(rows: DataFrame, table: TableDef) -> DataFrame:

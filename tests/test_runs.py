@@ -130,8 +130,10 @@ def test_parallel_restore_goes_on_after_a_failure(spark, db):
     spec = manifest.read(spark, path)
     orders = f"{path}/{[t['file'] for t in spec['tables'] if t['name'] == 'orders'][0]}"
     fs.write_text(spark, f"{orders}/part-broken.json", "{")
-    with pytest.raises(Exception, match="not a JSON object"):
+    with pytest.raises(ValueError, match="public.orders: part-broken.json is not of this dump"):
         restore(spark, path, target, workers=2)
+    with pytest.raises(Exception, match="not a JSON object"):
+        restore(spark, path, target, workers=2, inventory=False)
     state = json.loads(fs.read_text(spark, f"{path}/_load_state.json"))
     assert state["committed"] == ["public.nation", "public.customer"] and state["failed"] == ["public.orders"]
     fs.delete(spark, f"{orders}/part-broken.json")
