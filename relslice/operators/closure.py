@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from relslice.catalog import Database, FkDef, TableDef
 from relslice.operators.predicates import Limits, Seed, check_seeds, select_keys
-from relslice.operators.recency import is_pure_join_table, most_recent, percent_limit, recency_column, recency_order
+from relslice.operators.recency import is_pure_join_table, most_recent, percent_limit, recency_column
 from relslice.plans.graph import fk_order
 from relslice.plans.selection import foreign_keys
 from relslice.scratch import discard, materialize
@@ -320,7 +320,7 @@ def closure_of_percent(db: Database, percent: int, limits: Limits | None = None)
                 n = min(percent_limit(in_scope, percent), budget, room if room is not None else budget)
                 run.charge(min(n, in_scope))
                 pk = db.tables[child].single_pk
-                if run.add(child, scope.orderBy(*recency_order(order_by, pk)).limit(n).select(pk), depth + 1) is not None:
+                if run.add(child, most_recent(scope, pk, order_by, n), depth + 1) is not None:
                     added.add(child)
                 discard(scope)
         level = added

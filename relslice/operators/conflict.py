@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relslice.catalog import Database, TableDef
@@ -37,11 +37,14 @@ def one_per_key(rows: DataFrame, keys: tuple[str, ...], keep: str) -> DataFrame:
     Repeated keys in rows without a place are an error when the frame is read.
     """
     solid = reduce(lambda x, y: x & y, [F.col(f"`{k}`").isNotNull() for k in keys])
-    order = F.col(POSITION).asc_nulls_last() if keep == "first" else F.col(POSITION).desc_nulls_last()
-    by = Window.partitionBy(*[F.col(f"`{k}`") for k in keys])
-    ranked = rows.where(solid).withColumn("__n", F.row_number().over(by.orderBy(order))).withColumn("__unplaced", F.max(F.col(POSITION).isNull()).over(by))
-    checked = ranked.where(F.when((F.col("__n") > 1) & F.col("__unplaced"), F.raise_error(F.lit("a key repeats in rows without a place")).cast("boolean")).otherwise(F.col("__n") == 1))
-    return checked.drop("__n", "__unplaced").unionByName(rows.where(~solid))
+    pick = F.min_by if keep == "first" else F.max_by
+    # Each task keeps one row per key, so the rows of a key never meet.
+    row = pick(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.coalesce(F.col(POSITION), F.lit(0)))
+    by = rows.where(solid).groupBy(*[F.col(f"`{k}`") for k in keys])
+    found = by.agg(row.alias("__row"), F.count("*").alias("__n"), F.bool_or(F.col(POSITION).isNull()).alias("__unplaced"))
+    message = F.raise_error(F.lit("a key repeats in rows without a place")).cast("boolean")
+    checked = found.where(F.when((F.col("__n") > 1) & F.col("__unplaced"), message).otherwise(True))
+    return checked.select("__row.*").unionByName(rows.where(~solid))
 
 
 def conflicts(target: DataFrame, incoming: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relslice.catalog import NUMBERS, TableDef, base_type
 
@@ -33,9 +34,89 @@ def recency_order(order_by: str, pk: str) -> list[Column]:
     return [first] if order_by == pk else [first, F.col(f"`{pk}`").desc()]
 
 
+#: Rows that one task may be asked to sort; of more, the last one is looked for first.
+SORTED = 10_000
+
+#: Values in about which a pass looks for the last one.
+SAMPLE = 20_000
+
+
 def most_recent(df: DataFrame, pk: str, order_by: str, n: int) -> DataFrame:
-    """The keys of the ``n`` most recent rows, by a top-n sort without a window."""
-    return df.orderBy(*recency_order(order_by, pk)).limit(n).select(pk)
+    """The keys of the ``n`` most recent rows.
+
+    Up to SORTED rows come from a top-n sort. Of more, the n-th value in the order is found by :func:`nth_value`, and
+    every task keeps its own rows down to that value; nothing is sorted or gathered.
+    """
+    if n <= SORTED:
+        return df.orderBy(*recency_order(order_by, pk)).limit(n).select(pk)
+    names = list(dict.fromkeys([order_by, pk]))
+    last = nth_value(df, names, n)
+    if last is None:
+        return df.select(pk)
+    kinds = [df.schema[c].dataType for c in names]
+    reached = _struct(names) >= _literal(names, kinds, last)
+    # Also as a plain comparison, by which files can be skipped; the ranges that they keep of floats leave NaN out.
+    if last[0] is not None and not isinstance(kinds[0], (T.FloatType, T.DoubleType)):
+        reached = (F.col(f"`{order_by}`") >= _value(kinds[0], last[0])) & reached
+    return df.where(reached).select(pk)
+
+
+def nth_value(df: DataFrame, names: list[str], n: int) -> tuple | None:
+    """The ``n``-th greatest combination of some columns, nulls least; None if there are no more than ``n`` rows.
+
+    Each pass draws about SAMPLE of the rows that may still hold it, picks two values around its expected place, and
+    counts exactly on which side it is, so the rows left shrink about fiftyfold, until one more sample can hold them all.
+    Values go to and from the driver in a form that keeps them exactly.
+    """
+    kinds = [df.schema[c].dataType for c in names]
+    left, rows = n, df.select(*[F.col(f"`{c}`") for c in names])
+    size = rows.count()
+    if n >= size:
+        return None
+    v, seed = _struct(names), 0
+    while True:
+        seed += 1
+        part = rows if size <= SAMPLE else rows.sample(SAMPLE / size, seed=seed)
+        drawn = part.orderBy(v.desc()).limit(2 * SAMPLE).select(*[_plain(c, k).alias(f"c{i}") for i, (c, k) in enumerate(zip(names, kinds, strict=True))])
+        found = [tuple(r) for r in drawn.collect()]
+        if size <= SAMPLE:
+            return found[left - 1]
+        place, slack = left / size * len(found), 3 * math.sqrt(len(found)) / 2 + 1
+        first, second = math.floor(place - slack), math.ceil(place + slack)
+        high = found[first] if 0 <= first < len(found) else None
+        low = found[second] if second < len(found) else None
+        above = F.lit(False) if high is None else v > _literal(names, kinds, high)
+        down_to = F.lit(True) if low is None else v >= _literal(names, kinds, low)
+        a, b = rows.agg(F.count_if(above), F.count_if(down_to)).first()
+        if left <= a:
+            rows, size = rows.where(above), a
+        elif left > b:
+            rows, size, left = rows.where(~down_to), size - b, left - b
+        elif high is not None and high == low:
+            return high
+        else:
+            rows, size, left = rows.where(~above & down_to), b - a, left - a
+
+
+def _struct(names: list[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+
+
+def _literal(names: list[str], kinds: list[T.DataType], values: tuple) -> Column:
+    return F.struct(*[_value(k, x).alias(f"c{i}") for i, (k, x) in enumerate(zip(kinds, values, strict=True))])
+
+
+def _plain(name: str, kind: T.DataType) -> Column:
+    """A column in a form that no time zone changes on its way to the driver."""
+    c = F.col(f"`{name}`")
+    return F.unix_micros(c) if isinstance(kind, T.TimestampType) else c.cast("string") if isinstance(kind, T.TimestampNTZType) else c
+
+
+def _value(kind: T.DataType, value) -> Column:
+    """What :func:`_plain` has brought to the driver, as a value of its own type."""
+    if isinstance(kind, T.TimestampType) and value is not None:
+        return F.timestamp_micros(F.lit(value))
+    return F.lit(value).cast(kind)
 
 
 def most_recent_per_parent(df: DataFrame, pk: str, order_by: str, parent: Iterable[str], n: int) -> DataFrame:
