@@ -11,9 +11,10 @@ from relslice.dump import dump
 from relslice.functions.redact import scrub
 from relslice.operators import recency
 from relslice.restore import restore
-from relslice.scratch import fresh_path
+from relslice.scratch import fresh_path, materialize
 from relslice.sources import fs, manifest
 from relslice.sources.warehouse import Warehouse
+from relslice.streaming.exports import append_dump, table_stream
 
 
 class _Ended(BaseException):
@@ -101,6 +102,31 @@ def recent_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recency.most_recent(o, "o_orderkey", "o_orderdate", recency.percent_limit(o.count(), 80))
 
 
+@query("SELECT event_id, ts, user_id, event_type, value, CASE WHEN props IS NOT NULL THEN '[REDACTED]' END AS api_token FROM events")
+def stream_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events exported batch by batch to a dump that is loaded; the first run ends between a batch's files and its record."""
+    source = materialize(table(spark, sf_dir, "events").withColumnRenamed("props", "api_token").repartition(3), "stream")
+    t, out, checkpoint = describe(source, "events", ["event_id"]), fresh_path(spark, "stream-dump"), fresh_path(spark, "stream-state")
+    calls = []
+
+    def ending(rows: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("ended in the second batch")
+        return rows
+
+    for transform in (ending, None):
+        stream = table_stream(spark, source._relslice_path, source.schema, max_files=1)
+        try:
+            append_dump(stream, t, out, checkpoint, redacted=True, transform=transform).awaitTermination()
+        except Exception as e:
+            if "ended in the second batch" not in str(e):
+                raise
+    target = Warehouse(spark, fresh_path(spark, "warehouse"), Database({t.key: t}))
+    restore(spark, out, target)
+    return target.frame(t.key)
+
+
 # A connection text per document, with its number as the secret, and what must be left of it, written out one by one.
 _CONNECTIONS = [
     ("postgres://app:s{}@db:5432/x", "postgres://app:***@db:5432/x"),

@@ -76,9 +76,9 @@ def check_files(spark: SparkSession, path: str, manifest: dict) -> None:
 _INVENTORY = "folder string, file string, n_rows long, n_bytes long, digest string"
 
 
-def _files_below(spark: SparkSession, path: str, tables: Iterable[TableDef]) -> DataFrame:
-    """folder, file and n_bytes of every row file of some tables, as they are on the file system; nothing is read."""
-    folders = [f"{path}/{data_file(t)}" for t in tables]
+def _files_below(spark: SparkSession, path: str, tables: Iterable[TableDef], part: str = "") -> DataFrame:
+    """folder, file and n_bytes of every row file of some tables, or of a part of each, as they are on the file system; nothing is read."""
+    folders = [f"{path}/{data_file(t)}{part}" for t in tables]
     there = [f for f in folders if fs.exists(spark, f)]
     if not there:
         return spark.createDataFrame([], "folder string, file string, n_bytes long")
@@ -91,25 +91,26 @@ def _named(path: str) -> list[Column]:
     return [F.regexp_extract(path, r".*/([0-9a-f]*\.[0-9a-f]*\.ndjson)/(.+)$", i).alias(n) for i, n in ((1, "folder"), (2, "file"))]
 
 
-def take_inventory(spark: SparkSession, path: str, tables: list[TableDef], counts: dict[str, int]) -> None:
+def take_inventory(spark: SparkSession, path: str, tables: list[TableDef], counts: dict[str, int], part: str = "") -> None:
     """Read a dump's row files once and record each file's rows, bytes, and digest of its lines in any order, below the dump.
 
-    A table that doesn't have the rows that its job has counted is an error.
+    ``part`` (/name) is a subfolder of each table, for dumps that grow. A table that doesn't have the rows that its job
+    has counted is an error.
     """
-    lines = ndjson.read_lines(spark, [f"{path}/{data_file(t)}" for t in tables])
+    lines = ndjson.read_lines(spark, [f"{path}/{data_file(t)}{part}" for t in tables])
     read = lines.select("value", F.col("_metadata.file_path").alias("path")).groupBy("path").agg(*ndjson.digest_of_lines())
     read = read.select(*_named("path"), F.col("n").alias("n_rows"), "digest")
-    whole = _files_below(spark, path, tables).join(read, ["folder", "file"], "left").na.fill({"n_rows": 0, "digest": "0"})
-    fs.delete(spark, f"{path}/inventory")
-    whole.select("folder", "file", "n_rows", "n_bytes", "digest").write.json(f"{path}/inventory")
-    written = {r["folder"]: r["n"] for r in inventory(spark, path).groupBy("folder").agg(F.sum("n_rows").alias("n")).collect()}
+    whole = _files_below(spark, path, tables, part).join(read, ["folder", "file"], "left").na.fill({"n_rows": 0, "digest": "0"})
+    fs.delete(spark, f"{path}/inventory{part}")
+    whole.select("folder", "file", "n_rows", "n_bytes", "digest").write.json(f"{path}/inventory{part}")
+    written = {r["folder"]: r["n"] for r in inventory(spark, path, part).groupBy("folder").agg(F.sum("n_rows").alias("n")).collect()}
     if bad := [t.key for t in tables if written.get(data_file(t).rsplit("/", 1)[1], 0) != counts[t.key]]:
         raise OSError(f"row files don't hold the rows that were written: {', '.join(bad)}")
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """folder, file, n_rows, n_bytes and digest of each row file of a dump, as it was written."""
-    return spark.read.schema(_INVENTORY).json(f"{path}/inventory")
+def inventory(spark: SparkSession, path: str, part: str = "") -> DataFrame:
+    """folder, file, n_rows, n_bytes and digest of each row file of a dump (or of a part of it), as it was written."""
+    return spark.read.schema(_INVENTORY).option("recursiveFileLookup", "true").json(f"{path}/inventory{part}")
 
 
 def file_problems(spark: SparkSession, path: str, tables: Iterable[TableDef]) -> DataFrame:

@@ -25,7 +25,8 @@ def write(df: DataFrame, path: str, position: bool = True, partition_by: list[st
     """
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("n"))
-    out = out.withColumn(POSITION, F.monotonically_increasing_id()) if position else out
+    if position:
+        out = out.withColumn(POSITION, F.monotonically_increasing_id())
     writer = out.write.mode(mode).options(**_WRITE)
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
     # A frame that is known to be empty may be planned without the counting step.

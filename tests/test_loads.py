@@ -16,6 +16,7 @@ from relslice.restore import restore
 from relslice.scratch import fresh_path
 from relslice.sources import fs, manifest, ndjson
 from relslice.sources.warehouse import Warehouse
+from relslice.streaming.exports import append_dump, table_stream
 
 
 class Ended(BaseException):
@@ -270,6 +271,60 @@ def test_large_shares_are_not_sorted_in_one_task(spark, monkeypatch):
     assert "TakeOrderedAndProject" not in big and "Exchange" not in big and "TakeOrderedAndProject" in few
 
 
+# Streams ------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("step", ["rename", "write", "take_inventory"])
+def test_a_batch_that_ends_between_its_steps_has_every_row_once(spark, monkeypatch, step):
+    """Each batch fails once, before or after its files are in place or before its record is; after each batch the dump can be loaded."""
+    source, out, state = (fresh_path(spark, n) for n in ("source", "dump", "state"))
+    df = spark.range(60).select("id", F.lit("x").alias("s"))
+    df.repartition(3).write.parquet(source)
+    t = describe(df, "t", ["id"])
+    where = fs if step == "rename" else manifest
+    real, failed = getattr(where, step), set()
+
+    def once(*a):
+        name = a[2] if step == "rename" else len(a[2]["stream"]) and a[2]["stream"]["batches"] if step == "write" else a[4]
+        if name not in failed:
+            failed.add(name)
+            raise RuntimeError("ended here")
+        return real(*a)
+
+    monkeypatch.setattr(where, step, once)
+    counts = []
+    for _ in range(8):
+        query = append_dump(table_stream(spark, source, df.schema, max_files=1), t, out, state)
+        try:
+            query.awaitTermination()
+            break
+        except Exception as e:  # noqa: BLE001
+            assert "ended here" in str(e)
+        if fs.has_text(spark, f"{out}/metadata.json"):
+            counts.append(manifest.read(spark, out)["tables"][0]["row_count"])
+    monkeypatch.undo()
+    assert len(failed) == 3 and len(counts) == 2 and 0 < counts[0] < counts[1] < 60
+    target = Warehouse(spark, fresh_path(spark, "wh"), Database({t.key: t}))
+    restore(spark, out, target)
+    assert rows(target.frame(t.key)) == rows(df)
+    places = ndjson.read_lines(spark, f"{out}/{manifest.data_file(t)}").select(F.get_json_object("value", "$.__pos").cast("long").alias("p"))
+    assert places.distinct().count() == 60
+    with pytest.raises(Exception, match="another stream"):
+        append_dump(table_stream(spark, source, df.schema), t, out, fresh_path(spark, "state")).awaitTermination()
+
+
+def test_files_left_by_a_batch_without_a_record_are_not_loaded(spark):
+    """Between a batch's rename and its record, loads of the dump are refused rather than given rows of no batch."""
+    source, out, state = (fresh_path(spark, n) for n in ("source", "dump", "state"))
+    df = spark.range(10).select("id")
+    df.write.parquet(source)
+    t = describe(df, "t", ["id"])
+    append_dump(table_stream(spark, source, df.schema), t, out, state).awaitTermination()
+    ndjson.write(df, f"{out}/{manifest.data_file(t)}/batch-0000001")
+    with pytest.raises(ValueError, match="is not of this dump"):
+        restore(spark, out, Warehouse(spark, fresh_path(spark, "wh"), Database({t.key: t})))
+
+
 # Scrubbing ----------------------------------------------------------------------------------------------------
 
 
