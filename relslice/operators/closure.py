@@ -6,7 +6,9 @@ plan of a level never contains the levels before it. Keys stay DataFrames; the d
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -18,7 +20,13 @@ from relslice.operators.predicates import Limits, Seed, check_seeds, select_keys
 from relslice.operators.recency import is_pure_join_table, most_recent, percent_limit, recency_column
 from relslice.plans.graph import fk_order
 from relslice.plans.selection import foreign_keys
-from relslice.scratch import discard, materialize
+from relslice.scratch import discard, materialize, materialize_bucketed, materialize_counted
+
+#: Hops of one level that run at the same time.
+HOPS = 8
+
+#: Key and foreign key columns of so many bytes at least are kept in buckets once they are used again.
+EDGE_BYTES = 256 << 20
 
 
 class SubsetLimitError(ValueError):
@@ -59,6 +67,10 @@ class _Closure:
         self.db, self.limits, self.plan = db, limits, Plan()
         self.as_child: set[str] = set()
         self.needed: set[tuple[str, str]] = set()
+        #: Rows added to each table at the level before.
+        self.new_rows: Counter = Counter()
+        self.hops: Counter = Counter()
+        self.adjacent: dict[tuple, DataFrame] = {}
         found = foreign_keys(db)
         self.parents = {k: [f for child, f in found if child == k] for k in db.tables}
         self.children = {k: [(child, f) for child, f in found if f.parent == k] for k in db.tables}
@@ -95,8 +107,8 @@ class _Closure:
             old = known.get(f.parent_columns)
             if old is not None:
                 values = _semi(values, f.parent_columns, old, f.parent_columns, "left_anti")
-            values = materialize(values, "required")
-            if values.isEmpty():
+            values, n = materialize_counted(values, "required")
+            if not n:
                 continue
             self.needed.add((child, f.parent))
             self.enter(f.parent, depth)
@@ -119,18 +131,36 @@ class _Closure:
             new = _anti(new, self.plan.keys[table], pk)
         if most is not None:
             new = most_recent(_semi(self.db.frames[table], [pk], new, [pk]), pk, recency_column(self.db.tables[table]) or pk, most)
-        new = materialize(new, "keys")
-        n = new.count()
+        new, n = materialize_counted(new, "keys")
         if not n:
             return None
         self.enter(table, depth)
         old = self.plan.keys.get(table)
         self.plan.keys[table] = new if old is None else old.unionByName(new)
         self.plan.counts[table] = self.plan.counts.get(table, 0) + n
+        self.new_rows[table] += n
         return new
 
+    def edges(self, child: str, fk: FkDef, by: tuple[str, ...]) -> DataFrame | None:
+        """The key and foreign key columns of all rows of a large ``child``, in buckets of the columns ``by``.
+
+        Written at the second hop that asks for it, so that a closure of one level doesn't pay for it; from then on,
+        hops shuffle only their frontiers. Smaller tables have none: their frontiers or they themselves are broadcast.
+        """
+        self.hops[child, fk, by] += 1
+        if self.hops[child, fk, by] == 2:
+            df, pk = self.db.frames[child], self.db.tables[child].single_pk
+            narrow = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([pk, *fk.columns])]).dropna(subset=list(fk.columns))
+            if int(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > EDGE_BYTES:
+                buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                self.adjacent[child, fk, by] = materialize_bucketed(narrow, list(by), buckets, "edges")
+        return self.adjacent.get((child, fk, by))
+
     def parent_keys(self, child: str, fk: FkDef, frontier: DataFrame) -> DataFrame:
         """Primary keys of the parents of the frontier's rows, by the columns that the foreign key references."""
+        pk = self.db.tables[child].single_pk
+        if (edges := self.edges(child, fk, (pk,))) is not None:
+            return self.referenced(fk, _semi(edges, [pk], frontier, [pk]))
         return self.referenced(fk, self.rows(child, frontier))
 
     def rows(self, table: str, keys: DataFrame) -> DataFrame:
@@ -153,6 +183,13 @@ class _Closure:
             frontier = _semi(self.db.frames[fk.parent], [parent.single_pk], frontier, [parent.single_pk])
         return _semi(self.db.frames[child], fk.columns, frontier, fk.parent_columns)
 
+    def child_keys(self, child: str, fk: FkDef, frontier: DataFrame) -> DataFrame:
+        """Primary keys of the rows of ``child`` whose parents are in the frontier."""
+        parent, pk = self.db.tables[fk.parent], self.db.tables[child].single_pk
+        if fk.parent_columns == (parent.single_pk,) and (edges := self.edges(child, fk, fk.columns)) is not None:
+            return _semi(edges, fk.columns, frontier, fk.parent_columns).select(pk)
+        return self.child_rows(child, fk, frontier).select(pk)
+
     def traversed(self, table: str) -> bool:
         return self.db.tables[table].single_pk is not None
 
@@ -165,6 +202,8 @@ class _Closure:
             if parent not in plan.counts:
                 raise ValueError(f"closure integrity: rows of {child} refer to {parent}, which is not in the plan")
         plan.order = [k for k in fk_order(self.db) if k in plan.counts]
+        for edges in self.adjacent.values():
+            discard(edges)
         return plan
 
 
@@ -204,14 +243,17 @@ def closure_of_seeds(db: Database, seeds: Iterable[Seed], limits: Limits | None
     depth, cap = 0, run.limits.max_rows_per_table
     while frontier:
         depth += 1
-        sizes = _counts({t: f for t, f in frontier.items()})
+        sizes = {t: run.new_rows[t] for t in frontier}
         up = [(f.parent, run.parent_keys(t, f, front)) for t, front in frontier.items() for f in run.parents[t] if run.traversed(f.parent)]
         for t, front in frontier.items():
             up += run.require(t, run.rows(t, front), depth)
         # Each hop's join runs once; the budget is charged and keys are added from what it has written.
         down = {(c, f, t): f for t in frontier for c, f in run.children[t] if run.traversed(c) and not (cap and run.plan.counts.get(c, 0) >= cap)}
-        down = {(c, f, t): materialize(run.child_rows(c, f, frontier[t]).select(db.tables[c].single_pk), "hop") for c, f, t in down}
-        n_down = _counts(down)
+        # Hops of a level don't depend on each other, so their jobs run at the same time.
+        down = {(c, f, t): run.child_keys(c, f, frontier[t]) for c, f, t in down}
+        with ThreadPoolExecutor(HOPS) as pool:
+            written = dict(zip(down, pool.map(lambda d: materialize_counted(d, "hop"), down.values()), strict=True))
+        down, n_down = {k: w[0] for k, w in written.items()}, {k: w[1] for k, w in written.items()}
         if not cap:
             run.charge(sum(sizes[t] * len(run.parents[t]) for t in frontier) + sum(n_down.values()))
         if depth > run.limits.max_depth:
@@ -223,6 +265,7 @@ def closure_of_seeds(db: Database, seeds: Iterable[Seed], limits: Limits | None
                 if not run.traversed(c):
                     run.register(c, depth)
         following: dict[str, DataFrame] = {}
+        run.new_rows = Counter()
         for table in sorted({p for p, _ in up} | {c for c, _, _ in down}):
             new = None
             parents = [d for p, d in up if p == table]
@@ -231,9 +274,10 @@ def closure_of_seeds(db: Database, seeds: Iterable[Seed], limits: Limits | None
             kids = [d for (c, _, _), d in down.items() if c == table]
             if kids:
                 room = cap - run.plan.counts.get(table, 0) if cap else None
+                before = run.new_rows[table]
                 more = run.add(table, reduce(lambda a, b: a.unionByName(b), kids), depth, room) if room is None or room > 0 else None
                 if cap and more is not None:
-                    run.charge(more.count())
+                    run.charge(run.new_rows[table] - before)
                 new = more if new is None else new if more is None else new.unionByName(more)
             if new is not None:
                 following[table] = new

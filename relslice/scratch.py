@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
@@ -44,9 +45,33 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """:func:`materialize`, and the number of rows as the writing job has counted them."""
+    seen = Observation()
+    back = materialize(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    # A frame that is known to be empty may be planned without the counting step.
+    return back, seen.get.get("n", 0)
+
+
+def materialize_bucketed(df: DataFrame, columns: list[str], buckets: int, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of some columns, so joins on these need no shuffle of it.
+
+    Spark knows buckets of catalog tables only; the table is an external one over the folder, and :func:`discard`
+    drops it.
+    """
+    spark = df.sparkSession
+    path, known = fresh_path(spark, name), f"relslice_{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *columns).write.bucketBy(buckets, *columns).option("path", path).format("parquet").saveAsTable(known)
+    back = spark.table(known)
+    back._relslice_path, back._relslice_table = path, known
+    return back
+
+
 def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that nothing reads any more."""
+    """Delete a table made by :func:`materialize` or its like that nothing reads any more."""
     path = getattr(df, "_relslice_path", None)
+    if known := getattr(df, "_relslice_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {known}")
     if path:
         spark = df.sparkSession
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
-from relslice.catalog import ColumnDef, Database, FkDef, TableDef
+from relslice.catalog import ColumnDef, Database, FkDef, TableDef, describe
+from relslice.operators import closure
 from relslice.operators.closure import SubsetLimitError, check_integrity, closure_of_percent, closure_of_seeds, exported, percent_roots
 from relslice.operators.predicates import Limits, Seed, SeedError, read_seed_file, select_keys
 from relslice.operators.recency import is_pure_join_table, percent_limit, recency_column
@@ -153,3 +155,32 @@ def test_long_lists_are_joined(company):
 def test_seed_file():
     f = read_seed_file('{"seeds": [{"table": "a", "column": "b", "op": "in", "values": [1]}], "limits": {"max_rows": 5, "max_depth": 3}}', max_depth=4)
     assert f.seeds == [Seed("a", "b", "in", (1,))] and (f.limits.max_rows, f.limits.max_depth, f.limits.max_tables) == (5, 4, 50)
+
+
+def test_large_tables_are_followed_by_bucketed_edges(spark, monkeypatch):
+    """From its second hop on, a large child is not shuffled again, in either direction; the closure is the same."""
+    df = spark.range(400).select(F.col("id").cast("int").alias("id"), (F.col("id") / 3).cast("int").alias("up"), F.lit("x").alias("wide"))
+    df = df.where("id > 0")
+    db = Database.of((describe(df, "node", ["id"], [FkDef(("up",), "public.node", ("id",))]), df))
+    seeds, limits = [Seed("node", "id", "eq", (5,))], Limits(max_depth=40, max_rows=10**6)
+    want = closure.closure_of_seeds(db, seeds, limits)
+    monkeypatch.setattr(closure, "EDGE_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, real = [], closure._Closure.edges
+
+    def watched(self, child, fk, by):
+        edges = real(self, child, fk, by)
+        if edges is not None:
+            keys = spark.range(50).select(F.col("id").cast("int").alias("id"))
+            plans.append(closure._semi(edges, list(by), keys, ["id"])._jdf.queryExecution().executedPlan().toString())
+        return edges
+
+    monkeypatch.setattr(closure._Closure, "edges", watched)
+    try:
+        got = closure.closure_of_seeds(db, seeds, limits)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, got.keys["public.node"].collect())) == sorted(map(tuple, want.keys["public.node"].collect()))
+    assert got.counts == want.counts and got.rows_read == want.rows_read
+    assert len(plans) > 2 and all(p.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in p for p in plans)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("relslice_edges")]
