@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,7 +240,7 @@ def key_violations(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 
 def schema_violations(spark: SparkSession, source: Database, target: Database) -> DataFrame:
-    """One row (key, column, problem) per source column that the target lacks or has otherwise.
+    """A row (key, column, problem) for everything that the target lacks or has otherwise of a source column.
 
     Compared are ordinal, type (without case), nullability, primary key, identity and generation. Further target
     columns are allowed.
@@ -248,36 +249,54 @@ def schema_violations(spark: SparkSession, source: Database, target: Database) -
     t = t.select(*[F.col(c).alias(f"t_{c}") for c in t.columns])
     known = target.tables_frame(spark).select(F.col("key").alias("t_table"))
     both = s.join(known, s["key"] == known["t_table"], "left").join(t, (F.col("key") == F.col("t_key")) & (F.col("column") == F.col("t_column")), "left")
-    problem = (
-        F.when(F.col("t_table").isNull(), "missing table")
-        .when(F.col("t_column").isNull(), "missing column")
-        .when(F.col("ordinal") != F.col("t_ordinal"), "ordinal")
-        .when(F.lower("type") != F.lower("t_type"), "type")
-        .when(F.col("nullable") != F.col("t_nullable"), "nullability")
-        .when(F.col("primary_key") != F.col("t_primary_key"), "primary key")
-        .when(~F.col("identity").eqNullSafe(F.col("t_identity")), "identity")
-        .when(F.col("generated").isNull() != F.col("t_generated").isNull(), "generation")
-    )
-    return both.withColumn("problem", problem).where("problem is not null").select("key", "column", "problem")
+    differs = {
+        "ordinal": F.col("ordinal") != F.col("t_ordinal"),
+        "type": F.lower("type") != F.lower("t_type"),
+        "nullability": F.col("nullable") != F.col("t_nullable"),
+        "primary key": F.col("primary_key") != F.col("t_primary_key"),
+        "identity": ~F.col("identity").eqNullSafe(F.col("t_identity")),
+        "generation": F.col("generated").isNull() != F.col("t_generated").isNull(),
+    }
+    missing = F.when(F.col("t_table").isNull(), F.array(F.lit("missing table"))).when(F.col("t_column").isNull(), F.array(F.lit("missing column")))
+    problems = F.coalesce(missing, F.array_compact(F.array(*[F.when(d, F.lit(name)) for name, d in differs.items()])))
+    return both.select("key", "column", F.explode(problems).alias("problem"))
 
 
 def profile(db: Database) -> DataFrame:
-    """Kind, rows and bytes of each object, the largest first, with the totals of all objects in every row."""
-    frames = []
+    """Kind, rows and bytes of each object, the largest first, with the totals of all objects in every row.
+
+    Rows of an object that is just Parquet files come from the files' footers, bytes from their listing: no data
+    page is read, so the work grows with the files, not with the rows. Others are counted.
+    """
+    spark = next(iter(db.frames.values())).sparkSession
+    told = []
     for key, df in db.frames.items():
-        t = db.tables[key]
-        sized = "_metadata.file_size" if df.inputFiles() else None
-        if sized:
-            files = df.select(F.col("_metadata.file_path").alias("p"), F.col(sized).alias("b")).groupBy("p").agg(F.max("b").alias("b"), F.count("*").alias("n"))
-            one = files.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum("b"), F.lit(0)).alias("n_bytes"))
-        else:
-            one = df.agg(F.count("*").alias("n_rows"), F.lit(None).cast("long").alias("n_bytes"))
-        frames.append(one.select(F.lit(t.schema).alias("schema"), F.lit(t.name).alias("name"), F.lit(t.kind).alias("kind"), "n_rows", "n_bytes"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    totals = out.agg(F.count("*").alias("n_objects"), F.sum("n_rows").alias("total_rows"), F.sum("n_bytes").alias("total_bytes"))
-    return out.crossJoin(F.broadcast(totals)).orderBy(F.desc("n_bytes"), "schema", "name")  # one row of totals
+        t, files = db.tables[key], [unquote(f) for f in df.inputFiles()]
+        n_bytes = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] if files else None
+        told.append((t.schema, t.name, t.kind, footer_count(spark, files) if _whole_files(df) else df.count(), n_bytes))
+    totals = (len(told), sum(x[3] for x in told), sum(x[4] or 0 for x in told))
+    kinds = "schema string, name string, kind string, n_rows long, n_bytes long, n_objects long, total_rows long, total_bytes long"
+    return spark.createDataFrame([(*x, *totals) for x in told], kinds).orderBy(F.desc("n_bytes"), "schema", "name")
+
+
+def _whole_files(df: DataFrame) -> bool:
+    """Whether a frame has all rows of some Parquet files: its plan is one scan, perhaps of fewer columns."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() == "Project":
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") and bool(df.inputFiles()) and all(f.endswith(".parquet") for f in df.inputFiles())
+
+
+def footer_count(spark: SparkSession, files: list[str]) -> int:
+    """Rows of Parquet files by their footers: the count is pushed into the scan, which reads nothing else."""
+    return _footers(spark, files).first()[0]
+
+
+def _footers(spark: SparkSession, files: list[str]) -> DataFrame:
+    session = spark.newSession()  # the way of reading is a setting of the session
+    session.conf.set("spark.sql.sources.useV1SourceList", "")
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return session.read.parquet(*files).agg(F.count("*").alias("n"))
 
 
 #: What a user's transform gives for a table: its changed rows, or columns by name.
@@ -290,7 +309,7 @@ def apply_transform(table: TableDef, df: DataFrame, transform: Callable[[TableDe
     The transform returns either a mapping of names to columns of its frame, as a ``select`` would take them (the
     columns it doesn't name stay), or a frame made by ``withColumn``, ``drop`` and the like. For the latter every
     column is also there under a hidden name, so removed columns come back from the same row; a ``select`` that
-    leaves the hidden ones out is an error that says so.
+    leaves out both a column and its hidden original is an error that says so.
     """
     if transform is None:
         return df
@@ -301,9 +320,9 @@ def apply_transform(table: TableDef, df: DataFrame, transform: Callable[[TableDe
         return given.select(*[(out[c] if c in out else F.col(f"`{c}`")).cast(df.schema[c].dataType).alias(c) for c in df.columns])
     if out is None:
         raise ValueError(f"the transform of table {table.key} returned nothing")
-    lost = [h for h in hidden.values() if h not in out.columns]
+    lost = [c for c, h in hidden.items() if c not in out.columns and h not in out.columns]
     if lost:
-        raise ValueError(f"the transform of table {table.key} has lost columns it was given under __was_ names: return a mapping {{name: column}} instead of select")
+        raise ValueError(f"the transform of table {table.key} has lost columns {', '.join(lost)} and what it was given of them under __was_ names: return a mapping {{name: column}} instead of select")
     return out.select(*[F.col(f"`{c}`").cast(df.schema[c].dataType).alias(c) if c in out.columns else F.col(h).alias(c) for c, h in hidden.items()])
 
 

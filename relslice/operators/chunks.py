@@ -8,6 +8,7 @@ import math
 from bisect import bisect_right
 from collections.abc import Callable, Iterable
 from itertools import accumulate
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -97,7 +98,7 @@ def data_state(df: DataFrame) -> list:
 def files_state(spark: SparkSession, files: list[str]) -> list:
     """Number and digest of the names, sizes and times of some files as the file system has them now; of files that are gone, nothing."""
     try:
-        now = spark.read.format("binaryFile").load(files)
+        now = spark.read.format("binaryFile").load([unquote(f) for f in files])
     except AnalysisException:
         return []
     digest = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")

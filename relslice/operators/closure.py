@@ -95,7 +95,7 @@ class _Closure:
         self.as_child.add(table)
 
     def require(self, child: str, rows: DataFrame, depth: int) -> Iterator[tuple[str, DataFrame]]:
-        """Put the rows of tables that aren't traversed to which ``rows`` of ``child`` refer into the plan.
+        """Put the rows of tables that aren't traversed to which ``rows`` of ``child`` refer into the plan; they count as read.
 
         Yields (table, keys) of the traversed tables that these rows refer to in turn.
         """
@@ -115,6 +115,7 @@ class _Closure:
             self.plan.counts.setdefault(f.parent, 0)
             known[f.parent_columns] = values if old is None else old.unionByName(values)
             found = _semi(self.db.frames[f.parent], f.parent_columns, values, f.parent_columns)
+            self.charge(found.count())
             for g in self.parents[f.parent]:
                 if self.traversed(g.parent):
                     yield g.parent, self.referenced(g, found)

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from relslice.catalog import ColumnDef, Database, FkDef, TableDef, UniqueDef, apply_transform, choose_key, describe, key_or_row_id, key_violations, qualify, schema_violations, with_row_id
+from relslice import catalog
+from relslice.catalog import ColumnDef, Database, FkDef, TableDef, UniqueDef, apply_transform, choose_key, describe, key_or_row_id, key_violations, profile, qualify, schema_violations, with_row_id
 from relslice.plans.graph import fk_levels, fk_order, view_order
 from relslice.plans.selection import exclude_for_restore, foreign_keys, partition_leaves, row_tables, schema_scope, select_tables
 
@@ -125,3 +126,30 @@ def test_transform_by_columns(spark):
     assert out.columns == ["i", "s", "x"] and [tuple(r) for r in out.collect()] == [(2, "A", 2.0)]
     with pytest.raises(ValueError, match="mapping"):
         apply_transform(describe(df, "t"), df, lambda _, d: d.select("i"))
+
+
+def test_a_transform_may_select_all_columns(spark):
+    df = spark.createDataFrame([(1, "a")], "i int, s string")
+    out = apply_transform(describe(df, "t"), df, lambda _, d: d.select(F.upper("s").alias("s"), (d["i"] + 1).alias("i")))
+    assert out.columns == ["i", "s"] and [tuple(r) for r in out.collect()] == [(2, "A")]
+    with pytest.raises(ValueError, match="lost columns i "):
+        apply_transform(describe(df, "t"), df, lambda _, d: d.select("s"))
+
+
+def test_all_problems_of_a_column_are_told(spark):
+    src = db(TableDef("a", (ColumnDef("i", "integer", False, True), ColumnDef("s", "text", generated="i + 1"))))
+    tgt = db(TableDef("a", (ColumnDef("s", "bigint", False, identity="ALWAYS"), ColumnDef("i", "integer", False, True))))
+    found = {tuple(r)[1:] for r in schema_violations(spark, src, tgt).collect()}
+    assert found == {("i", "ordinal"), *(("s", p) for p in ("ordinal", "type", "nullability", "identity", "generation"))}
+
+
+def test_rows_are_counted_by_footers(spark, tmp_path):
+    path = str(tmp_path / "with space" / "t")
+    spark.range(1000).withColumn("s", F.lit("x")).repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    other = df.where("id < 10")
+    told = {r["name"]: (r["n_rows"], r["n_bytes"] is not None, r["total_rows"]) for r in profile(Database.of((describe(df, "whole"), df), (describe(other, "some"), other.select("id")))).collect()}
+    assert told == {"whole": (1000, True, 1010), "some": (10, True, 1010)}
+    assert catalog._whole_files(df.select("s")) and not catalog._whole_files(other) and not catalog._whole_files(df.limit(5)) and not catalog._whole_files(df.union(df))
+    plan = catalog._footers(spark, [path])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan

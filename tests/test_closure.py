@@ -184,3 +184,15 @@ def test_large_tables_are_followed_by_bucketed_edges(spark, monkeypatch):
     assert got.counts == want.counts and got.rows_read == want.rows_read
     assert len(plans) > 2 and all(p.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in p for p in plans)
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("relslice_edges")]
+
+
+def test_rows_that_are_required_count_as_read(spark):
+    """Parents with a composite key aren't traversed, but their rows are read, too."""
+    i = "integer"
+    up = TableDef("up", (ColumnDef("a", i, False, True), ColumnDef("b", i, False, True)))
+    down = TableDef("down", (ColumnDef("id", i, False, True), ColumnDef("a", i), ColumnDef("b", i)), fks=(FkDef(("a", "b"), "public.up", ("a", "b")),))
+    db = Database.of((up, spark.createDataFrame([(k, k) for k in range(20)], "a int, b int")), (down, spark.createDataFrame([(k, k, k) for k in range(20)], "id int, a int, b int")))
+    plan = closure_of_seeds(db, [Seed("down", "id", "lt", (9,))])
+    assert plan.rows_read == 9 + 9 + 9  # the seeds, their foreign keys, the rows that these require
+    with pytest.raises(SubsetLimitError, match="max_rows"):
+        closure_of_seeds(db, [Seed("down", "id", "lt", (9,))], Limits(max_rows=20))
