@@ -7,12 +7,14 @@ with their pairs. Texts that aren't linked with their centre get a new one among
 Links are confirmed on full sets.
 
 So that no link hangs on the choice of centres, buckets whose texts are in several components by then are looked at
-once more: the texts outside the bucket's largest component meet all its texts, in blocks of bounded size.
+once more: the texts outside the bucket's largest component meet all its texts, in blocks of bounded size. Large
+buckets are split before that by the texts' rarest shingles, of which linked texts have one in common.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,6 +35,9 @@ ROUNDS = 2
 #: Texts on either side of a block comparison.
 BLOCK = 1024
 
+#: Slots in which shingles are counted, a power of two.
+SLOTS = 1 << 18
+
 #: The chance at most that no band is shared by two texts that are just alike enough.
 MISS = 1e-7
 
@@ -230,20 +235,86 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return materialize(pairs.join(b, "set_id").join(a, "centre").select("centre", "set_id", linked.alias("linked")), "star")
 
 
+def _mixed(some: DataFrame) -> DataFrame:
+    """Buckets of ``some`` (bucket, set_id, root) with texts of several components, one of those with equal members: bucket, largest (component), n, n_out (texts outside it)."""
+    same = [F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("same1"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("same2")]
+    sums = some.groupBy("bucket", "root").agg(F.count("*").alias("n"), *same)
+    sums = sums.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.sum("same1").alias("same1"), F.bit_xor("same2").alias("same2"))
+    mixed = sums.where("most.n < n").groupBy("n", "same1", "same2", "most").agg(F.min("bucket").alias("bucket"))
+    return mixed.select("bucket", F.col("most.root").alias("largest"), "n", (F.col("n") - F.col("most.n")).alias("n_out"))
+
+
+def _frequencies(full: DataFrame) -> np.ndarray:
+    """About how often each shingle occurs, by SLOTS slots of hashes; the driver sees one number per slot."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            n += np.bincount(_slots(np.asarray(batch.column(0).flatten())), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], ["slot", "n"])
+
+    out = np.zeros(SLOTS, np.int64)
+    for r in full.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[r["slot"]] = r["n"]
+    return out
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.astype(np.int64).view(np.uint64) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def prefixes(sets: list[np.ndarray], often: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The rarest shingles of each set, so many that sets that are ``percent`` alike have one of theirs in common.
+
+    Sets of n and m shingles that are alike share percent * n / 100 of the first set's at least, so the n - that + 1
+    first ones of it, in an order that is the same for all sets, hold one that is among the first ones of the other, too.
+    """
+    out = []
+    for s in sets:
+        order = np.lexsort((s, often[_slots(s)]))
+        out.append(s[order[: s.size - -(-percent * s.size // 100) + 1]])
+    return out
+
+
+def _by_rarest(some: DataFrame, large: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The texts of ``large`` buckets in a bucket for each of their rarest shingles, as a table: texts that are linked still share one.
+
+    So texts that only have a template in common don't meet: what they share is what isn't rare.
+    """
+    wanted = some.join(large.select("bucket"), "bucket", "left_semi")
+    sets = materialize(full.join(wanted.select("set_id").distinct(), "set_id", "left_semi"), "large-sets")
+    often = _frequencies(sets)
+
+    def rarest(batch: pa.RecordBatch) -> list[pa.Array]:
+        found = prefixes([np.asarray(x.values) for x in column(batch, "shingles")], often, percent)
+        return [_lists([f.astype(np.int64) for f in found])]
+
+    first = add_columns(sets, "rarest array<long>", rarest, drop=("shingles",))
+    spread = wanted.join(first, "set_id").select(F.col("bucket").alias("was"), "set_id", "root", F.explode("rarest").alias("shingle"))
+    split = materialize(spread.select(F.xxhash64("was", "shingle").alias("bucket"), "set_id", "root"), "split")
+    discard(sets)
+    return split
+
+
 def _rest(members: DataFrame, open_: DataFrame, roots: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components, named by their roots, of texts that share an ``open_`` bucket.
 
-    Buckets with the same members are looked at once; pairs within a component aren't.
+    Buckets with the same members are looked at once; pairs within a component aren't. A bucket of more than BLOCK
+    texts is split by their rarest shingles first.
     """
     some = members.join(open_, "bucket", "left_semi").select("bucket", "set_id")
     some = some.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     some = materialize(some, "several")
-    same = [F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("same1"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("same2")]
-    sums = some.groupBy("bucket", "root").agg(F.count("*").alias("n"), *same)
-    sums = sums.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.sum("same1").alias("same1"), F.bit_xor("same2").alias("same2"))
-    mixed = sums.where("most.n < n").groupBy("n", "same1", "same2", "most").agg(F.min("bucket").alias("bucket"))
+    mixed = materialize(_mixed(some), "mixed")
+    read = [some, mixed]
+    large = mixed.where(F.col("n") > BLOCK)
+    if not large.isEmpty():
+        split = _by_rarest(some, large, full, percent)
+        mixed = mixed.where(F.col("n") <= BLOCK).unionByName(_mixed(split))
+        some = some.unionByName(split)
+        read.append(split)
     blocks = [F.ceil(F.col(n) / BLOCK).cast("int").alias(b) for n, b in (("n", "blocks"), ("n_out", "out_blocks"))]
-    mixed = mixed.select("bucket", "n", (F.col("n") - F.col("most.n")).alias("n_out"), F.col("most.root").alias("largest")).select("bucket", "largest", *blocks)
+    mixed = mixed.select("bucket", "largest", *blocks)
     chosen = some.join(mixed, "bucket").withColumn("spot", F.xxhash64("set_id"))
     every, every_out = (F.explode(F.sequence(F.lit(0), F.col(b) - 1)) for b in ("blocks", "out_blocks"))
     block, out_block = (F.pmod("spot", b).cast("int") for b in ("blocks", "out_blocks"))
@@ -285,7 +356,8 @@ def _rest(members: DataFrame, open_: DataFrame, roots: DataFrame, full: DataFram
     left = outside.join(full, "set_id").select(*names).toDF(*names)
     right = all_.join(full, "set_id").select(*names).toDF(*names)
     found = materialize(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "a binary, b binary"), "rest")
-    discard(some)
+    for done in read:
+        discard(done)
     return found
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from relslice.llm import ann, entries, minhash
 from relslice.llm.components import connected_components
@@ -181,6 +182,43 @@ def test_a_long_chain_is_one_component(spark):
     assert {r["root"] for r in connected_components(df, "a", "b").collect()} == {min(names)}
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([12, 50, 80, 95, 100]))
+def test_linked_sets_share_one_of_their_rarest_shingles(seed, percent):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 60, 25)
+    sets = [np.unique(np.where(rng.random(25) < rng.random() / 3, rng.integers(0, 60, 25), base)[: rng.integers(1, 25)]).astype(np.int64) for _ in range(12)]
+    often = np.zeros(minhash.SLOTS, np.int64)
+    np.add.at(often, np.concatenate(sets) % 7, 1)  # any order will do, also one of few different values
+    first = minhash.prefixes(sets, often, percent)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both = np.intersect1d(a, b).size
+            if 100 * both >= percent * (a.size + b.size - both):
+                assert np.intersect1d(first[i], first[j]).size
+
+
+def test_texts_of_one_template_do_not_meet_in_pairs(spark, monkeypatch):
+    """Texts that have 60% in common and no link: what is compared grows with them, not with their pairs."""
+    monkeypatch.setattr(minhash, "BLOCK", 40)
+    compared, real = [], minhash._mixed
+
+    def counted(some):
+        mixed = real(some)
+        compared.append(mixed.agg(F.coalesce(F.sum(F.col("n") * F.col("n_out")), F.lit(0))).first()[0])
+        return mixed
+
+    monkeypatch.setattr(minhash, "_mixed", counted)
+    rng = random.Random(4)
+    text = [f"t{i}" for i in range(80)]
+    for n in (100, 400):
+        docs = [(i, " ".join(f"u{rng.randrange(10**9)}" if j % 5 == 0 else w for j, w in enumerate(text))) for i in range(n)]
+        docs += [(n + i, docs[i][1] + " end") for i in range(5)]  # links between texts of the template
+        compared.clear()
+        assert found(spark, docs) == sorted(((i, len(set(zip(t.split(), t.split()[1:]))), i - n if i >= n else i) for i, t in docs), key=str)
+        assert compared[0] > n * n / 2 and compared[1] <= 40 * n
+
+
 # Nearest neighbours -------------------------------------------------------------------------------------------
 
 
