@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relslice.llm import ann, bpe, codes, exactdedup, langid, media, merkle, minhash, mixing, quality, sharding, toxicity, wordpiece
@@ -51,10 +51,15 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def weight_in_turn(rank: Column) -> Column:
+    """Weights 5, 2, 1, repeating, by a source's place."""
+    return F.element_at(F.array(*[F.lit(w) for w in (5, 2, 1)]), (rank % 3 + 1).cast("int"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document a mix of 150% of all words takes, with weights 5, 2, 1 by source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs, lambda names: [(5, 2, 1)[i % 3] for i in range(len(names))], share=1.5, max_epochs=2, seed=0, columns=["doc_id"])
+    mixed = mixing.mix(docs, None, share=1.5, max_epochs=2, seed=0, columns=["doc_id"], by_rank=weight_in_turn)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

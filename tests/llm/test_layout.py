@@ -143,6 +143,28 @@ def test_mix_with_a_hot_source_and_repeated_rows(spark):
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) / 2
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.booleans()), min_size=1, max_size=9), st.sampled_from([0.0, 0.4, 1.5, 2.0, 5.0]))
+def test_weights_by_a_rule_fill_as_weights_by_a_list(spark, sources, share):
+    """The same plan by Spark as by the driver, also for sources of weight 0, of size 0, and all full."""
+    rows = [(100 * i + j, "w " * (j % 5), None if i == 0 else f"s{i}", "x") for i, (n, _) in enumerate(sources) for j in range(n)] or [(1, "w", "s", "x")]
+    docs = docs_of(spark, rows)
+    listed = mixing.mix(docs, lambda names: [(5, 0, 1, 2)[i % 4] for i in range(len(names))], share)
+    ruled = mixing.mix(docs, None, share, by_rank=lambda at: F.element_at(F.array(F.lit(5), F.lit(0), F.lit(1), F.lit(2)), (at % 4 + 1).cast("int")))
+    assert sorted(map(str, listed.collect())) == sorted(map(str, ruled.collect()))
+
+
+def test_more_sources_than_may_be_listed(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 500)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 4).cast("int")).alias("text"), F.concat(F.lit("s"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 2000)).alias("source"))
+    with pytest.raises(ValueError, match="more than 500 sources"):
+        mixing.mix(docs, lambda names: [1] * len(names), 1.0)
+    got = mixing.mix(docs, None, 1.5, by_rank=entries.weight_in_turn, columns=["doc_id"])
+    assert got.count() == 6000 and got.where("target is null or taken > 2 * size").count() == 0
+    told = got.groupBy("source_size", "target").agg(F.sum("taken").alias("t")).agg(F.sum("t")).first()[0]
+    assert abs(told - 1.5 * got.agg(F.sum("size")).first()[0]) < 0.02 * told
+
+
 def test_seeded_order_is_md5_of_seed_and_key(spark):
     _, got = mixed_rows(spark, [(i, "a b", "s", "x") for i in range(50)] + [(99, "c " * 500, "z", "x")])
     s = sorted((r for r in got if r["source"] == "s"), key=lambda r: hashlib.md5(f"0:{r['doc_id']}".encode()).hexdigest())
