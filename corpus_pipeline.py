@@ -34,11 +34,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take documents as often as the mix of sources does: weights 5, 2, 1 in turn, at most two epochs."""
-
-    def weights(names: list) -> list[int]:
-        return [(5, 2, 1)[i % 3] for i in range(len(names))]
-
-    return shielded(docs, ["doc_id", "text", "source"], lambda d: mixing.repeated(mixing.mix(d, weights, share=1.5, max_epochs=2, seed=4), d.columns))
+    return shielded(docs, ["doc_id", "text", "source"], lambda d: mixing.repeated(mixing.mix(d, None, share=1.5, max_epochs=2, seed=4, by_rank=entries.weight_in_turn), d.columns))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
