@@ -28,6 +28,9 @@ HOPS = 8
 #: Key and foreign key columns of so many bytes at least are kept in buckets once they are used again.
 EDGE_BYTES = 256 << 20
 
+#: Sizes from here on are what Spark says of frames whose size it doesn't know.
+UNKNOWN_BYTES = 1 << 60
+
 
 class SubsetLimitError(ValueError):
     """A closure went over one of its limits."""
@@ -152,7 +155,8 @@ class _Closure:
         if self.hops[child, fk, by] == 2:
             df, pk = self.db.frames[child], self.db.tables[child].single_pk
             narrow = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([pk, *fk.columns])]).dropna(subset=list(fk.columns))
-            if int(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > EDGE_BYTES:
+            size = int(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+            if EDGE_BYTES < size < UNKNOWN_BYTES:
                 buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
                 self.adjacent[child, fk, by] = materialize_bucketed(narrow, list(by), buckets, "edges")
         return self.adjacent.get((child, fk, by))
@@ -203,9 +207,11 @@ class _Closure:
             if parent not in plan.counts:
                 raise ValueError(f"closure integrity: rows of {child} refer to {parent}, which is not in the plan")
         plan.order = [k for k in fk_order(self.db) if k in plan.counts]
+        return plan
+
+    def close(self) -> None:
         for edges in self.adjacent.values():
             discard(edges)
-        return plan
 
 
 def _anti(new: DataFrame, old: DataFrame, pk: str) -> DataFrame:
@@ -233,6 +239,13 @@ def closure_of_seeds(db: Database, seeds: Iterable[Seed], limits: Limits | None
     planned parents all are in the plan.
     """
     run = _Closure(db, limits or Limits())
+    try:
+        return _from_seeds(run, db, seeds)
+    finally:
+        run.close()
+
+
+def _from_seeds(run: _Closure, db: Database, seeds: Iterable[Seed]) -> Plan:
     frontier: dict[str, DataFrame] = {}
     checked = check_seeds(db, seeds)
     matches = {i: select_keys(db.frames[t.key], t, s) for i, (t, s) in enumerate(checked)}
@@ -318,6 +331,13 @@ def closure_of_percent(db: Database, percent: int, limits: Limits | None = None)
     if not 1 <= percent <= 100:
         raise ValueError("the percentage must be from 1 to 100")
     run = _Closure(db, limits or Limits())
+    try:
+        return _from_percent(run, db, percent)
+    finally:
+        run.close()
+
+
+def _from_percent(run: _Closure, db: Database, percent: int) -> Plan:
     limits, plan = run.limits, run.plan
     for t, order_by, n in percent_roots(db, percent):
         budget = limits.max_rows - plan.rows_read
