@@ -1,14 +1,16 @@
 """Media columns: motion-JPEG in AVI.
 
 A video is a binary column that holds an AVI file whose frames are JPEG images, each decodable by itself. This
-module writes and reads such files: it walks RIFF chunks, finds frames by the idx1 index, decodes lossless
-(SOF3) and baseline (SOF0) grey JPEG, and cuts the frames into shots where the histogram changes more than an
+module writes and reads such files: it walks RIFF chunks, finds frames by the idx1 index, decodes the brightness of
+baseline JPEG (grey or colour, with restart intervals, and without tables of its own, as motion-JPEG frames usually
+are) and of lossless grey JPEG (SOF3), and cuts the frames into shots where the histogram changes more than an
 adaptive threshold. Payload bytes are stored without loss as 8-bit samples of lossless frames.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import struct
 
 import numpy as np
@@ -163,10 +165,10 @@ def parse_avi(file: bytes) -> dict:
 
 
 def parse_jpeg(image: bytes) -> dict:
-    """The segments of a grey JPEG image that decoding needs, and its entropy-coded bytes without stuffing."""
+    """The segments of a JPEG image that decoding needs, and the entropy-coded bytes of its first scan."""
     if image[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG image")
-    out: dict = {"tables": {}, "quant": {}, "restart": 0}
+    out: dict = {"tables": usual_tables(), "quant": {}, "restart": 0}
     at = 2
     while True:
         if image[at] != 0xFF:
@@ -174,12 +176,13 @@ def parse_jpeg(image: bytes) -> dict:
         marker, size = image[at + 1], struct.unpack_from(">H", image, at + 2)[0]
         body = image[at + 4 : at + 2 + size]
         at += 2 + size
-        if marker in (0xC0, 0xC3):
+        if marker in (0xC0, 0xC1, 0xC3):
             out["bits"], out["rows"], out["columns"], parts = struct.unpack_from(">BHHB", body)
-            if parts != 1 or out["bits"] != 8:
-                raise ValueError("only 8-bit grey images are decoded")
-            out["kind"], out["quant_id"] = marker, body[8]
-        elif marker in (0xC1, 0xC2, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
+            if out["bits"] != 8 or (parts != 1 and marker == 0xC3):
+                raise ValueError("only images of 8 bits a sample are decoded, lossless ones if they are grey")
+            out["kind"] = marker
+            out["parts"] = {body[i]: (body[i + 1] >> 4, body[i + 1] & 15, body[i + 2]) for i in range(6, 6 + 3 * parts, 3)}
+        elif marker in (0xC2, *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
             raise ValueError(f"JPEG process {marker:#x} is not decoded")
         elif marker == 0xC4:
             i = 0
@@ -196,15 +199,16 @@ def parse_jpeg(image: bytes) -> dict:
         elif marker == 0xDD:
             out["restart"] = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            out["selected"] = body[2]
-            out["predictor"] = body[3]
+            scan = body[1 : 1 + 2 * body[0]]
+            out["scan"] = list(zip(scan[::2], scan[1::2], strict=True))  # (part, its Huffman tables)
+            out["selected"], out["predictor"] = scan[1], body[1 + 2 * body[0]]
             end = image.rfind(b"\xff\xd9")
             out["data"] = image[at : end if end >= at else len(image)]
             return out
 
 
 class _Bits:
-    """Huffman symbols and plain bits from entropy-coded bytes."""
+    """Huffman symbols and plain bits from entropy-coded bytes between two restarts."""
 
     def __init__(self, data: bytes):
         self.data, self.at = data.replace(b"\xff\x00", b"\xff"), 0
@@ -261,36 +265,97 @@ def _cosines() -> np.ndarray:
 
 
 def decode_jpeg(image: bytes) -> np.ndarray:
-    """The samples of a grey JPEG image, lossless with predictor 1 or baseline, as a (rows, columns) array of bytes."""
+    """The brightness of a JPEG image, lossless grey with predictor 1 or baseline, as a (rows, columns) array of bytes."""
     j = parse_jpeg(image)
+    if j["kind"] != 0xC3:
+        return _baseline(j)
     rows, columns = j["rows"], j["columns"]
-    if j["restart"]:
-        raise ValueError("restart intervals are not decoded")
-    bits = _Bits(j["data"])
-    if j["kind"] == 0xC3:
-        if j["predictor"] != 1:
-            raise ValueError("only predictor 1 is decoded")
-        table = _codes(*j["tables"][j["selected"] >> 4])
-        diff = np.array([bits.signed(bits.symbol(table)) for _ in range(rows * columns)], np.int32)
-        return _undo_prediction(diff.reshape(1, rows, columns))[0]
-    dc, ac = _codes(*j["tables"][j["selected"] >> 4]), _codes(*j["tables"][0x10 | j["selected"] & 15])
-    quant, cosine = j["quant"][j["quant_id"]], _cosines()
-    out, level = np.zeros((-(-rows // 8) * 8, -(-columns // 8) * 8)), 0
-    for top in range(0, rows, 8):
-        for side in range(0, columns, 8):
-            block = np.zeros(64)
-            level += bits.signed(bits.symbol(dc))
-            block[0], k = level * quant[0], 1
-            while k < 64:
-                run = bits.symbol(ac)
-                if run == 0:
-                    break
-                k += run >> 4
-                if run & 15:
-                    block[_ZIGZAG[k]] = bits.signed(run & 15) * quant[k]
-                k += 1
-            out[top : top + 8, side : side + 8] = cosine.T @ block.reshape(8, 8) @ cosine + 128
-    return np.clip(np.rint(out[:rows, :columns]), 0, 255).astype(np.uint8)
+    if j["restart"] or j["predictor"] != 1:
+        raise ValueError("lossless images are decoded with predictor 1 and without restart intervals")
+    bits, table = _Bits(j["data"]), _codes(*j["tables"][j["selected"] >> 4])
+    diff = np.array([bits.signed(bits.symbol(table)) for _ in range(rows * columns)], np.int32)
+    return _undo_prediction(diff.reshape(1, rows, columns))[0]
+
+
+def _baseline(j: dict) -> np.ndarray:
+    """The first part (grey, or the brightness of a colour image) of a baseline scan, at the image's size.
+
+    The scan's units hold the blocks of all of its parts; those of other parts are read over. Between restarts each part's
+    first coefficients are differences.
+    """
+    first = next(iter(j["parts"]))
+    if first not in (names := [n for n, _ in j["scan"]]):
+        raise ValueError("the first scan has no brightness")
+    most_h, most_v = (max(p[i] for p in j["parts"].values()) for i in (0, 1))
+    h, v, quant_id = j["parts"][first]
+    alone = len(names) == 1  # then a unit is one block, and there are no more than the part needs
+    across, down = (-(-j[n] * (k if alone else m) // (8 * (m if alone else m * m))) for n, k, m in (("columns", h, most_h), ("rows", v, most_v)))
+    blocks = {n: 1 if alone else j["parts"][n][0] * j["parts"][n][1] for n in names}
+    tables = {n: (_codes(*j["tables"][t >> 4]), _codes(*j["tables"][0x10 | t & 15])) for n, t in j["scan"]}
+    units, found = across * down, []
+    step = j["restart"] or units
+    parts = re.split(rb"\xff[\xd0-\xd7]", j["data"])
+    if len(parts) < -(-units // step):
+        raise ValueError("the image ends early")
+    for k in range(-(-units // step)):
+        bits, level = _Bits(parts[k]), dict.fromkeys(names, 0)
+        for _ in range(min(step, units - k * step)):
+            for name in names:
+                dc, ac = tables[name]
+                for _ in range(blocks[name]):
+                    block = _block(bits, dc, ac)
+                    level[name] += block[0]
+                    block[0] = level[name]
+                    if name == first:
+                        found.append(block)
+    wide, high = (1, 1) if alone else (h, v)
+    coefficients = np.array(found, np.float64) * np.array(j["quant"][quant_id])
+    blocks_ = np.zeros_like(coefficients)
+    blocks_[:, _ZIGZAG] = coefficients
+    cosine = _cosines()
+    samples = np.einsum("xu,nxy,yv->nuv", cosine, blocks_.reshape(-1, 8, 8), cosine) + 128
+    # From (unit row, unit, block row, block, row, column) to the picture.
+    samples = samples.reshape(down, across, high, wide, 8, 8).transpose(0, 2, 4, 1, 3, 5).reshape(down * high * 8, across * wide * 8)
+    samples = samples.repeat(most_v // v, axis=0).repeat(most_h // h, axis=1)
+    return np.clip(np.rint(samples[: j["rows"], : j["columns"]]), 0, 255).astype(np.uint8)
+
+
+def _block(bits: _Bits, dc: dict, ac: dict) -> list[int]:
+    """The 64 coefficients of a block in zigzag order, the first as a difference."""
+    block, k = [0] * 64, 1
+    block[0] = bits.signed(bits.symbol(dc))
+    while k < 64:
+        run = bits.symbol(ac)
+        if run == 0:
+            break
+        k += run >> 4
+        if run & 15:
+            block[k] = bits.signed(run & 15)
+        k += 1
+    return block
+
+
+# The Huffman tables that the JPEG standard proposes (its annex K.3), which motion-JPEG frames leave out. Per
+# table: codes of each length from 1 to 16, and the first symbols; those not named follow in ascending order.
+_USUAL = {
+    0x00: ((0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0), ""),
+    0x01: ((0, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0), ""),
+    0x10: ((0, 2, 1, 3, 3, 2, 4, 3, 5, 5, 4, 4, 0, 0, 1, 125), "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a"),
+    0x11: ((0, 2, 1, 2, 4, 4, 3, 4, 7, 5, 4, 4, 0, 1, 2, 119), "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1"),
+}
+
+
+@functools.cache
+def _usual(which: int) -> tuple[tuple, tuple]:
+    counts, named = _USUAL[which]
+    first = bytes.fromhex(named)
+    every = range(12) if which < 0x10 else sorted({0x00, 0xF0, *(run << 4 | size for run in range(16) for size in range(1, 11))})
+    return counts, (*first, *(s for s in every if s not in first))
+
+
+def usual_tables() -> dict[int, tuple[tuple, tuple]]:
+    """(codes by length, symbols) of the usual Huffman tables, by class and number."""
+    return {which: _usual(which) for which in _USUAL}
 
 
 _FIXED = (tuple([1] * 9 + [0] * 7), tuple(range(8, -1, -1)))
@@ -382,8 +447,8 @@ def read(docs: DataFrame, media: str = "media") -> DataFrame:
     """``docs`` with payload (the stored bytes, read back), clips (its timed shots) and media_error of the AVI column.
 
     A null file has nulls in all three. A file that can't be decoded has a null payload, null clips and in media_error
-    the reason: no AVI, no frames, broken or cut off, or a kind of JPEG other than grey lossless or baseline without
-    restart intervals. Clashing columns are replaced.
+    the reason: no AVI, no frames, broken or cut off, or a kind of JPEG other than baseline or lossless grey. Of colour
+    frames the payload is the brightness. Clashing columns are replaced.
     """
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:

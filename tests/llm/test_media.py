@@ -83,6 +83,95 @@ def test_baseline_frames_are_decoded():
     assert np.abs(media.decode_jpeg(baseline(picture, 8)).astype(int) - picture).mean() < 4
 
 
+def coded(table):
+    """Code strings by symbol of a (codes by length, symbols) table, by the standard's rule."""
+    out, code, i = {}, 0, 0
+    for length, n in enumerate(table[0], 1):
+        for _ in range(n):
+            out[table[1][i]] = format(code, f"0{length}b")
+            code, i = code + 1, i + 1
+        code <<= 1
+    return out
+
+
+def test_usual_huffman_tables():
+    """Codes that the standard's tables K.3 to K.6 list."""
+    dc, dc2, ac, ac2 = (coded(media.usual_tables()[k]) for k in (0x00, 0x01, 0x10, 0x11))
+    assert (dc[0], dc[5], dc[11]) == ("00", "110", "111111110") and (dc2[0], dc2[11]) == ("00", "11111111110")
+    assert (ac[0x00], ac[0xF0], ac[0x01], ac[0x11], ac[0x05], ac[0xFA]) == ("1010", "11111111001", "00", "1100", "11010", "1" * 15 + "0")
+    assert (ac2[0x00], ac2[0xF0], ac2[0x01], ac2[0x11], ac2[0xFA]) == ("00", "1111111010", "01", "1011", "1" * 15 + "0")
+
+
+def colour(planes, restart=0, quant=1, sampling=(2, 2)):
+    """A baseline colour JPEG without Huffman tables: brightness at full size, the other two planes at their own."""
+    x, u = np.meshgrid(np.arange(8), np.arange(8))
+    c = np.cos((2 * x + 1) * u * np.pi / 16) / 2
+    c[0] /= np.sqrt(2)
+    tables = [(coded(media.usual_tables()[k]), coded(media.usual_tables()[0x10 | k])) for k in (0, 1, 1)]
+    h, v = sampling
+    rows, columns = planes[0].shape
+    scaled = [np.pad(p.astype(float), ((0, -p.shape[0] % (8 * b)), (0, -p.shape[1] % (8 * a))), mode="edge") for p, (a, b) in zip(planes, ((h, v), (1, 1), (1, 1)), strict=True)]
+    down, across = scaled[0].shape[0] // (8 * v), scaled[0].shape[1] // (8 * h)
+    parts, bits, last = [], "", [0, 0, 0]
+
+    def value(n):
+        s = abs(n).bit_length()
+        return s, format(n if n > 0 else n + (1 << s) - 1, f"0{s}b") if s else ""
+
+    def close(bits):
+        bits += "1" * (-len(bits) % 8)
+        return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\x00")
+
+    for unit in range(down * across):
+        if restart and unit and unit % restart == 0:
+            parts.append(close(bits) + bytes([0xFF, 0xD0 + (unit // restart - 1) % 8]))
+            bits, last = "", [0, 0, 0]
+        for i, (plane, (a, b)) in enumerate(zip(scaled, ((h, v), (1, 1), (1, 1)), strict=True)):
+            dc, ac = tables[i]
+            for k in range(a * b):
+                top, side = (unit // across * b + k // a) * 8, (unit % across * a + k % a) * 8
+                f = np.rint(c @ (plane[top : top + 8, side : side + 8] - 128) @ c.T / quant).astype(int).reshape(-1)
+                zz = [int(f[z]) for z in media._ZIGZAG]
+                s, extra = value(zz[0] - last[i])
+                bits, last[i], run = bits + dc[s] + extra, zz[0], 0
+                ends = max((z for z in range(1, 64) if zz[z]), default=0)
+                for n in zz[1 : ends + 1]:
+                    if n == 0:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits, run = bits + ac[0xF0], run - 16
+                    s, extra = value(n)
+                    bits, run = bits + ac[run << 4 | s] + extra, 0
+                if ends < 63:
+                    bits += ac[0]
+    seg = media._segment
+    head = b"\xff\xd8" + seg(0xE0, b"AVI1\0\0\0\0\0\0\0\0\0\0") + seg(0xDB, bytes([0, *[quant] * 64]))
+    frame = seg(0xC0, struct.pack(">BHHB", 8, rows, columns, 3) + bytes([1, h << 4 | v, 0, 2, 0x11, 0, 3, 0x11, 0]))
+    every = seg(0xDD, struct.pack(">H", restart)) if restart else b""
+    return head + frame + every + seg(0xDA, bytes([3, 1, 0x00, 2, 0x11, 3, 0x11, 0, 63, 0])) + b"".join(parts) + close(bits) + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("restart", "sampling"), [(0, (2, 2)), (2, (2, 2)), (1, (1, 1)), (3, (2, 1))])
+def test_colour_frames_without_tables_are_decoded(restart, sampling):
+    y, x = np.mgrid[0:35, 0:50]
+    light = (128 + 60 * np.sin(x / 5) + 50 * np.cos(y / 4)).astype(int)
+    small = tuple(-(-n // s) for n, s in zip(light.shape, sampling[::-1], strict=True))
+    tint = [(100 + 40 * np.sin(np.mgrid[0 : small[0], 0 : small[1]][k] / 3)).astype(int) for k in (0, 1)]
+    got = media.decode_jpeg(colour([light, *tint], restart, sampling=sampling))
+    assert got.shape == light.shape and np.abs(got.astype(int) - light).max() <= 2
+
+
+def test_a_usual_motion_jpeg_file_is_cut_into_shots(spark):
+    """Colour frames with restart intervals and without tables, of two scenes."""
+    dark, bright = np.full((16, 32), 40), np.full((16, 32), 200)
+    tint = [np.full((8, 16), 90), np.full((8, 16), 160)]
+    file = media.avi([colour([p, *tint], restart=1) for p in [dark] * 5 + [bright] * 7], 32, 16)
+    row = media.read(spark.createDataFrame([(1, bytearray(file))], "doc_id long, media binary")).first()
+    assert row["media_error"] is None and [(c["first_frame"], c["frames"]) for c in row["clips"]] == [(0, 5), (5, 7)]
+    assert [round(c["brightness"]) for c in row["clips"]] == [40, 200]
+
+
 def test_parsing_without_an_index_and_of_other_files():
     file = media.store_payload(bytes(64 * 100))
     cut = file[: file.rindex(b"idx1")]
