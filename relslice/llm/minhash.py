@@ -35,6 +35,10 @@ ROUNDS = 2
 #: Texts on either side of a block comparison.
 BLOCK = 1024
 
+#: Blocks of a bucket from which on it is split by rarest shingles. A split multiplies a bucket's rows by the number of each
+#: text's rare shingles, blocks multiply them by their own number.
+SPLIT_BLOCKS = 4
+
 #: Slots in which shingles are counted, a power of two.
 SLOTS = 1 << 18
 
@@ -299,18 +303,18 @@ def _by_rarest(some: DataFrame, large: DataFrame, full: DataFrame, percent: int)
 def _rest(members: DataFrame, open_: DataFrame, roots: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components, named by their roots, of texts that share an ``open_`` bucket.
 
-    Buckets with the same members are looked at once; pairs within a component aren't. A bucket of more than BLOCK
-    texts is split by their rarest shingles first.
+    Buckets with the same members are looked at once; pairs within a component aren't. A bucket of more than
+    SPLIT_BLOCKS blocks is split by its texts' rarest shingles first.
     """
     some = members.join(open_, "bucket", "left_semi").select("bucket", "set_id")
     some = some.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     some = materialize(some, "several")
     mixed = materialize(_mixed(some), "mixed")
     read = [some, mixed]
-    large = mixed.where(F.col("n") > BLOCK)
+    large = mixed.where(F.col("n") > SPLIT_BLOCKS * BLOCK)
     if not large.isEmpty():
         split = _by_rarest(some, large, full, percent)
-        mixed = mixed.where(F.col("n") <= BLOCK).unionByName(_mixed(split))
+        mixed = mixed.where(F.col("n") <= SPLIT_BLOCKS * BLOCK).unionByName(_mixed(split))
         some = some.unionByName(split)
         read.append(split)
     blocks = [F.ceil(F.col(n) / BLOCK).cast("int").alias(b) for n, b in (("n", "blocks"), ("n_out", "out_blocks"))]

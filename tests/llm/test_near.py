@@ -70,9 +70,10 @@ def test_components_equal_brute_force(spark, seed, k):
     assert found(spark, rows, k) == sorted(truth(rows, k, 80), key=str)
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_outliers_of_a_large_group_are_compared_in_blocks(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "split"), [(1, 1), (3, 1), (1, 100)])
+def test_outliers_of_a_large_group_are_compared_in_blocks(spark, monkeypatch, rounds, split):
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SPLIT_BLOCKS", split)
     monkeypatch.setattr(minhash, "ROUNDS", rounds)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(60)]
@@ -200,7 +201,8 @@ def test_linked_sets_share_one_of_their_rarest_shingles(seed, percent):
 
 def test_texts_of_one_template_do_not_meet_in_pairs(spark, monkeypatch):
     """Texts that have 60% in common and no link: what is compared grows with them, not with their pairs."""
-    monkeypatch.setattr(minhash, "BLOCK", 40)
+    monkeypatch.setattr(minhash, "BLOCK", 20)
+    monkeypatch.setattr(minhash, "SPLIT_BLOCKS", 2)
     compared, real = [], minhash._mixed
 
     def counted(some):
