@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 #: Rows that an operator works on at a time, and about the bytes of their texts (one row at least).
 ROWS, BYTES = 1024, 16 << 20
 
+#: Bytes of an Arrow batch between Spark and its Python workers.
+BATCH_BYTES = 8 << 20
+
 
 def spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch's rows in slices of at most ROWS rows and about BYTES of text, so what is built beside them stays small."""
@@ -31,6 +34,17 @@ def spans(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = stop
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark send BATCH_BYTES at a time to Python workers, where the session allows more.
+
+    Both sides hold whole batches, some of them twice, so these decide what an executor's tasks take beside the heap.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def field_types(ddl: str) -> list[T.StructField]:
     return T._parse_datatype_string(ddl).fields
 
@@ -49,6 +63,7 @@ def add_columns(df: DataFrame, ddl: str, make: Callable[[pa.RecordBatch], list[p
     Columns of ``df`` that clash with the new names are replaced. ``make`` gets all columns, ``drop`` columns
     included. Column order: what is kept, then the new columns. ``done`` is called when a partition is finished.
     """
+    bounded_batches(df.sparkSession)
     new = field_types(ddl)
     names = {f.name.lower() for f in new}
     df = df.drop(*[c for c in df.columns if c.lower() in names])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relslice.llm.arrowmap import add_columns, column
+from relslice.llm.arrowmap import add_columns, bounded_batches, column
 from relslice.scratch import discard, materialize
 
 #: Share of the parts that may need more than the b entries they keep.
@@ -232,6 +232,7 @@ def compress(
                 own += [{"part": -1, "entry": q, "component": 0, "n": m, "total": 0} for q, m in looks.items()]
                 yield pa.RecordBatch.from_arrays([*held, pa.array([own, *[None] * (len(held[-1]) - 1)], sums)], schema=made)
 
+        bounded_batches(table.sparkSession)
         return materialize(table.mapInArrow(run, schema), "codes")
 
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relslice.llm.arrowmap import column, give_back, spans
+from relslice.llm.arrowmap import bounded_batches, column, give_back, spans
 from relslice.scratch import materialize
 
 #: Bytes of a bucket on average, and of the records that one table takes; several times as many, so that few buckets are too large.
@@ -157,6 +157,7 @@ def _first_pass(docs: DataFrame, key: str, text: str, member: str) -> DataFrame:
         fold = None
         give_back()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(*dict.fromkeys([key, text, member])).mapInArrow(run, ddl)
 
 
