@@ -27,11 +27,12 @@ def _path(name: str) -> str:
 def temporal(text: Column, kind: T.DataType) -> Column:
     """Text to a date or timestamp: RFC 3339 with up to nine decimals, without an offset with T or blank, or a date.
 
+    Years of more than four digits, or before 0, may have the sign that the writer gives them (+12345, -0044).
     A naive timestamp keeps its wall clock when the text has an offset. Infinities become the sentinels; other
     text is null.
     """
     trimmed = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
-    shaped = trimmed.rlike(r"^\d{4,5}-\d\d-\d\d([T ]\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d(:?\d\d)?)?)?$")
+    shaped = trimmed.rlike(r"^[+-]?\d{4,7}-\d\d-\d\d([T ]\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d(:?\d\d)?)?)?$")
     if isinstance(kind, T.TimestampNTZType):
         trimmed = F.regexp_replace(trimmed, r"(?<=\d\d:\d\d:\d\d(\.\d{1,6})?)(Z|[+-]\d\d(:?\d\d)?)$", "")
     value = F.when(shaped, trimmed.try_cast(kind))

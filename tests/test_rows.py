@@ -158,3 +158,17 @@ def test_ranges_of_ranks_are_found_by_place(spark):
     assert [sorted(r["k"] for r in ordered.between(a, b).collect()) for a, b in ((0, 10), (495, 505), (990, 2000))] == [list(range(10)), list(range(495, 505)), list(range(990, 1000))]
     assert "PushedFilters: [IsNotNull(__place), GreaterThanOrEqual(__place" in ordered.between(5, 9)._jdf.queryExecution().executedPlan().toString()
     assert Ordered(df.limit(0), ["k"]).between(0, 10).count() == 0
+
+
+def test_years_of_any_size_round_trip(spark):
+    days = [f"{y}-01-31" for y in ("-0044", "0001", "9999", "+10000", "+294246")]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "i long, t string")
+    df = df.select("i", F.col("t").cast("date").alias("d"), F.concat("t", F.lit("T01:02:03.000004Z")).cast("timestamp").alias("z"), F.concat("t", F.lit("T01:02:03.000004")).cast("timestamp_ntz").alias("n"))
+    path, t = fresh_path(spark, "years"), describe(df, "t", ["i"])
+    ndjson.write(df, path)
+    back = ndjson.rows_of(ndjson.read(spark, path, t), t)
+
+    def told(rows):
+        return [tuple(r) for r in rows.select("i", *[F.col(c).cast("string") for c in "dzn"]).orderBy("i").collect()]
+
+    assert told(back) == told(df) and all(None not in r for r in told(df))
