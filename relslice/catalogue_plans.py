@@ -14,7 +14,7 @@ from relslice.catalog import ColumnDef, Database, FkDef, TableDef, describe, sch
 from relslice.catalogue import ALL_TABLES, PERCENT_SQL, WIDE, query, read_back, shop, table
 from relslice.clone import analyze, clone
 from relslice.dump import dump
-from relslice.functions.coerce import POSITION, typed
+from relslice.functions.coerce import POSITION, sound, typed
 from relslice.functions.redact import redact, scrub, sensitive_columns
 from relslice.operators import chunks, closure, verify
 from relslice.operators.predicates import Limits, Seed
@@ -344,7 +344,7 @@ def infinite_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     date = F.when(F.col("o_orderstatus") == "F", "Infinity").when(F.col("o_orderstatus") == "O", "-infinity").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     line = F.to_json(F.struct("o_orderkey", date.alias("o_orderdate")))
     rows = typed(o.select(line.alias("value")), describe(o.select("o_orderkey", "o_orderdate"), "orders", ["o_orderkey"]), infinities=True)
-    return rows.where(F.size("__problems") == 0).select("o_orderkey", "o_orderdate", "o_orderdate__inf")
+    return sound(rows).select("o_orderkey", "o_orderdate", "o_orderdate__inf")
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE AS day, o_orderkey * 86399999999 + 123456 AS micros FROM orders")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from relslice.catalog import ColumnDef, TableDef, describe
-from relslice.functions.coerce import FIRST, LAST, typed, violations
+from relslice.functions.coerce import FIRST, LAST, sound, typed, violations
 from relslice.functions.redact import redact, scrub, sensitive_columns
 from relslice.operators import chunks, conflict
 from relslice.operators.chunks import Ordered, next_chunk
@@ -172,3 +172,11 @@ def test_years_of_any_size_round_trip(spark):
         return [tuple(r) for r in rows.select("i", *[F.col(c).cast("string") for c in "dzn"]).orderBy("i").collect()]
 
     assert told(back) == told(df) and all(None not in r for r in told(df))
+
+
+def test_problems_are_looked_at_without_parsing_again(spark):
+    rows = typed(spark.createDataFrame([('{"i": 1}',), ('{"i": "x"}',)], "value string").repartition(2), TABLE, infinities=True)
+    for found in (violations(rows), sound(rows)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parse_json(") + plan.count("parseJson") <= 1 and "Filter" not in plan
+    assert [r["i"] for r in sound(rows).collect()] == [1] and sound(rows).columns == [c for c in rows.columns if c != "__problems"]
