@@ -21,6 +21,12 @@ from relslice.sources import fs, ndjson
 
 DEFAULT_CHUNK, MAX_CHUNK = 1_000, 1_000_000
 
+#: A chunked export is about so many write jobs at most, besides the first ones, which double in size.
+JOBS = 32
+
+#: Chunks of fewer rows cost their files more than their rows and are dealt evenly to the tasks that write them.
+SMALL_CHUNK = 10_000
+
 
 class Ordered:
     """``df`` range-partitioned and sorted by key once and written; nulls first, ties in any order.
@@ -114,8 +120,10 @@ def fingerprint(table: str, choice: KeyChoice, size: int, state: list, options:
 def export_chunks(df: DataFrame, out: str, table: str, choice: KeyChoice, size: int, options: dict, columns: list[str], finish: Callable[[DataFrame], DataFrame] = lambda d: d, per_job: int = 1_000) -> int:
     """Write ``df`` in chunks below ``out`` and return its number of rows; a rerun writes only what is missing.
 
-    ``per_job`` chunks are one write job, staged and then renamed into place as one folder, so a folder is there
-    whole or not at all. ``out``/_plan.json holds the fingerprint; an export with another one is an error.
+    ``per_job`` chunks are one folder, staged and then renamed into place, so a folder is there whole or not at all.
+    The first job writes one folder and each further one up to twice as many, to a share of 1 / JOBS of all: so the
+    number of jobs is bounded, and an interruption loses at most that share. ``out``/_plan.json holds the fingerprint;
+    an export with another one is an error.
     ``finish`` (redaction, say) is applied after rows are numbered by their true keys.
     """
     spark = df.sparkSession
@@ -128,14 +136,32 @@ def export_chunks(df: DataFrame, out: str, table: str, choice: KeyChoice, size:
     if not 1 <= size <= MAX_CHUNK:
         raise ValueError(f"a chunk has 1 to {MAX_CHUNK} rows")
     done, ordered = set(fs.listdir(spark, out)), Ordered(df, choice.columns)
-    for first in range(0, max(1, math.ceil(ordered.count / size)), per_job):
-        folder = f"chunks-{first:09d}"
-        if folder in done:
-            continue
-        fs.delete(spark, f"{out}/_staged")
-        part = ordered.between(first * size, (first + per_job) * size)
+    folders, staged = range(max(1, math.ceil(ordered.count / (size * per_job)))), f"{out}/_staged"
+    for run in _runs([i for i in folders if f"chunks-{i * per_job:09d}" not in done], math.ceil(len(folders) / JOBS)):
+        fs.delete(spark, staged)
+        part = ordered.between(run[0] * per_job * size, (run[-1] + 1) * per_job * size)
         part = part.withColumn("chunk_id", F.floor(F.col("rank") / size).cast("long")).withColumn(POSITION, F.col("rank"))
-        ndjson.write(finish(part).select(*columns, POSITION, "chunk_id"), f"{out}/_staged", position=False, partition_by=["chunk_id"])
-        fs.rename(spark, f"{out}/_staged", f"{out}/{folder}")
+        part = finish(part).select(*columns, POSITION, "chunk_id", F.floor(F.col("chunk_id") / per_job).cast("long").alias("__folder"))
+        if size < SMALL_CHUNK:
+            tasks = 4 * spark.sparkContext.defaultParallelism
+            part = part.repartition(min(tasks, len(run) * per_job), "__folder" if len(run) >= tasks else "chunk_id")
+        ndjson.write(part, staged, position=False, partition_by=["__folder", "chunk_id"])
+        for i in run:
+            # An empty table has one folder without chunks.
+            fs.rename(spark, f"{staged}/__folder={i}" if ordered.count else staged, f"{out}/chunks-{i * per_job:09d}")
+    fs.delete(spark, staged)
     discard(ordered.rows)
     return ordered.count
+
+
+def _runs(missing: list[int], most: int) -> list[list[int]]:
+    """Ascending numbers in runs without gaps: of one number, then of up to twice as many as the one before, to ``most``."""
+    runs, size = [], 1
+    for i in missing:
+        if runs and len(runs[-1]) < size and runs[-1][-1] == i - 1:
+            runs[-1].append(i)
+            continue
+        if runs:
+            size = min(2 * size, most)
+        runs.append([i])
+    return runs

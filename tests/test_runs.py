@@ -3,14 +3,15 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from relslice.catalog import ColumnDef, Database, FkDef, TableDef, describe, profile
+from relslice.catalog import ColumnDef, Database, FkDef, KeyChoice, TableDef, describe, profile
 from relslice.clone import clone
 from relslice.dump import dump
+from relslice.operators import chunks
 from relslice.operators import verify as checks
 from relslice.operators.predicates import Seed
 from relslice.restore import restore
 from relslice.scratch import fresh_path
-from relslice.sources import fs, manifest
+from relslice.sources import fs, manifest, ndjson
 from relslice.sources.warehouse import Warehouse
 from relslice.streaming.exports import append_export, table_stream
 
@@ -270,3 +271,24 @@ def test_replay_computes_statistics(spark, db):
     assert "25 rows" in told["Statistics"]
     spark.sql("DROP DATABASE copied CASCADE")
     assert target.frame("public.nation").count() == 25
+
+
+def test_chunked_exports_have_few_jobs_and_resume_behind_a_gap(spark, monkeypatch):
+    df, out = spark.range(1000).withColumn("s", F.lit("x")).repartition(3), fresh_path(spark, "chunks")
+    t, choice, jobs = describe(df, "t", ["id"]), KeyChoice("primary_key", ("id",)), []
+
+    def export(path=out, rows=df):
+        jobs.clear()
+        return chunks.export_chunks(rows, path, t.key, choice, 2, {}, df.columns, lambda part: jobs.append(1) or part, per_job=2)
+
+    assert export() == 1000 and len(jobs) <= chunks.JOBS + 5
+    folders = [f"chunks-{i:09d}" for i in range(0, 500, 2)]
+    assert [f for f in fs.listdir(spark, out) if not f.startswith("_")] == folders
+    for gone in (folders[0], folders[7], folders[-1]):
+        fs.delete(spark, f"{out}/{gone}")
+    export()
+    assert len(jobs) == 3 and [f for f in fs.listdir(spark, out) if not f.startswith("_")] == folders
+    assert fs.files(spark, f"{out}/{folders[7]}")[0].startswith("chunk_id=14/")
+    assert same(df, ndjson.rows_of(ndjson.read(spark, out, t), t).drop("__pos"))
+    none = fresh_path(spark, "chunks")
+    assert export(none, df.limit(0)) == 0 and [f for f in fs.listdir(spark, none) if not f.startswith("_")] == folders[:1]
