@@ -145,7 +145,7 @@ def export_chunks(df: DataFrame, out: str, table: str, choice: KeyChoice, size:
         if size < SMALL_CHUNK:
             tasks = 4 * spark.sparkContext.defaultParallelism
             part = part.repartition(min(tasks, len(run) * per_job), "__folder" if len(run) >= tasks else "chunk_id")
-        ndjson.write(part, staged, position=False, partition_by=["__folder", "chunk_id"])
+        ndjson.write(part, staged, position=False, partition_by=["__folder", "chunk_id"], part_of=ordered.rows)
         for i in run:
             # An empty table has one folder without chunks.
             fs.rename(spark, f"{staged}/__folder={i}" if ordered.count else staged, f"{out}/chunks-{i * per_job:09d}")

@@ -11,6 +11,12 @@ from relslice.functions.coerce import POSITION, typed
 #: Longest line in bytes.
 MAX_LINE = 16 << 20
 
+#: Row files of frames that Spark takes for larger than this many bytes are gzip files; readers tell by the name.
+PLAIN_BYTES = 64 << 20
+
+#: Rows in a gzip file at most, as such files can't be split.
+ZIPPED_ROWS = 500_000
+
 _WRITE = {
     "ignoreNullFields": "false",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
@@ -18,21 +24,30 @@ _WRITE = {
 }
 
 
-def write(df: DataFrame, path: str, position: bool = True, partition_by: list[str] | None = None, mode: str = "error") -> int:
+def write(df: DataFrame, path: str, position: bool = True, partition_by: list[str] | None = None, mode: str = "error", part_of: DataFrame | None = None) -> int:
     """Write rows and return their number, as the writing job has counted it.
 
-    With ``position`` each line says its place in the dump, which loads follow for repeated keys.
+    With ``position`` each line says its place in the dump, which loads follow for repeated keys. Large frames, or
+    parts of a large frame ``part_of``, are compressed.
     """
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("n"))
     if position:
         out = out.withColumn(POSITION, F.monotonically_increasing_id())
     writer = out.write.mode(mode).options(**_WRITE)
+    if _large(df if part_of is None else part_of):
+        writer = writer.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": ZIPPED_ROWS})
     (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
     # A frame that is known to be empty may be planned without the counting step.
     return seen.get.get("n", 0)
 
 
+def _large(df: DataFrame) -> bool:
+    """Whether the frame's size is known to be above PLAIN_BYTES."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return PLAIN_BYTES < size < 1 << 60
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """The lines of a row file that hold anything but white space of any kind."""
     return spark.read.option("recursiveFileLookup", "true").text(path).where(F.col("value").rlike(r"(?U)\S"))

@@ -368,3 +368,19 @@ def test_runs_and_manifests_read_back(spark):
         manifest.register_run(spark, base, f"{base}/{seq}", seq)
     assert [r["seq"] for r in manifest.list_runs(spark, base).collect()] == [2, 1]
     assert json.loads(fs.read_text(spark, f"{base}/1/metadata.json"))["provenance"]["total_rows"] == 8
+
+
+@pytest.mark.parametrize("chunk", [(), ("t",)])
+def test_large_tables_have_compressed_row_files(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ndjson, "PLAIN_BYTES", 1000)
+    monkeypatch.setattr(ndjson, "ZIPPED_ROWS", 100)
+    df = spark.range(1000).withColumn("s", F.lit("x" * 50)).repartition(2)
+    db, path = Database.of((describe(df, "t", ["id"]), df)), fresh_path(spark, "dump")
+    dump(db, path, chunk=chunk)
+    rows = manifest.inventory(spark, path).where("n_rows > 0")
+    assert rows.where("not endswith(file, '.json.gz') or n_rows > 100").count() == 0
+    told = rows.agg(F.sum("n_rows"), F.sum("n_bytes")).first()
+    assert told[0] == 1000 and told[1] < 30_000
+    target = Warehouse(spark, fresh_path(spark, "wh"), Database(db.tables))
+    restore(spark, path, target)
+    assert target.frame("public.t").exceptAll(df).count() == 0 and target.frame("public.t").count() == 1000
