@@ -63,7 +63,7 @@ def read(spark: SparkSession, path: str, table: TableDef, infinities: bool = Fal
     lines = read_lines(spark, path)
     if seen is not None:
         lines = lines.observe(seen, *digest_of_lines())
-    return typed(lines, table, infinities=infinities, longest=MAX_LINE)
+    return typed(lines, table, infinities=infinities, longest=MAX_LINE, writer=_WRITE)
 
 
 def rows_of(rows: DataFrame, table: TableDef) -> DataFrame:

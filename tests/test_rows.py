@@ -180,3 +180,10 @@ def test_problems_are_looked_at_without_parsing_again(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parse_json(") + plan.count("parseJson") <= 1 and "Filter" not in plan
     assert [r["i"] for r in sound(rows).collect()] == [1] and sound(rows).columns == [c for c in rows.columns if c != "__problems"]
+
+
+def test_lines_as_written_are_typed_as_any_others(spark):
+    lines = ['{"i":1,"s":"a","b":true,"m":1.5000,"__pos":3}', '{"i":1,"s":5,"b":true,"m":1.5000,"__pos":4}', '{"i":null,"s":"a","b":true,"m":null,"__pos":5}', '{"i":2,"s":null,"b":null,"m":null,"__pos":6,"q":1}', '{"m":2, "i":7}', "{"]
+    t = TableDef("t", (ColumnDef("i", "bigint", False, True), ColumnDef("s", "text"), ColumnDef("b", "boolean"), ColumnDef("m", "numeric(20,4)")))
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert typed(df, t, writer=ndjson._WRITE).collect() == typed(df, t).collect()
