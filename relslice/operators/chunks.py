@@ -24,24 +24,33 @@ DEFAULT_CHUNK, MAX_CHUNK = 1_000, 1_000_000
 #: A chunked export is about so many write jobs at most, besides the first ones, which double in size.
 JOBS = 32
 
+#: Rows in a folder of chunks, about, and chunks in it at most: the least that an interruption can cost.
+FOLDER_ROWS, FOLDER_CHUNKS = 1_000_000, 1_000
+
 #: Chunks of fewer rows cost their files more than their rows and are dealt evenly to the tasks that write them.
 SMALL_CHUNK = 10_000
 
+#: Rows in a file of ordered rows at most; a job over a range of ranks has a task for each file of its rows, or for some of them.
+FILE_ROWS = 250_000
+
 
 class Ordered:
     """``df`` range-partitioned and sorted by key once and written; nulls first, ties in any order.
 
     Each row's place is its partition (of 2**33 places) plus its place within; ``starts`` holds the first rank of
-    each partition, added up on the driver from one count per partition. Places grow with ranks, and the written
-    files hold ranges of them, so :meth:`between` reads the files and row groups of its rows only.
+    each partition, added up on the driver from one count per partition. Places grow with ranks, and each written file holds
+    a range of them, so :meth:`between` reads the files and row groups of its rows only.
     """
 
     def __init__(self, df: DataFrame, keys: Iterable[str]):
         keys = [F.col(f"`{k}`") for k in keys]
-        self.rows = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()), "ranked")
+        self.rows = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__place", F.monotonically_increasing_id()), "ranked", FILE_ROWS)
         counts = sorted((r["part"], r["n"]) for r in self.rows.groupBy(F.shiftright("__place", 33).alias("part")).agg(F.count("*").alias("n")).collect())
         self.starts = list(zip([p for p, _ in counts], accumulate([n for _, n in counts], initial=0), strict=False))
         self.count = sum(n for _, n in counts)
+        firsts = self.rows.where("_metadata.row_index = 0").select("__place", "_metadata.file_path").collect()
+        #: The first place of each file, and its path.
+        self.files = sorted((r["__place"], unquote(r["file_path"])) for r in firsts)
 
     def ranked(self, rows: DataFrame) -> DataFrame:
         """``rows`` of the written table with the column rank: 0 for the smallest key, and so on, without gaps."""
@@ -56,8 +65,11 @@ class Ordered:
 
     def between(self, first: int, stop: int) -> DataFrame:
         """The rows whose ranks are from ``first`` to before ``stop``, with their ranks."""
-        places = F.col("__place")
-        return self.ranked(self.rows.where((places >= self.place(first)) & (places < self.place(min(stop, self.count)))))
+        places, low, high = F.col("__place"), self.place(first), self.place(min(stop, self.count))
+        behind = [*self.files[1:], (math.inf, "")]
+        files = [path for (place, path), (following, _) in zip(self.files, behind, strict=False) if place < high and low < following]
+        rows = self.rows.sparkSession.read.schema(self.rows.schema).parquet(*files) if files else self.rows
+        return self.ranked(rows.where((places >= low) & (places < high)))
 
 
 def with_rank(df: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -117,28 +129,44 @@ def fingerprint(table: str, choice: KeyChoice, size: int, state: list, options:
     return hashlib.sha256(json.dumps(plan, sort_keys=True).encode()).hexdigest()
 
 
-def export_chunks(df: DataFrame, out: str, table: str, choice: KeyChoice, size: int, options: dict, columns: list[str], finish: Callable[[DataFrame], DataFrame] = lambda d: d, per_job: int = 1_000) -> int:
+def export_chunks(df: DataFrame, out: str, table: str, choice: KeyChoice, size: int, options: dict, columns: list[str], finish: Callable[[DataFrame], DataFrame] = lambda d: d, per_job: int | None = None) -> int:
     """Write ``df`` in chunks below ``out`` and return its number of rows; a rerun writes only what is missing.
 
-    ``per_job`` chunks are one folder, staged and then renamed into place, so a folder is there whole or not at all.
-    The first job writes one folder and each further one up to twice as many, to a share of 1 / JOBS of all: so the
-    number of jobs is bounded, and an interruption loses at most that share. ``out``/_plan.json holds the fingerprint;
-    an export with another one is an error.
+    ``per_job`` chunks (by default those of about FOLDER_ROWS rows) are one folder, staged and then renamed into place,
+    so a folder is there whole or not at all. The first job writes one folder and each further one up to twice as
+    many, to a share of 1 / JOBS of all: so the number of jobs is bounded, and an interruption loses at most that share.
+    ``out``/_plan.json holds the fingerprint, the chunks of a folder and the number of rows; an export with another
+    fingerprint or number is an error. Where all folders are there, the rows of ``df`` are counted and not ordered again.
     ``finish`` (redaction, say) is applied after rows are numbered by their true keys.
     """
-    spark = df.sparkSession
-    mark, plan = fingerprint(table, choice, size, data_state(df), options), f"{out}/_plan.json"
-    if fs.has_text(spark, plan):
-        if json.loads(fs.read_text(spark, plan))["fingerprint"] != mark:
-            raise ValueError(f"{out} holds chunks of another export of {table}")
-    else:
-        fs.write_text(spark, plan, json.dumps({"fingerprint": mark, "table": table, "strategy": choice.strategy, "keys": list(choice.columns), "size": size}))
     if not 1 <= size <= MAX_CHUNK:
         raise ValueError(f"a chunk has 1 to {MAX_CHUNK} rows")
-    done, ordered = set(fs.listdir(spark, out)), Ordered(df, choice.columns)
-    folders, staged = range(max(1, math.ceil(ordered.count / (size * per_job)))), f"{out}/_staged"
-    for run in _runs([i for i in folders if f"chunks-{i * per_job:09d}" not in done], math.ceil(len(folders) / JOBS)):
-        fs.delete(spark, staged)
+    spark = df.sparkSession
+    mark, plan, staged = fingerprint(table, choice, size, data_state(df), options), f"{out}/_plan.json", f"{out}/_staged"
+    known, other = json.loads(fs.read_text(spark, plan)) if fs.has_text(spark, plan) else {}, ValueError(f"{out} holds chunks of another export of {table}")
+    if known.get("fingerprint", mark) != mark:
+        raise other
+    if known:
+        # Exports begun before folders were bounded by their rows don't say how many chunks these have.
+        per_job = known.get("per_job", per_job or FOLDER_CHUNKS)
+    per_job = per_job or max(1, min(FOLDER_CHUNKS, FOLDER_ROWS // size))
+    done = set(fs.listdir(spark, out))
+
+    def missing(n_rows: int) -> list[int]:
+        # An empty table has one folder without chunks.
+        return [i for i in range(max(1, math.ceil(n_rows / (size * per_job)))) if f"chunks-{i * per_job:09d}" not in done]
+
+    finished = "n_rows" in known and not missing(known["n_rows"])
+    ordered = None if finished else Ordered(df, choice.columns)
+    count = df.count() if finished else ordered.count
+    if known.get("n_rows", count) != count:
+        raise other
+    fs.delete(spark, staged)
+    if finished:
+        return count
+    if "n_rows" not in known:
+        fs.write_text(spark, plan, json.dumps({"fingerprint": mark, "table": table, "strategy": choice.strategy, "keys": list(choice.columns), "size": size, "per_job": per_job, "n_rows": count}))
+    for run in _runs(missing(count), math.ceil(count / (size * per_job * JOBS))):
         part = ordered.between(run[0] * per_job * size, (run[-1] + 1) * per_job * size)
         part = part.withColumn("chunk_id", F.floor(F.col("rank") / size).cast("long")).withColumn(POSITION, F.col("rank"))
         part = finish(part).select(*columns, POSITION, "chunk_id", F.floor(F.col("chunk_id") / per_job).cast("long").alias("__folder"))
@@ -147,11 +175,10 @@ def export_chunks(df: DataFrame, out: str, table: str, choice: KeyChoice, size:
             part = part.repartition(min(tasks, len(run) * per_job), "__folder" if len(run) >= tasks else "chunk_id")
         ndjson.write(part, staged, position=False, partition_by=["__folder", "chunk_id"], part_of=ordered.rows)
         for i in run:
-            # An empty table has one folder without chunks.
-            fs.rename(spark, f"{staged}/__folder={i}" if ordered.count else staged, f"{out}/chunks-{i * per_job:09d}")
-    fs.delete(spark, staged)
+            fs.rename(spark, f"{staged}/__folder={i}" if count else staged, f"{out}/chunks-{i * per_job:09d}")
+        fs.delete(spark, staged)
     discard(ordered.rows)
-    return ordered.count
+    return count
 
 
 def _runs(missing: list[int], most: int) -> list[list[int]]:

@@ -35,11 +35,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/relslice/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame over the written table."""
+def materialize(df: DataFrame, name: str, file_rows: int = 0) -> DataFrame:
+    """Write ``df`` to the shared folder, ``file_rows`` rows to a file at most if given, and return a DataFrame over the written table."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.write.option("maxRecordsPerFile", file_rows) if file_rows else df.write).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._relslice_path = path
     return back

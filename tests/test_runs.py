@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from relslice import catalogue_plans
 from relslice.catalog import ColumnDef, Database, FkDef, KeyChoice, TableDef, describe, profile
 from relslice.clone import clone
 from relslice.dump import dump
@@ -292,3 +293,85 @@ def test_chunked_exports_have_few_jobs_and_resume_behind_a_gap(spark, monkeypatc
     assert same(df, ndjson.rows_of(ndjson.read(spark, out, t), t).drop("__pos"))
     none = fresh_path(spark, "chunks")
     assert export(none, df.limit(0)) == 0 and [f for f in fs.listdir(spark, none) if not f.startswith("_")] == folders[:1]
+
+
+def test_the_chunked_query_is_run_again_over_its_finished_chunks(spark, monkeypatch):
+    ends = []
+
+    def told(*args, **options):
+        try:
+            done = dump(*args, **options)
+        except InterruptedError:
+            ends.append("cut off")
+            raise
+        ends.append([t["row_count"] for t in done["tables"]])
+
+    monkeypatch.setattr(catalogue_plans, "dump", told)
+    rows = catalogue_plans.dump_chunked(spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert ends == ["cut off", [lines.count(), 5]] and same(lines, rows)
+
+
+def test_an_interruption_keeps_the_folders_of_large_chunks(spark, monkeypatch):
+    for name, n in (("FOLDER_ROWS", 100), ("FILE_ROWS", 30), ("SMALL_CHUNK", 10)):
+        monkeypatch.setattr(chunks, name, n)
+    source, path, jobs = fresh_path(spark, "source"), fresh_path(spark, "dump"), []
+    spark.range(990).withColumn("s", F.lit("x")).repartition(3).write.parquet(source)
+    df = spark.read.parquet(source)
+    db = Database.of((describe(df, "t"), df))
+    folder = f"{path}/{manifest.data_file(db.tables['public.t'])}"
+
+    def cut(*_):
+        jobs.append(1)
+        if len(jobs) == 4:
+            raise InterruptedError
+        return {}
+
+    def run():
+        return dump(db, path, chunk=["t"], chunk_size=50, transform=cut)
+
+    with pytest.raises(InterruptedError):
+        run()
+    first = fs.files(spark, folder)
+    assert [f for f in fs.listdir(spark, folder) if f.startswith("chunks")] == [f"chunks-{i:09d}" for i in (0, 2, 4)]
+    done = run()
+    assert len(jobs) == 4 + 7 and set(first) < set(fs.files(spark, folder)) and done["tables"][0]["row_count"] == 990
+    rows = ndjson.rows_of(ndjson.read(spark, folder, db.tables["public.t"]), db.tables["public.t"])
+    assert same(df, rows.drop("__pos")) and sorted(r["__pos"] for r in rows.collect()) == list(range(990))
+    for i in range(20):
+        assert spark.read.json(f"{folder}/chunks-{i // 2 * 2:09d}/chunk_id={i}").agg(F.min("__pos"), F.max("__pos")).first() == (50 * i, min(50 * i + 49, 989))
+    fs.delete(spark, f"{path}/metadata.json")
+    monkeypatch.setattr(chunks, "Ordered", None)  # whole chunks are counted, not ordered again
+    assert run()["tables"][0]["row_count"] == 990 and len(jobs) == 11
+
+
+def test_chunks_of_an_older_layout_are_resumed_in_their_folders(spark, monkeypatch):
+    df, out = spark.range(100).withColumn("s", F.lit("x")), fresh_path(spark, "chunks")
+    t, choice = describe(df, "t", ["id"]), KeyChoice("primary_key", ("id",))
+
+    def export(rows=df, **options):
+        return chunks.export_chunks(rows, out, t.key, choice, 5, {}, df.columns, **options)
+
+    export(per_job=chunks.FOLDER_CHUNKS)
+    plan = json.loads(fs.read_text(spark, f"{out}/_plan.json"))
+    fs.write_text(spark, f"{out}/_plan.json", json.dumps({k: v for k, v in plan.items() if k not in ("per_job", "n_rows")}))
+    monkeypatch.setattr(chunks, "FOLDER_ROWS", 10)
+    assert export() == 100 and [f for f in fs.listdir(spark, out) if f.startswith("chunks")] == ["chunks-000000000"]
+    assert json.loads(fs.read_text(spark, f"{out}/_plan.json")) == plan
+    # Of the same files, but with fewer rows.
+    source = fresh_path(spark, "source")
+    df.write.parquet(source)
+    df, out = spark.read.parquet(source), fresh_path(spark, "chunks")
+    export(df)
+    with pytest.raises(ValueError, match="another export"):
+        export(df.where("id < 7"))
+
+
+def test_a_range_of_ranks_reads_its_own_files(spark, monkeypatch):
+    monkeypatch.setattr(chunks, "FILE_ROWS", 10)
+    ordered = chunks.Ordered(spark.range(1000).repartition(5), ["id"])
+    assert len(ordered.rows.inputFiles()) >= 100
+    for a, b in ((0, 10), (495, 505), (990, 2000), (0, 1000), (31, 32)):
+        part = ordered.between(a, b)
+        assert sorted((r["id"], r["rank"]) for r in part.collect()) == [(i, i) for i in range(a, min(b, 1000))]
+        assert len(part.inputFiles()) <= (b - a) // 10 + 4 or b >= 1000
